@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What separates words in every contract: space, tab, line feed, vertical tab, form feed, return.
 WORD_GAPS = b" \t\n\x0b\x0c\r"
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
     """Run make()(batch) over the Arrow batches of each partition; it yields dicts of columns in schema's order."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches):
         step = make()

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm.bpe import op1_bpe
 from quillspark.llm.packing import op2_packing
 from quillspark.llm.quality import op7_quality
+from quillspark.llm.simhash import op3_simhash
+from quillspark.llm.substring import op5_substring
 
 ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_packing, op7_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_packing, op3_simhash, op5_substring, op7_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
