@@ -26,7 +26,8 @@ from quillspark.llm.common import group_count, map_batches, settle, table, text_
 CAPACITY = 2048
 #: Mean pieces of a group, and the share of a sequence that may stay empty before its pieces are packed again.
 GROUP_PIECES, LOOSE = 2048, 0.005
-MEMORY_PIECES, MEMORY_LENGTH = 500_000, 64
+#: Words that a worker remembers before it starts afresh.
+MEMORY_PIECES = 800_000
 #: The tokenizer's own splitting, for texts of U+0000 to U+00FF, where letters, numbers and white space are these.
 _LETTER, _NUMBER, _WHITE = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
 SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_WHITE}{_LETTER}{_NUMBER}]+"
@@ -43,36 +44,33 @@ class WordIds:
         self.split = re.compile(SPLIT).findall
         self.memory: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.memory) + len(words) > MEMORY_PIECES:
-            self.memory.clear()
-        words = list(words)
+    def _learn(self, words: list[str]) -> None:
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, dtype=np.int64)
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        parts = np.split(ids, cuts)
-        if len(parts) == len(words):
-            self.memory.update(zip(words, (x.tobytes() for x in parts), strict=True))
+        ids, owner = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, dtype=np.int64)
+        cuts = [0, *(4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist(), len(ids)]
+        if len(cuts) == len(words) + 1:
+            self.memory.update(zip(words, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
         else:  # a word that the joined text would split otherwise
             for w in words:
                 self.memory[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        memory, new = self.memory, []
         pieces: list[list[str] | None] = []
-        new: set[str] = set()
         for x in texts:
             try:
                 x.encode("latin-1")
                 pieces.append(self.split(x.lower()))
-                new.update(pieces[-1])
+                new += [p for p in pieces[-1] if p not in memory]
             except UnicodeEncodeError:
                 pieces.append(None)
-        if any(p not in self.memory for p in new):
-            missing = {p for p in new if p not in self.memory}
-            if len(self.memory) + len(missing) > MEMORY_PIECES:
-                missing = new
-            self._learn(missing)
-        get = self.memory.__getitem__
+        if new:
+            new = set(new)
+            if len(memory) + len(new) > MEMORY_PIECES:
+                memory.clear()
+                new = {p for ps in pieces for p in ps or ()}
+            self._learn(list(new))
+        get = memory.__getitem__
         return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for x, p in zip(texts, pieces, strict=True)]
 
 
@@ -93,7 +91,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
         def step(batch):
             keys = batch.column("doc_id").to_pylist()
-            for at, raws in text_slices(batch):
+            for at, raws in text_slices(batch, limit=4 << 20):
                 rows = []
                 for k, ids in enumerate(coder.encode_many([x.decode() for x in raws])):
                     ids += int(end_id).to_bytes(4, "little")
