@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,14 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
-    """Run make()(batch) over the Arrow batches of each partition; it yields dicts of columns in schema's order."""
+    """Run make()(batch) over the Arrow batches of each partition; it yields dicts of the schema's columns.
+
+    What make() returns may have a `finish` that gives one more dict at the partition's end.
+    """
     names = StructType.fromDDL(schema).names
 
     def run(batches):
         step = make()
+        as_batch = lambda out: pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
         for batch in batches:
-            for out in step(batch):
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
+            yield from map(as_batch, step(batch))
+        if hasattr(step, "finish"):
+            yield as_batch(step.finish())
 
     return df.mapInArrow(run, schema)
 
@@ -74,6 +80,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillspark"
 
 
+def settle_table(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed Parquet table in the shared folder: smaller than a checkpoint where rows are long."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def minimum_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the links u-v, and for each the smallest node of its component."""
     nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
