@@ -7,7 +7,7 @@ both, so the index answers for every window, with about 0.22 entries a word.
 An entry also holds a hash of the stretch of words that its windows span.
 
 A document is parsed greedily: stretches that a smaller block holds too are
-joined to factors as long as source and distance stay the same. At the borders
+joined to factors for as long as the source stays the same. At the borders
 of factors, where no smaller block holds the whole stretch but some other block
 holds the anchor, the windows are looked up one by one. What factors and such
 windows cover is the duplicate text.
@@ -16,6 +16,7 @@ windows cover is the duplicate text.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_batches, settle, table, text_slices
+from quillspark.llm.common import SLICE_BYTES, map_batches, settle_table, table, text_slices
 
 WINDOW = 13
 ANCHOR = 6
-_PARSED = "doc_id long, n_words long, n_removed long, kept string, text string, removed binary, pending array<struct<h:bigint,at:int>>"
 _STEP = 0x9E3779B97F4A7C15
+_SHORT = np.uint64((1 << 48) - 1)
 _BACK = pow(_STEP, -1, 1 << 64)
 
 
@@ -80,31 +81,36 @@ class Stretches:
         new = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else none
         anchor, low = where[new], starts[new]
         high = starts[np.append(new[1:], len(starts)) - 1] if len(new) else none
-        return doc[anchor], anchor, low, high, seed[anchor], self.hashes(low, high + WINDOW) ^ _mix(seed[anchor])
+        return doc[anchor], anchor, low, high, seed[anchor] & _SHORT, (self.hashes(low, high + WINDOW) ^ _mix(seed[anchor])) & _SHORT
 
 
 def index_entries(docs: DataFrame) -> DataFrame:
-    """seed, stretch, doc_id, at: the index of every block; an entry that a block holds twice is kept once."""
+    """seed, stretch, doc_id: the index of every block; an entry that a block holds twice is kept once.
+
+    Both hashes keep 48 bits: a stretch is only compared within its seed, and a
+    seed that two blocks share by chance leads to border windows, which are
+    compared by 64 bits of their own.
+    """
 
     def make():
         def step(batch):
-            keys = np.asarray(batch.column("doc_id").to_pylist(), dtype=object)
+            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for row, raws in text_slices(batch):
                 s = Stretches(raws)
-                doc, anchor, low, _, seed, stretch = s.anchors()
-                order = np.lexsort((anchor, stretch, doc))
+                doc, _, _, _, seed, stretch = s.anchors()
+                order = np.lexsort((stretch, doc))
                 if len(order):
                     d, x = doc[order], stretch[order]
                     order = order[np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])]
-                yield {"seed": pa.array(seed[order].view("i8")), "stretch": pa.array(stretch[order].view("i8")), "doc_id": pa.array(keys[row + doc[order]].tolist(), pa.int64()), "at": pa.array((low[order] - s.first[doc[order]]).astype("i4"))}
+                yield {"seed": pa.array(seed[order].view("i8")), "stretch": pa.array(stretch[order].view("i8")), "doc_id": pa.array(keys[row + doc[order]], pa.int64())}
 
         return step
 
-    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), "seed long, stretch long, doc_id long, at int", make)
+    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), "seed long, stretch long, doc_id long", make)
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """doc_id, found: the entries of a block that matter, as (stretch, source, source_at).
+    """doc_id, found: the entries of a block that matter, as (stretch, source).
 
     source is the smallest block with that stretch; null marks a stretch that no
     smaller block holds while another block holds its seed in other surroundings.
@@ -112,101 +118,131 @@ def matches(docs: DataFrame) -> DataFrame:
     by_stretch = Window.partitionBy("seed", "stretch")
     by_seed = Window.partitionBy("seed")
     # the finer window first: one exchange and one sort serve both
-    seen = index_entries(docs).withColumn("source", F.min(F.struct("doc_id", "at")).over(by_stretch))
+    seen = index_entries(docs).withColumn("source", F.min("doc_id").over(by_stretch))
     seen = seen.withColumn("few", F.min("doc_id").over(by_seed) == F.max("doc_id").over(by_seed)).withColumn("same", F.min("stretch").over(by_seed) == F.max("stretch").over(by_seed))
-    copied = F.col("source.doc_id") < F.col("doc_id")
+    copied = F.col("source") < F.col("doc_id")
     kept = seen.where(~F.col("few") & (copied | ~F.col("same")))
-    entry = F.struct("stretch", F.when(copied, F.col("source.doc_id")).alias("source"), F.when(copied, F.col("source.at")).alias("source_at"))
-    return kept.groupBy("doc_id").agg(F.collect_list(entry).alias("found"))
+    return kept.groupBy("doc_id").agg(F.collect_list(F.struct("stretch", F.when(copied, F.col("source")).alias("source"))).alias("found"))
 
 
-def greedy_factors(starts: list[int], stops: list[int], sources: list[int], source_starts: list[int]) -> list[tuple[int, int, int, int]]:
-    """(start, stop, source, source_start): matches of one block at one distance are one factor for as long as they touch."""
-    out: list[list[int]] = []
-    for a, b, s, at in zip(starts, stops, sources, source_starts, strict=True):
-        if out and out[-1][2] == s and at - a == out[-1][3] - out[-1][0] and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b, s, at])
-    return [tuple(x) for x in out]
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, packed: texts compressed one by one, as they are shuffled twice. text_key tells texts of one doc_id apart."""
 
+    def make():
+        import zstandard
 
-def _left_over(words: list[bytes], gone: np.ndarray) -> bytes:
-    return b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(words)
+        pack = zstandard.ZstdCompressor(level=3).compress
 
+        def step(batch):
+            texts = batch.column("text").cast(pa.binary())
+            for at in range(0, len(texts), 256):
+                part = texts[at : at + 256]
+                yield {"doc_id": batch.column("doc_id")[at : at + 256], "text_key": batch.column("text_key")[at : at + 256], "packed": pa.array([pack(x.as_py() or b"") for x in part], pa.binary())}
 
-def parse(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: every row of docs after the parse.
+        return step
 
-    kept is the text of the words that stay, joined by one space, or with
-    `digest` its SHA-256. Null and empty texts have no words; texts of fewer
-    than 13 words keep all; rows of equal doc_id are copies of one block and
-    don't remove each other's words; a row without doc_id keeps all.
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "doc_id long, text_key long, packed binary", make)
+
+
+def unpacked_slices(batch: pa.RecordBatch):
+    """(first row, texts) of slices of a batch of packed texts."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    start, size, part = 0, 0, []
+    for k, x in enumerate(batch.column("packed")):
+        part.append(unpack(x.as_py()))
+        size += len(part[-1])
+        if size >= SLICE_BYTES:
+            yield start, part
+            start, size, part = k + 1, 0, []
+    if part:
+        yield start, part
+
+
+def greedy_factors(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, stop, source) factors of sorted (start, stop, source) matches: one factor for as long as they touch in the same block."""
+    out: list[tuple[int, int, int]] = []
+    for start, stop, source in found:
+        if out and out[-1][2] == source and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop), source)
+        else:
+            out.append((start, stop, source))
+    return out
+
+
+def factor_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, gone (packed bits, one a word), pending: the parse of every text that the index has something about.
+
+    gone marks the words of factors; pending lists the border windows, by hash
+    and first word, that have to be looked up.
     """
-    finish = (lambda raw: hashlib.sha256(raw).hexdigest()) if digest else (lambda raw: raw.decode())
 
     def make():
         def step(batch):
-            keys, found = batch.column("doc_id"), batch.column("found")
-            for row, raws in text_slices(batch):
+            found = batch.column("found")
+            for row, raws in unpacked_slices(batch):
                 s = Stretches(raws)
                 doc, _, low, high, _, stretch = s.anchors()
                 cut = np.searchsorted(doc, np.arange(len(raws) + 1))
-                out: dict[str, list] = {k: [] for k in ("n_removed", "kept", "text", "removed", "pending")}
-                for k, raw in enumerate(raws):
-                    gone, pending = np.zeros(s.n[k], bool), []
-                    if hits := found[row + k].as_py():
-                        hits = {x["stretch"]: x for x in hits}
-                        base = int(s.first[k])
-                        a = slice(cut[k], cut[k + 1])
-                        mine = [(lo - base, hi - base, hits[x]) for lo, hi, x in zip(low[a].tolist(), high[a].tolist(), stretch[a].view("i8").tolist(), strict=True) if x in hits]
-                        copied = [(lo, hi + WINDOW, h["source"], h["source_at"]) for lo, hi, h in mine if h["source"] is not None]
-                        for start, stop, _, _ in greedy_factors(*map(list, zip(*copied, strict=True))) if copied else []:
-                            gone[start:stop] = True
-                        border = np.concatenate([np.arange(lo, hi + 1) for lo, hi, h in mine if h["source"] is None] or [np.empty(0, np.int64)])
-                        pending = list(zip(s.hashes(border + base, border + base + WINDOW).view("i8").tolist(), border.tolist(), strict=True))
-                    out["n_removed"].append(int(gone.sum()))
-                    out["pending"].append([{"h": h, "at": at} for h, at in pending])
-                    out["kept"].append(None if pending else finish(_left_over(s.words[k], gone)))
-                    out["text"].append(raw.decode() if pending else None)
-                    out["removed"].append(np.packbits(gone).tobytes() if pending else None)
-                yield {
-                    "doc_id": keys[row : row + len(raws)], "n_words": pa.array(s.n), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.string()), "text": pa.array(out["text"], pa.string()),
-                    "removed": pa.array(out["removed"], pa.binary()), "pending": pa.array(out["pending"], pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))),
-                }
+                gone_bits, pending = [], []
+                for k in range(len(raws)):
+                    hits = {x["stretch"]: x["source"] for x in found[row + k].as_py()}
+                    base, a = int(s.first[k]), slice(cut[k], cut[k + 1])
+                    mine = [(lo - base, hi - base, hits[x]) for lo, hi, x in zip(low[a].tolist(), high[a].tolist(), stretch[a].view("i8").tolist(), strict=True) if x in hits]
+                    gone = np.zeros(s.n[k], bool)
+                    for start, stop, _ in greedy_factors([(lo, hi + WINDOW, source) for lo, hi, source in mine if source is not None]):
+                        gone[start:stop] = True
+                    border = np.concatenate([np.arange(lo, hi + 1) for lo, hi, source in mine if source is None] or [np.empty(0, np.int64)])
+                    gone_bits.append(np.packbits(gone).tobytes() if gone.any() else None)
+                    pending.append([{"h": h, "at": at} for h, at in zip(s.hashes(border + base, border + base + WINDOW).view("i8").tolist(), border.tolist(), strict=True)])
+                yield {"doc_id": batch.column("doc_id")[row : row + len(raws)], "text_key": batch.column("text_key")[row : row + len(raws)], "gone": pa.array(gone_bits, pa.binary()), "pending": pa.array(pending, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))}
 
         return step
 
-    joined = docs.select("doc_id", "text").join(matches(docs), "doc_id", "left")
-    parsed = settle(map_batches(joined, _PARSED, make))
-    return _borders(parsed, finish)
+    joined = packed_texts(docs).join(matches(docs), "doc_id")
+    return map_batches(joined, "doc_id long, text_key long, gone binary, pending array<struct<h:bigint,at:int>>", make)
 
 
-def _borders(parsed: DataFrame, finish) -> DataFrame:
-    """Look up the windows at borders, and end the documents that have some."""
-    single = parsed.where("text is not null").select("doc_id", F.explode("pending").alias("w")).select("doc_id", "w.h", "w.at")
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, gone, late: what to take out of each text, by words of factors and by starts of border windows; once for repeated rows."""
+    parsed = settle_table(factor_documents(docs).dropDuplicates(["doc_id", "text_key"]))
+    single = parsed.select("doc_id", "text_key", F.explode("pending").alias("w")).select("doc_id", "text_key", "w.h", "w.at")
     least = single.groupBy("h").agg(F.min("doc_id").alias("source"))
-    late = single.join(least, "h").where("source < doc_id").groupBy("doc_id").agg(F.collect_set("at").alias("late"))
+    late = single.join(least, "h").where("source < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("late"))
+    return parsed.select("doc_id", "text_key", "gone").join(late, ["doc_id", "text_key"], "left").where("gone is not null or late is not null")
+
+
+def parse(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept: every row of docs after the parse.
+
+    kept is the text of the words that stay, joined by one space, or with
+    `digest` its SHA-256. Null and empty texts have no words; texts of fewer
+    than 13 words keep all; rows of equal doc_id are copies of one block and
+    don't remove each other's words; a row without doc_id keeps all. Other
+    columns are not carried.
+    """
 
     def make():
         def step(batch):
-            rows = batch.select(["removed", "late", "n_words"]).to_pylist()
-            for row, raws in text_slices(batch):
-                n_removed, kept = [], []
+            gone_bits, late = batch.column("gone"), batch.column("late")
+            for row, raws in unpacked_slices(batch):
+                n_words, n_removed, kept = [], [], []
                 for k, raw in enumerate(raws):
-                    x = rows[row + k]
-                    gone = np.unpackbits(np.frombuffer(x["removed"], np.uint8), count=x["n_words"]).astype(bool)
-                    for at in x["late"] or ():
+                    words, bits = raw.split(), gone_bits[row + k].as_py()
+                    gone = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool) if bits else np.zeros(len(words), bool)
+                    for at in late[row + k].as_py() or ():
                         gone[at : at + WINDOW] = True
+                    n_words.append(len(words))
                     n_removed.append(int(gone.sum()))
-                    kept.append(finish(_left_over(raw.split(), gone)))
-                yield {"doc_id": batch.column("doc_id")[row : row + len(raws)], "n_words": batch.column("n_words")[row : row + len(raws)], "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())}
+                    text = b" ".join(compress(words, (~gone).tolist()))
+                    kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
+                yield {"doc_id": batch.column("doc_id")[row : row + len(raws)], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())}
 
         return step
 
-    open_rows = parsed.where("text is not null").select("doc_id", "text", "n_words", "removed").join(late, "doc_id", "left")
-    done = parsed.where("text is null").select("doc_id", "n_words", "n_removed", "kept")
-    return done.unionByName(map_batches(open_rows, "doc_id long, n_words long, n_removed long, kept string", make))
+    joined = packed_texts(docs).join(repeats(docs), ["doc_id", "text_key"], "left")
+    return map_batches(joined, "doc_id long, n_words long, n_removed long, kept string", make)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
