@@ -1,0 +1 @@
+"""Retrieval evaluation on Spark: chunk, index, retrieve, score, compare."""
