@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, group_count, map_batches, minimum_labels, settle, table
+from quillspark.llm.common import components, group_count, map_batches, minimum_labels, settle, settle_table, table
 
 COSINE = 0.93
-BLOCK_DIMS, GRID_DIMS = 8, 3
+BLOCK_DIMS, GRID_DIMS = 8, 2
 #: Vectors of one cell that one task compares, mean rows of a group of cells, and query rows at a time.
-CHUNK, GROUP_ROWS, STRIP = 2048, 4096, 256
+CHUNK, GROUP_ROWS, STRIP = 4096, 4096, 256
 #: What rounding may add to a squared distance.
 SLACK = 1e-9
 
@@ -56,7 +56,7 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 
 
 def cells(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """cell, block, home, node, copies, embedding: each class in each grid cell that its reach touches; home marks its own cell."""
+    """cell, block, home, node: each class in each grid cell that its reach touches; home marks its own cell. Vectors are not carried along."""
     far = 2 - 2 * cosine + SLACK
 
     def make():
@@ -84,12 +84,11 @@ def cells(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                             out["home"].append(cell == tuple(own[i].tolist()))
                             out["row"].append(k)
                 at = pa.array(out.pop("row"), pa.int32())
-                yield {"cell": pa.array(out["cell"], pa.int64()), "block": pa.array(out["block"], pa.int32()), "home": pa.array(out["home"])} | {c: batch.column(c).take(at) for c in ("node", "copies", "embedding")}
+                yield {"cell": pa.array(out["cell"], pa.int64()), "block": pa.array(out["block"], pa.int32()), "home": pa.array(out["home"])} | {"node": batch.column("node").take(at)}
 
         return step
 
-    kind = dict(classes.dtypes)["embedding"]
-    return map_batches(classes, f"cell long, block int, home boolean, node long, copies long, embedding {kind}", make)
+    return map_batches(classes.select("label", "embedding", "node"), "cell long, block int, home boolean, node long", make)
 
 
 def _compare(q: dict, b: dict, block: int, edges: list[int], cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +119,7 @@ def _compare(q: dict, b: dict, block: int, edges: list[int], cosine: float) -> t
 
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """u, v, links: rows with v join the components together; rows without count the links that u has."""
-    placed = settle(cells(classes, cosine))
+    placed = settle_table(cells(classes, cosine))
     full = placed.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).where("chunks > 1")
     cut = placed.join(full, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
@@ -130,7 +129,8 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     asks = F.struct(F.xxhash64("cell", "own", "other").alias("key"), F.lit(True).alias("asks"), F.lit(False).alias("answers"))
     answers = F.struct(F.xxhash64("cell", "other", "own").alias("key"), F.lit(False).alias("asks"), F.lit(True).alias("answers"))
     two = F.when(F.col("home"), F.array(asks, answers)).otherwise(F.array(asks))
-    met = cut.withColumn("role", F.explode(F.when(same, F.array(one)).otherwise(two))).select("block", "node", "copies", "embedding", "role.*")
+    met = cut.withColumn("role", F.explode(F.when(same, F.array(one)).otherwise(two))).select("block", "node", "role.*")
+    met = met.join(classes.select("node", "copies", "embedding"), "node")
     dealt = met.withColumn("g", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(group_count(placed.count(), GROUP_ROWS))))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
