@@ -1,4 +1,4 @@
-"""WARC archives with an index.
+"""WARC archives with an index; every record is a gzip member of its own, so that ranges can be read alone.
 
 Writing notes for each record its file, offset, length, URL and digest; reading
 goes by that index: the byte ranges of the selected records are sorted, ranges
@@ -14,6 +14,7 @@ behind that anyone reads.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -28,6 +29,8 @@ LEAST_REVISIT = 1000
 #: Gap between two ranges that one read may bridge, bytes that it reads at most, and bytes of a file that one task reads.
 GAP, READ, SHARE = 1 << 16, 1 << 23, 1 << 26
 _END = b"\r\n"
+#: Effort of compression, 1 to 9.
+LEVEL = 4
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long, length long"
 
 
@@ -50,7 +53,7 @@ def _record(page_id, url: str | None, payload: bytes, refers_to) -> tuple[bytes,
     if refers_to is not None:
         fields[4:4] = [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     head = b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + _END
-    return head + block + _END + _END, digest.hexdigest()
+    return gzip.compress(head + block + _END + _END, LEVEL, mtime=0), digest.hexdigest()
 
 
 def write_archive(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
@@ -67,7 +70,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
 
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        name = f"{root}/{uuid.uuid4().hex}.warc"
+        name = f"{root}/{uuid.uuid4().hex}.warc.gz"
         state = {"at": 0, "out": None}
 
         def step(batch):
@@ -75,10 +78,10 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
             html = batch.column("html").cast(pa.binary())
             out = {k: [] for k in ("record_type", "payload_digest", "payload_bytes", "offset", "length")}
             # each batch is closed as a file of its own, so that its index rows never run ahead of the bytes
-            file = f"{name[:-5]}-{state['at']}.warc"
+            file = f"{name[:-8]}-{state['at']}.warc.gz"
             state["at"] += 1
             at = 0
-            with system.open_output_stream(file) as sink:
+            with system.open_output_stream(file, compression=None) as sink:
                 for k in range(batch.num_rows):
                     payload = html[k].as_py() or b""
                     record, digest = _record(rows["page_id"][k], rows["url"][k], payload, rows["refers_to"][k])
@@ -94,7 +97,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
 
 
 def parse_record(raw: bytes) -> dict:
-    head, _, rest = raw.partition(_END + _END)
+    head, _, rest = gzip.decompress(raw).partition(_END + _END)
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     if fields["WARC-Type"] == "response":
