@@ -129,7 +129,7 @@ _RATED = f"list_transform(range(1, len(ss) + 1), lambda i: {{'n': len(list_inter
 EVAL = f"""{DOCS}, {QUESTIONS}, {ALL_CHUNKS}, {INDEX}, {PAIRS}, {RANKED}, {hits()}, {ASKED},
     configs AS (SELECT c.v || '__' || s.v || '__k' || k.v AS config_name, s.v AS search, k.v AS top_k FROM unnest({list(CHUNKINGS)}) c(v), unnest({list(SEARCHES)}) s(v), unnest({list(TOP_KS)}) k(v)),
     ctx AS (SELECT config_name, question_id, sum(len({words("text")})) + count(*) - 1 AS tokens, list(source_file ORDER BY rank) AS sources, first(text ORDER BY rank) AS best, count(*) AS got FROM hits JOIN chunks USING (strategy, source_file, chunk_index) GROUP BY ALL),
-    joined AS (SELECT config_name, search, top_k, a.*, coalesce(tokens, 0)::bigint AS tokens, coalesce(sources, []) AS sources, coalesce(best, '') AS best, coalesce(got, 0) AS got FROM configs, asked a LEFT JOIN ctx USING (config_name, question_id)),
+    joined AS (SELECT a.*, coalesce(tokens, 0)::bigint AS tokens, coalesce(sources, []) AS sources, coalesce(best, '') AS best, coalesce(got, 0) AS got FROM (SELECT * FROM configs, asked) a LEFT JOIN ctx USING (config_name, question_id)),
     texts AS (SELECT DISTINCT best, question FROM joined), rated AS (SELECT best, question, {_RATED} AS r FROM (SELECT best, question, {sentences("best")} AS ss, list_distinct({terms("question")}) AS qt FROM texts)),
     answers AS (SELECT best, question, coalesce(list_sort(r, 'DESC')[1].s, '') AS answer FROM rated),
     results AS MATERIALIZED (SELECT config_name, split_part(config_name, '__', 1) AS chunking, search, top_k, question_id, category AS question_category, got AS chunks_retrieved, tokens AS context_tokens, {retrieval_scores("sources")},
