@@ -17,6 +17,7 @@ shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -152,14 +153,15 @@ def _ready(raw: bytes, classes: int) -> tuple[LogBilinear, np.ndarray]:
 
 
 def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> np.ndarray:
-    """Parameters after training on every position of the training texts.
+    """Parameters after training on every position of the training texts, once.
 
-    Each round starts all tasks from the same parameters; a task goes over its
-    own texts, and the results are averaged by number of positions. The average
-    is a grouped sum, so the driver receives one set of parameters.
+    Each round takes its share of the texts and starts all tasks from the same
+    parameters; a task goes over its own texts, and the results are averaged by
+    number of positions. The average is a grouped sum, so the driver receives
+    one set of parameters.
     """
     classes, params, log_noise = len(unigram), LogBilinear.start(unigram), np.log(unigram)
-    for rate in RATES:
+    for part, rate in enumerate(RATES):
         now = train.sparkSession.sparkContext.broadcast(params)
 
         def make(rate=rate, now=now):
@@ -186,7 +188,8 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> np.ndarray:
             step.finish = finish
             return step
 
-        done = map_batches(train.select("text"), "k int, v double, n long", make).groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+        texts = train.where(F.pmod("text_key", F.lit(len(RATES))) == part).select("text")
+        done = map_batches(texts, "k int, v double, n long", make).groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
         if len(done):
             params = done.sort_values("k")["v"].to_numpy()
     return params
@@ -218,20 +221,16 @@ def _rare_words(rows: DataFrame, lexicon) -> DataFrame:
 
     def make():
         def step(batch):
+            known = lexicon.value.id
             for row, raws in text_slices(batch):
-                ids, first, words = lexicon.value.ids(raws)
                 at, rare, times = [], [], []
-                missing = np.flatnonzero(ids < 0)
-                text = np.searchsorted(first, missing, side="right") - 1
-                for k, i in zip(text.tolist(), (missing - first[text]).tolist(), strict=True):
-                    at.append(row + k)
-                    rare.append(words[k][i])
-                own: dict[tuple[int, bytes], int] = {}
-                for key in zip(at, rare, strict=True):
-                    own[key] = own.get(key, 0) + 1
-                take = pa.array([k for k, _ in own], pa.int32())
-                times = list(own.values())
-                yield {"word": pa.array([w for _, w in own], pa.binary()).cast(pa.string()), "times": pa.array(times, pa.int32())} | {c: batch.column(c).take(take) for c in ("doc", "text_key", "held_out")}
+                for k, raw in enumerate(raws):
+                    own = Counter([w for w in raw.translate(ASCII_LOWER).split() if w not in known])
+                    at += [row + k] * len(own)
+                    rare += own
+                    times += own.values()
+                take = pa.array(at, pa.int32())
+                yield {"word": pa.array(rare, pa.binary()).cast(pa.string()), "times": pa.array(times, pa.int32())} | {c: batch.column(c).take(take) for c in ("doc", "text_key", "held_out")}
 
         return step
 
