@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.bpe import op1_bpe
 from quillspark.llm.lm import op4_lm
+from quillspark.llm.oracles import ORACLES
 from quillspark.llm.packing import op2_packing
 from quillspark.llm.quality import op7_quality
 from quillspark.llm.secrets import op8_secrets
@@ -17,8 +18,6 @@ from quillspark.llm.urlfilter import op10_urlfilter
 from quillspark.llm.vectors import op9_embeddings
 from quillspark.llm.warc import op6_warc
 
-ORACLES: dict[str, str] = {}
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe, op2_packing, op3_simhash, op4_lm, op5_substring, op6_warc, op7_quality, op8_secrets, op9_embeddings, op10_urlfilter)}
