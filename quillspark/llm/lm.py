@@ -31,7 +31,7 @@ from quillspark.llm.common import ASCII_LOWER, map_batches, settle_table, table,
 CLASSES, FREQUENT, LONGEST = 512, 65_536, 256
 #: Dimensions, noise samples a batch, positions a batch, and the learning rate of each round of training.
 DIMS, NOISE, BATCH, RATES = 16, 32, 8192, (0.1, 0.03)
-DISCOUNT = 0.75
+DISCOUNT = 0.5
 
 
 def held_out(doc_id: Column) -> Column:
