@@ -41,7 +41,7 @@ def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def find_hits(chunks: DataFrame, questions: DataFrame, searches=SEARCHES, top_ks=TOP_KS) -> DataFrame:
-    return retrieve(ranked_pairs(score_pairs(build_index(chunks), questions)), searches, top_ks)
+    return retrieve(ranked_pairs(score_pairs(build_index(chunks), questions, set(searches) != {"bm25"})), searches, top_ks)
 
 
 def evaluate(docs: DataFrame, questions: DataFrame, chunkings=CHUNKINGS, searches=SEARCHES, top_ks=TOP_KS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:

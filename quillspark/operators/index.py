@@ -15,10 +15,11 @@ KEY = ["strategy", "source_file", "chunk_index"]
 
 @dataclass
 class Index:
-    """postings (key, term, tf), chunk_stats (key, dl, norm), term_stats (strategy, term, df, idf, weight), corpus_stats (strategy, n_chunks, avgdl)."""
+    """postings (key, term, tf), lengths (key, dl), norms (key, norm), term_stats (strategy, term, df, idf, weight), corpus_stats (strategy, n_chunks, avgdl)."""
 
     postings: DataFrame
-    chunk_stats: DataFrame
+    lengths: DataFrame
+    norms: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
 
@@ -57,4 +58,4 @@ def build_index(chunks: DataFrame) -> Index:
     stats = term_statistics(document_frequencies(chunks), corpus)
     weighted = postings.join(stats.select("strategy", "term", "weight"), ["strategy", "term"])
     norms = weighted.groupBy(*KEY).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("weight"), 2))).alias("norm"))
-    return Index(postings, lengths(chunks).join(norms, KEY), stats, corpus)
+    return Index(postings, lengths(chunks), norms, stats, corpus)

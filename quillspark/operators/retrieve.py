@@ -17,6 +17,8 @@ from quillspark.operators.index import KEY, Index
 
 #: Vectors of one block of the exact nearest-neighbour search.
 BLOCK_ROWS = 4096
+#: Rows of a side that is sent to all executors, at most (about 100 MB), and the chunkings that multiply the questions' terms.
+BROADCAST_ROWS, STRATEGIES = 1_000_000, 4
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -24,25 +26,36 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(terms(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def score_pairs(index: Index, questions: DataFrame) -> DataFrame:
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be sent to all executors if its known number of rows is within bounds."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def score_pairs(index: Index, questions: DataFrame, vectors: bool = True) -> DataFrame:
     """strategy, question_id, chunk, bm25, cosine, coverage of all pairs that share a term.
 
-    Postings are first reduced to the questions' terms. A term in a third of all
-    chunks makes a large part of the join, which AQE splits, and the sums are
-    combined before their shuffle.
+    Postings are reduced to the questions' terms and dealt by chunk; if the
+    questions' terms are few enough to be sent around, pairs are then made and
+    summed where the chunk is, so the many rows of frequent terms never travel.
+    Without `vectors` no norms are computed and cosine is null.
     """
     asked = query_terms(questions)
-    stats = index.term_stats.join(asked.select("term").distinct(), "term", "left_semi")
+    n_asked = asked.count()
+    stats = index.term_stats.join(_small(asked.select("term").distinct(), n_asked), "term", "left_semi")
     by_question = asked.join(stats, "term").withColumn("qw", F.col("qtf") * F.col("weight"))
     norms = by_question.groupBy("strategy", "question_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     sizes = asked.groupBy("question_id").agg(F.count("*").alias("qsize"))
-    # statistics go onto the postings before questions multiply the rows
-    known = index.postings.join(stats.select("strategy", "term"), ["strategy", "term"], "left_semi").join(index.chunk_stats.select(*KEY, "dl"), KEY).join(F.broadcast(index.corpus_stats.select("strategy", "avgdl")), "strategy")
+    known = index.postings.join(_small(asked.select("term").distinct(), n_asked), "term", "left_semi").join(index.lengths, KEY).join(F.broadcast(index.corpus_stats.select("strategy", "avgdl")), "strategy")
     damped = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    met = known.withColumn("damped", damped).join(by_question, ["strategy", "term"])
-    sums = met.groupBy("strategy", "question_id", "source_file", "chunk_index").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("damped")).alias("bm25"), F.sum(F.col("qw") * F.col("tf") * F.col("weight")).alias("dot"), F.count("*").alias("shared"))
-    out = sums.join(index.chunk_stats.select(*KEY, "norm"), KEY).join(norms, ["strategy", "question_id"]).join(sizes, "question_id")
-    return out.select("strategy", "question_id", "source_file", "chunk_index", "bm25", (F.col("dot") / (F.col("norm") * F.col("qnorm") + 1e-10)).alias("cosine"), (F.col("shared") / F.col("qsize")).alias("coverage"))
+    known = known.select(*KEY, "term", "tf", damped.alias("damped")).repartition(*KEY)
+    asks = by_question.select("strategy", "term", "question_id", (F.col("qtf") * F.col("idf")).alias("b"), (F.col("qw") * F.col("weight")).alias("c"))
+    met = known.join(_small(asks, n_asked * STRATEGIES), ["strategy", "term"])
+    sums = met.groupBy(*KEY, "question_id").agg(F.sum(F.col("b") * F.col("damped")).alias("bm25"), F.sum(F.col("c") * F.col("tf")).alias("dot"), F.count("*").alias("shared"))
+    out, cosine = sums.join(_small(sizes, n_asked), "question_id"), F.lit(None).cast("double")
+    if vectors:
+        out = out.join(index.norms, KEY).join(_small(norms, n_asked * STRATEGIES), ["strategy", "question_id"])
+        cosine = F.col("dot") / (F.col("norm") * F.col("qnorm") + 1e-10)
+    return out.select("strategy", "question_id", "source_file", "chunk_index", "bm25", cosine.alias("cosine"), (F.col("shared") / F.col("qsize")).alias("coverage"))
 
 
 def ranked_pairs(scored: DataFrame, depth: int = max(TOP_KS) * max(DEPTH.values())) -> DataFrame:
@@ -53,7 +66,7 @@ def ranked_pairs(scored: DataFrame, depth: int = max(TOP_KS) * max(DEPTH.values(
     """
     ties = [F.col("source_file"), F.col("chunk_index")]
     lists = Window.partitionBy("strategy", "question_id")
-    by_vector = F.row_number().over(lists.orderBy(quantised(F.col("cosine"), 9).desc(), *ties))
+    by_vector = F.when(F.col("cosine").isNotNull(), F.row_number().over(lists.orderBy(quantised(F.col("cosine"), 9).desc(), *ties)))
     positive = F.col("bm25") > 0
     by_words = F.row_number().over(lists.orderBy(F.when(positive, quantised(F.col("bm25"), 9)).desc_nulls_last(), *ties))
     out = scored.withColumn("vector_rank", by_vector).withColumn("bm25_rank", F.when(positive, by_words))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.config import BM25_B, BM25_EPSILON, BM25_K1, CHUNKINGS, DEPTH, PARAGRAPH_TOKENS, RRF_CONSTANT, SEARCHES, TOP_KS, WINDOWS
+from quillspark.config import BM25_B, BM25_EPSILON, BM25_K1, CHUNKINGS, DEPTH, PARAGRAPH_TOKENS, RRF_CONSTANT, SEARCHES, TOP_KS, WINDOWS, sample_configs
 from quillspark.operators.analyze import MEASURES, MODES
 
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -202,4 +202,7 @@ ORACLES: dict[str, str] = {
     "rerank_gain": f"WITH {EVAL}, x AS (SELECT avg(gold_similarity) FILTER (WHERE search = 'hybrid') AS hq, avg(gold_similarity) FILTER (WHERE search = 'hybrid_rerank') AS rq, avg(retrieval_latency_ms) FILTER (WHERE search = 'hybrid') AS ht, avg(retrieval_latency_ms) FILTER (WHERE search = 'hybrid_rerank') AS rt FROM results) SELECT {q('CASE WHEN coalesce(hq, 0e0) > 0 THEN 100e0 * (coalesce(rq, 0e0) - hq) / hq ELSE 0e0 END', 4)} AS gain_pct, {q('coalesce(rt - ht, 0e0)', 4)} AS latency_ms FROM x",
     "overall_means": f"WITH {EVAL} SELECT count(*) AS n_results, {q('avg(gold_similarity)')} AS mean_similarity, {q('avg(fact_recall)')} AS mean_fact_recall FROM results",
     "results_json_roundtrip": f"WITH {EVAL} SELECT config_name, count(*) AS n, sum(context_tokens)::bigint AS context_tokens, sum(n_missing)::bigint AS n_missing FROM results GROUP BY config_name",
+    "quick_sample": f"WITH {EVAL}, picked AS (SELECT question_id FROM questions ORDER BY md5('42:' || question_id) LIMIT 1), names(place, config_name) AS (VALUES {', '.join(f'({i}::bigint, {c.name!r})' for i, c in enumerate(sample_configs(8, 42)))}) SELECT place, config_name, question_id, {q('gold_similarity')} AS gold_similarity, {q('fact_recall')} AS fact_recall FROM results SEMI JOIN picked USING (question_id) JOIN names USING (config_name)",
+    "hit_preview": f"WITH {WHOLE}, {hits(('hybrid',), (3,))} SELECT question_id, rank::bigint AS rank, source_file, md5(CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END) AS preview_md5 FROM hits JOIN chunks USING (strategy, source_file, chunk_index)",
+    "summary_csv_roundtrip": f"WITH {SUMMARY} SELECT config_name, {q('avg_gold_similarity')} AS avg_gold_similarity, {q('avg_context_tokens')} AS avg_context_tokens FROM summary",
 }

@@ -16,15 +16,16 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.config import sample_configs
 from quillspark.functions.text import fact_found, lexical_cosine, quantised, sentences, terms, words
 from quillspark.operators import analyze as A
 from quillspark.operators.chunk import chunk, chunk_all
-from quillspark.operators.evaluate import config_matrix, contexts, evaluate, experiment_plan
-from quillspark.operators.index import Index, build_index, corpus_statistics, document_frequencies, postings_of, term_statistics
-from quillspark.operators.retrieve import nearest, ranked_pairs, retrieve, score_pairs
+from quillspark.operators.evaluate import config_matrix, contexts, evaluate, experiment_plan, find_hits
+from quillspark.operators.index import build_index, corpus_statistics, document_frequencies, postings_of, term_statistics
+from quillspark.operators.retrieve import nearest, score_pairs
 from quillspark.operators.score import fact_scores, gold_pairs, retrieval_scores
-from quillspark.session import shared_folder
-from quillspark.sources.files import read_results, write_results
+from quillspark.session import shared_folder, spread
+from quillspark.sources.files import preview, read_results, write_results, write_summary
 
 LINE, THRESHOLD, CATEGORIES = "\n", 0.1, 5
 #: Chunkings of the registered evaluation.
@@ -48,7 +49,7 @@ def _q(c: str, digits: int = _SHOWN):
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("source_file"), "text")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("source_file"), "text"))
 
 
 def whole_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -152,12 +153,8 @@ def term_statistics_bm25(spark, d):
 # --- retrieval over whole documents
 
 
-def _whole_ranked(spark, d) -> DataFrame:
-    return ranked_pairs(score_pairs(build_index(whole_chunks(spark, d)), questions(spark, d)))
-
-
 def _hits(spark, d, search: str, k: int) -> DataFrame:
-    return retrieve(_whole_ranked(spark, d), (search,), (k,)).select("question_id", F.col("rank").cast("long").alias("rank"), "source_file", _q("score"))
+    return find_hits(whole_chunks(spark, d), questions(spark, d), (search,), (k,)).select("question_id", F.col("rank").cast("long").alias("rank"), "source_file", _q("score"))
 
 
 for _name, _search, _k in (("bm25_topk", "bm25", 10), ("vector_topk_tfidf", "vector", 5), *((f"rrf_hybrid_k{k}", "hybrid", k) for k in (3, 5, 10)), *((f"rerank_k{k}", "hybrid_rerank", k) for k in (3, 5, 10))):
@@ -166,7 +163,7 @@ for _name, _search, _k in (("bm25_topk", "bm25", 10), ("vector_topk_tfidf", "vec
 
 @_query
 def bm25_positive_only(spark, d):
-    scored = score_pairs(build_index(whole_chunks(spark, d)), questions(spark, d))
+    scored = score_pairs(build_index(whole_chunks(spark, d)), questions(spark, d), vectors=False)
     return scored.where("bm25 > 0").groupBy("question_id").agg(F.count("*").alias("n_positive"), quantised(F.max("bm25"), _SHOWN).alias("best"))
 
 
@@ -214,7 +211,7 @@ def gold_sources(spark, d):
 @_query
 def context_assembly(spark, d):
     chunks = whole_chunks(spark, d)
-    hits = retrieve(ranked_pairs(score_pairs(build_index(chunks), questions(spark, d))), ("hybrid",), (3,))
+    hits = find_hits(chunks, questions(spark, d), ("hybrid",), (3,))
     return contexts(hits, chunks).select("question_id", F.md5("context").alias("context_md5"), F.col("context_tokens").cast("long").alias("context_tokens"), F.col("chunks_retrieved").cast("long").alias("n_chunks"))
 
 
@@ -342,3 +339,27 @@ def results_json_roundtrip(spark, d):
     write_results(evaluation(spark, d), path)
     back = read_results(spark, path)
     return back.groupBy("config_name").agg(F.count("*").alias("n"), F.sum(F.col("context_tokens").cast("long")).alias("context_tokens"), F.sum(F.size("missing_facts").cast("long")).alias("n_missing"))
+
+
+@_query
+def quick_sample(spark, d):
+    """Eight configurations that cycle through the dimensions, and one question picked by a hash of the seed."""
+    picked = questions(spark, d).orderBy(F.md5(F.concat(F.lit("42:"), "question_id"))).limit(1).select("question_id")
+    names = [(i, c.name) for i, c in enumerate(sample_configs(8, 42))]
+    configs = spark.createDataFrame(names, "place long, config_name string")
+    return evaluation(spark, d).join(picked, "question_id", "left_semi").join(F.broadcast(configs), "config_name").select("place", "config_name", "question_id", _q("gold_similarity"), _q("fact_recall"))
+
+
+@_query
+def hit_preview(spark, d):
+    """What the console shows of each hit: its score at four digits and the first 300 characters."""
+    chunks = whole_chunks(spark, d)
+    return preview(find_hits(chunks, questions(spark, d), ("hybrid",), (3,)), chunks).select("question_id", F.col("rank").cast("long").alias("rank"), "source_file", F.md5("preview").alias("preview_md5"))
+
+
+@_query
+def summary_csv_roundtrip(spark, d):
+    path = f"{shared_folder(spark)}/summary-{uuid.uuid4().hex}"
+    write_summary(summaries(spark, d), path)
+    back = spark.read.option("header", True).schema("config_name string, " + ", ".join(f"avg_{m} double" for m in A.MEASURES)).csv(path)
+    return back.select("config_name", _q("avg_gold_similarity"), _q("avg_context_tokens"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -15,3 +15,12 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, or a folder below the warehouse where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillspark").rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its scan has fewer parts than there are cores: a small file of one row group is read by one task.
+
+    A scan of many files is left as it is, so large inputs are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
