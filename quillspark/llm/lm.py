@@ -32,6 +32,8 @@ CLASSES, FREQUENT, LONGEST = 512, 65_536, 256
 #: Dimensions, noise samples a batch, positions a batch, and the learning rate of each round of training.
 DIMS, NOISE, BATCH, RATES = 16, 32, 8192, (0.1, 0.03)
 DISCOUNT = 0.5
+#: Bits of a text's hash that go with its doc_id, to tell texts apart that share one; few, as every rare word carries them.
+TEXT_KEY = (1 << 24) - 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,15 +48,13 @@ def nominated_words(train: DataFrame, most: int = FREQUENT) -> list[tuple[str, i
     """
 
     def make():
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def step(batch):
-            get = counts.get
             for _, raws in text_slices(batch):
                 for raw in raws:
-                    for w in raw.translate(ASCII_LOWER).split():
-                        counts[w] = get(w, 0) + 1
-            # a task passes on what it has once the table is large, and at the end of each batch that is the last
+                    counts.update(raw.translate(ASCII_LOWER).split())
+            # a task passes on what it has once its table is large, and at its end
             if len(counts) > 8 * most:
                 yield shed()
 
@@ -142,14 +142,19 @@ class LogBilinear:
             out[a] = np.log(np.exp(s - top).sum(axis=1, dtype=np.float64)) + top[:, 0]
         return out
 
-    def log10_probabilities(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, z: np.ndarray) -> np.ndarray:
-        return (np.einsum("ij,ij->i", self.A[a] + self.B[b], self.Q[w]) + self.bias[w] - z[a, b]) / np.log(10)
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each context class adds to each class's score, by matrix products, and the normalisers."""
+        return self.A @ self.Q.T + self.bias, self.B @ self.Q.T, self.normalisers()
+
+
+def log10_probabilities(tables: tuple[np.ndarray, np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    one, two, z = tables
+    return (one[a, w] + two[b, w] - z[a, b]) / np.log(10)
 
 
 @lru_cache(maxsize=2)
-def _ready(raw: bytes, classes: int) -> tuple[LogBilinear, np.ndarray]:
-    model = LogBilinear(np.frombuffer(raw).copy(), classes)
-    return model, model.normalisers()
+def _ready(raw: bytes, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return LogBilinear(np.frombuffer(raw).copy(), classes).tables()
 
 
 def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> np.ndarray:
@@ -257,7 +262,7 @@ def _class_sums(rows: DataFrame, lexicon, model, counts) -> DataFrame:
 
     def make():
         params, classes = model.value
-        lm, z = _ready(params, classes)
+        tables = _ready(params, classes)
         n = counts.value
         base = np.log10(n + 0.5)
         part = np.log10(np.maximum(n - DISCOUNT, 1e-9))
@@ -272,7 +277,7 @@ def _class_sums(rows: DataFrame, lexicon, model, counts) -> DataFrame:
                 of = np.where(ids < 0, 0, ids)
                 yield {c: batch.column(c)[row : row + len(raws)] for c in ("doc", "text_key", "doc_id", "held_out")} | {
                     "n_tokens": pa.array(total(np.ones(len(ids), np.int64))), "known": pa.array(total(((ids >= 0) & (n[of] > 0)).astype(np.int64))), "base": pa.array(total(np.where(ids < 0, 0.0, base[of]))),
-                    "lm": pa.array(total(lm.log10_probabilities(a, b, w, z))), "middle": pa.array(total(middle.astype(np.int64))), "parts": pa.array(total(np.where(middle, part[of], 0.0))),
+                    "lm": pa.array(total(log10_probabilities(tables, a, b, w))), "middle": pa.array(total(middle.astype(np.int64))), "parts": pa.array(total(np.where(middle, part[of], 0.0))),
                 }
 
         return step
@@ -288,7 +293,7 @@ def score(docs: DataFrame) -> DataFrame:
     training texts every token is unknown. Other columns are not carried.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("text_key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(TEXT_KEY)).alias("text_key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     train = rows.where(~F.col("held_out"))
     nominees = nominated_words(train)
     lexicon = sc.broadcast(Lexicon([w for w, _ in nominees]))
