@@ -30,18 +30,20 @@ from quillspark.llm.common import ASCII_LOWER, map_batches, settle_table, table,
 #: Classes, words that are counted without a shuffle, and the longest of these in bytes: the broadcast list is below 16 MB.
 CLASSES, FREQUENT, LONGEST = 512, 65_536, 256
 #: Dimensions, noise samples a batch, positions a batch, and the learning rate of each round of training.
-DIMS, NOISE, BATCH, RATES = 16, 32, 8192, (0.1, 0.03)
+DIMS, NOISE, BATCH, RATES = 16, 16, 8192, (0.1, 0.03)
 DISCOUNT = 0.5
 #: Bits of a text's hash that go with its doc_id, to tell texts apart that share one; few, as every rare word carries them.
 TEXT_KEY = (1 << 24) - 1
+#: Stand for the number of texts and of tokens among counts of words; no word is white space.
+_TEXTS, _TOKENS = b" ", b"\n"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def nominated_words(train: DataFrame, most: int = FREQUENT) -> list[tuple[str, int]]:
-    """(word, count), at most `most`: the most frequent words of the training texts.
+def nominated_words(train: DataFrame, most: int = FREQUENT) -> tuple[list[tuple[str, int]], int, int]:
+    """(word, count), at most `most`, of the most frequent words of the training texts; the texts; the tokens.
 
     Every task counts all its words and passes its own most frequent ones on;
     their counts are summed over all tasks.
@@ -53,7 +55,10 @@ def nominated_words(train: DataFrame, most: int = FREQUENT) -> list[tuple[str, i
         def step(batch):
             for _, raws in text_slices(batch):
                 for raw in raws:
-                    counts.update(raw.translate(ASCII_LOWER).split())
+                    words = raw.translate(ASCII_LOWER).split()
+                    counts.update(words)
+                    counts[_TOKENS] += len(words) + 1
+                counts[_TEXTS] += len(raws)
             # a task passes on what it has once its table is large, and at its end
             if len(counts) > 8 * most:
                 yield shed()
@@ -67,7 +72,9 @@ def nominated_words(train: DataFrame, most: int = FREQUENT) -> list[tuple[str, i
         return step
 
     found = map_batches(train.select("text"), "word string, n long", make).groupBy("word").agg(F.sum("n").alias("n"))
-    return [(r["word"], r["n"]) for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+    top = {r["word"]: r["n"] for r in found.orderBy(F.desc("n"), "word").limit(most).collect()}
+    texts, tokens = top.pop(_TEXTS.decode(), 0), top.pop(_TOKENS.decode(), 0)
+    return list(top.items()), texts, tokens
 
 
 class Lexicon:
@@ -157,26 +164,28 @@ def _ready(raw: bytes, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return LogBilinear(np.frombuffer(raw).copy(), classes).tables()
 
 
-def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> np.ndarray:
-    """Parameters after training on every position of the training texts, once.
+def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters after training on every position of the training texts, once, and the exact count of each id of the lexicon.
 
     Each round takes its share of the texts and starts all tasks from the same
     parameters; a task goes over its own texts, and the results are averaged by
     number of positions. The average is a grouped sum, so the driver receives
-    one set of parameters.
+    one set of parameters. Counts of ids are added up along the way.
     """
     classes, params, log_noise = len(unigram), LogBilinear.start(unigram), np.log(unigram)
+    counts = np.zeros(lexicon.value.size, np.int64)
     for part, rate in enumerate(RATES):
         now = train.sparkSession.sparkContext.broadcast(params)
 
         def make(rate=rate, now=now):
             model, rng = LogBilinear(now.value.copy(), classes), np.random.default_rng(11)
-            seen = 0
+            seen, own = 0, np.zeros(lexicon.value.size, np.int64)
 
             def step(batch):
                 nonlocal seen
                 for _, raws in text_slices(batch):
                     ids, first, _ = lexicon.value.ids(raws)
+                    own[:] += np.bincount(ids[ids >= 0], minlength=len(own))
                     w = class_of(ids, classes)
                     a, b = contexts(w, first)
                     order = rng.permutation(len(w))
@@ -187,38 +196,20 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> np.ndarray:
                 yield from ()
 
             def finish():
-                values = model.params if seen else np.empty(0)
-                return {"k": pa.array(np.arange(len(values)), pa.int32()), "v": pa.array(values * seen), "n": pa.array(np.full(len(values), seen, np.int64))}
+                values, known = (model.params if seen else np.empty(0)), np.flatnonzero(own)
+                k = np.concatenate([np.arange(len(values)), -1 - known])
+                return {"k": pa.array(k, pa.int32()), "v": pa.array(np.concatenate([values * seen, own[known]])), "n": pa.array(np.append(np.full(len(values), seen), np.zeros(len(known), int)).astype("i8"))}
 
             step.finish = finish
             return step
 
         texts = train.where(F.pmod("text_key", F.lit(len(RATES))) == part).select("text")
-        done = map_batches(texts, "k int, v double, n long", make).groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
-        if len(done):
-            params = done.sort_values("k")["v"].to_numpy()
-    return params
-
-
-def _exact_counts(train: DataFrame, lexicon) -> np.ndarray:
-    """How often each id of the lexicon occurs in the training texts."""
-
-    def make():
-        counts = np.zeros(lexicon.value.size, np.int64)
-
-        def step(batch):
-            for _, raws in text_slices(batch):
-                ids, _, _ = lexicon.value.ids(raws)
-                counts[:] += np.bincount(ids[ids >= 0], minlength=len(counts))
-            yield from ()
-
-        step.finish = lambda: {"id": pa.array(np.flatnonzero(counts), pa.int32()), "n": pa.array(counts[counts > 0])}
-        return step
-
-    found = map_batches(train.select("text"), "id int, n long", make).groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(lexicon.value.size, np.int64)
-    counts[found["id"].to_numpy(int)] = found["n"].to_numpy()
-    return counts
+        done = map_batches(texts, "k int, v double, n long", make).groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("k")
+        own, found = done[done["k"] < 0], done[done["k"] >= 0]
+        counts[-1 - own["k"].to_numpy(int)] += own["v"].to_numpy().astype(np.int64)
+        if len(found):
+            params = (found["v"] / found["n"]).to_numpy()
+    return params, counts
 
 
 def _rare_words(rows: DataFrame, lexicon) -> DataFrame:
@@ -295,10 +286,12 @@ def score(docs: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(TEXT_KEY)).alias("text_key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     train = rows.where(~F.col("held_out"))
-    nominees = nominated_words(train)
+    nominees, texts, tokens = nominated_words(train)
     lexicon = sc.broadcast(Lexicon([w for w, _ in nominees]))
-    exact = _exact_counts(train, lexicon)
-    classes = min(CLASSES, len(exact) + 1)
+    classes = min(CLASSES, lexicon.value.size + 1)
+    top = [texts] + [n for _, n in nominees[: classes - 2]]
+    unigram = np.array(top + [max(tokens - sum(top), 0)]) + 0.5
+    params, exact = train_model(train, lexicon, unigram / unigram.sum())
     rare = settle_table(_rare_sums(rows, lexicon))
     copies = rows.groupBy("doc", "text_key").agg(F.count("*").alias("copies")).where("copies > 1")
     x = rare.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train_times", "train_words", "train_once")]).first()
@@ -308,8 +301,7 @@ def score(docs: DataFrame) -> DataFrame:
     rare_kinds = int((exact[classes - 1 :] > 0).sum()) + x["train_words"]
     new = min(max((x["train_once"] + 0.5) / (rare_tokens + 1), 1e-9), 0.5)
     parts = max(rare_tokens - DISCOUNT * rare_kinds, 1e-9)
-    unigram = np.append(exact[: classes - 1], rare_tokens) + 0.5
-    model = sc.broadcast((train_model(train, lexicon, unigram / unigram.sum()).tobytes(), classes))
+    model = sc.broadcast((params.tobytes(), classes))
 
     found = _class_sums(rows, lexicon, model, sc.broadcast(exact)).join(rare.drop("train_times", "train_words", "train_once"), ["doc", "text_key"], "left").join(copies, ["doc", "text_key"], "left")
     own = lambda c: F.coalesce(F.col(c) / F.coalesce("copies", F.lit(1)), F.lit(0.0))
