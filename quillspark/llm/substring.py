@@ -84,8 +84,49 @@ class Stretches:
         return doc[anchor], anchor, low, high, seed[anchor] & _SHORT, (self.hashes(low, high + WINDOW) ^ _mix(seed[anchor])) & _SHORT
 
 
+def thin_out(seed: np.ndarray, stretch: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, stretch, doc_id, hint, has a hint) of the entries of a slice, so that a seed that very many documents hold gets four rows of it at most.
+
+    An entry whose stretch a smaller document of the slice holds is settled:
+    that document is its hint. Of a seed in several surroundings of several
+    documents, those with the extreme stretches and documents speak for it;
+    the others, too, are border windows unless their stretch has a source, and
+    have their own doc_id as the hint. Rows with hints are dealt by a key of
+    their own.
+    """
+    order = np.lexsort((keys, stretch, seed))
+    seed, stretch, keys = seed[order], stretch[order], keys[order]
+    own = seed.copy()
+    hint = keys.copy()
+    if not len(order):
+        return own, stretch, keys, hint, np.zeros(0, bool)
+    run = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (stretch[1:] != stretch[:-1])]))
+    least = np.repeat(keys[run], np.diff(np.append(run, len(keys))))
+    settled = least < keys
+    hint[settled] = least[settled]
+    own[settled] = _mix(seed[settled] + _mix(stretch[settled] + keys[settled].view("u8"))) & _SHORT
+    left = np.flatnonzero(~settled)
+    first = np.flatnonzero(np.concatenate([[True], seed[left[1:]] != seed[left[:-1]]]))
+    size = np.diff(np.append(first, len(left)))
+    low, high = np.minimum.reduceat(keys[left], first), np.maximum.reduceat(keys[left], first)
+    ends = first + size - 1
+    # both ends of a run speak for its stretches; its documents by the first with the smallest and the first with the largest id
+    mixed = np.repeat((low < high) & (stretch[left[first]] != stretch[left[ends]]) & (size > 4), size)
+    speaks = np.zeros(len(left), bool)
+    speaks[first] = speaks[ends] = True
+    at = np.repeat(np.arange(len(first)), size)
+    for end in (low, high):
+        found = np.flatnonzero(keys[left] == end[at])
+        speaks[found[np.unique(at[found], return_index=True)[1]]] = True
+    spread = left[mixed & ~speaks]
+    own[spread] = _mix(seed[spread] + _mix(stretch[spread])) & _SHORT
+    hinted = settled.copy()
+    hinted[spread] = True
+    return own, stretch, keys, hint, hinted
+
+
 def index_entries(docs: DataFrame) -> DataFrame:
-    """seed, stretch, doc_id: the index of every block; an entry that a block holds twice is kept once.
+    """seed, stretch, doc_id, hint: the index of every block; an entry that a block holds twice is kept once. See thin_out.
 
     Both hashes keep 48 bits: a stretch is only compared within its seed, and a
     seed that two blocks share by chance leads to border windows, which are
@@ -102,26 +143,28 @@ def index_entries(docs: DataFrame) -> DataFrame:
                 if len(order):
                     d, x = doc[order], stretch[order]
                     order = order[np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])]
-                yield {"seed": pa.array(seed[order].view("i8")), "stretch": pa.array(stretch[order].view("i8")), "doc_id": pa.array(keys[row + doc[order]], pa.int64())}
+                seed, stretch, own, hint, hinted = thin_out(seed[order], stretch[order], keys[row + doc[order]].astype(np.int64))
+                yield {"seed": pa.array(seed.view("i8")), "stretch": pa.array(stretch.view("i8")), "doc_id": pa.array(own, pa.int64()), "hint": pa.array(hint, pa.int64(), mask=~hinted)}
 
         return step
 
-    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), "seed long, stretch long, doc_id long", make)
+    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), "seed long, stretch long, doc_id long, hint long", make)
 
 
 def matches(docs: DataFrame) -> DataFrame:
     """doc_id, found: the entries of a block that matter, as (stretch, source).
 
-    source is the smallest block with that stretch; null marks a stretch that no
-    smaller block holds while another block holds its seed in other surroundings.
+    source is a smaller block with that stretch, the smallest but for entries
+    settled within their slice; null marks a stretch that no smaller block is
+    known to hold while another block holds its seed in other surroundings.
     """
     by_stretch = Window.partitionBy("seed", "stretch")
     by_seed = Window.partitionBy("seed")
     # the finer window first: one exchange and one sort serve both
-    seen = index_entries(docs).withColumn("source", F.min("doc_id").over(by_stretch))
+    seen = index_entries(docs).withColumn("source", F.least(F.min("doc_id").over(by_stretch), "hint"))
     seen = seen.withColumn("few", F.min("doc_id").over(by_seed) == F.max("doc_id").over(by_seed)).withColumn("same", F.min("stretch").over(by_seed) == F.max("stretch").over(by_seed))
     copied = F.col("source") < F.col("doc_id")
-    kept = seen.where(~F.col("few") & (copied | ~F.col("same")))
+    kept = seen.where(F.col("hint").isNotNull() | (~F.col("few") & (copied | ~F.col("same"))))
     return kept.groupBy("doc_id").agg(F.collect_list(F.struct("stretch", F.when(copied, F.col("source")).alias("source"))).alias("found"))
 
 

@@ -53,6 +53,18 @@ def test_many_small_corpora(spark, docs):
         assert run(docs(rows)) == slow(rows)
 
 
+def test_passage_in_most_documents(docs):
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(i, f"{' '.join(f'{rng.random()}' for _ in range(rng.randrange(20)))} {passage} {' '.join(f'{rng.random()}' for _ in range(rng.randrange(20)))}") for i in range(300)]
+    rng.shuffle(rows)
+    rows += [(1000 + i, passage) for i in range(50)] + [(-1, "a " + passage.rpartition(" ")[0])]
+    assert run(docs(rows)) == slow(rows)
+    # a seed of the window gets four rows of a slice at most
+    entries = substring.index_entries(docs(rows).coalesce(1))
+    assert entries.where("hint is null").groupBy("seed").count().agg({"count": "max"}).first()[0] <= 4 < entries.groupBy("stretch").count().agg({"count": "max"}).first()[0]
+
+
 def test_repeated_rows_and_ids(docs):
     text = " ".join(f"a{k}" for k in range(40))
     rows = [(2, text), (2, text), (2, text + " tail"), (7, text), (1, "short text")]
