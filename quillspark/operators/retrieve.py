@@ -62,16 +62,18 @@ def ranked_pairs(scored: DataFrame, depth: int = max(TOP_KS) * max(DEPTH.values(
     """Adds bm25_rank and vector_rank (from 1, null beyond the depth); keeps rows that one of the lists has.
 
     Equal scores go by source_file and chunk_index. A chunk is in the keyword
-    list only with a positive score.
+    list only with a positive score. Both lists are ranked in one window, of
+    which each task passes on its own best rows only, whatever a question's
+    number of chunks.
     """
-    ties = [F.col("source_file"), F.col("chunk_index")]
-    lists = Window.partitionBy("strategy", "question_id")
-    by_vector = F.when(F.col("cosine").isNotNull(), F.row_number().over(lists.orderBy(quantised(F.col("cosine"), 9).desc(), *ties)))
-    positive = F.col("bm25") > 0
-    by_words = F.row_number().over(lists.orderBy(F.when(positive, quantised(F.col("bm25"), 9)).desc_nulls_last(), *ties))
-    out = scored.withColumn("vector_rank", by_vector).withColumn("bm25_rank", F.when(positive, by_words))
-    out = out.withColumn("vector_rank", F.when(F.col("vector_rank") <= depth, F.col("vector_rank"))).withColumn("bm25_rank", F.when(F.col("bm25_rank") <= depth, F.col("bm25_rank")))
-    return out.where("vector_rank is not null or bm25_rank is not null")
+    entry = lambda name, by, on: F.when(on, F.struct(F.lit(name).alias("list"), quantised(F.col(by), 9).alias("by")))
+    lists = F.array_compact(F.array(entry("v", "cosine", F.col("cosine").isNotNull()), entry("w", "bm25", F.col("bm25") > 0)))
+    wide = scored.withColumn("l", F.explode(lists)).select("strategy", "question_id", "source_file", "chunk_index", "bm25", "cosine", "coverage", "l.list", "l.by")
+    rank = F.row_number().over(Window.partitionBy("strategy", "question_id", "list").orderBy(F.desc("by"), "source_file", "chunk_index"))
+    best = wide.withColumn("rank", rank).where(F.col("rank") <= depth)
+    values = [F.max(c).alias(c) for c in ("bm25", "cosine", "coverage")]  # a chunk's values are the same in both lists
+    in_list = lambda name: F.max(F.when(F.col("list") == name, F.col("rank")))
+    return best.groupBy("strategy", "question_id", "source_file", "chunk_index").agg(*values, in_list("v").alias("vector_rank"), in_list("w").alias("bm25_rank"))
 
 
 def fused(ranked: DataFrame, reach: Column) -> DataFrame:
