@@ -236,7 +236,7 @@ def _rare_words(rows: DataFrame, lexicon) -> DataFrame:
 def _rare_sums(rows: DataFrame, lexicon) -> DataFrame:
     """Sums over the rare words of each text, and what each adds to the totals of the training texts.
 
-    No word of the shuffle is hot, as the most frequent ones are in the lexicon.
+    The most frequent words are in the lexicon, so no word of the shuffle is hot, unless it is longer than LONGEST.
     """
     by_word = Window.partitionBy("word")
     c = F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("times"))).over(by_word)
