@@ -30,7 +30,7 @@ from quillspark.llm.common import ASCII_LOWER, map_batches, settle_table, table,
 #: Classes, words that are counted without a shuffle, and the longest of these in bytes: the broadcast list is below 16 MB.
 CLASSES, FREQUENT, LONGEST = 512, 65_536, 256
 #: Dimensions, noise samples a batch, positions a batch, and the learning rate of each round of training.
-DIMS, NOISE, BATCH, RATES = 16, 16, 8192, (0.1, 0.03)
+DIMS, NOISE, BATCH, RATES = 16, 32, 8192, (0.1, 0.03)
 DISCOUNT = 0.5
 #: Bits of a text's hash that go with its doc_id, to tell texts apart that share one; few, as every rare word carries them.
 TEXT_KEY = (1 << 24) - 1
@@ -165,19 +165,19 @@ def _ready(raw: bytes, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters after training on every position of the training texts, once, and the exact count of each id of the lexicon.
+    """Parameters after training on every position of the training texts in each round, and the exact count of each id of the lexicon.
 
-    Each round takes its share of the texts and starts all tasks from the same
+    Each round goes over all texts and starts all tasks from the same
     parameters; a task goes over its own texts, and the results are averaged by
     number of positions. The average is a grouped sum, so the driver receives
-    one set of parameters. Counts of ids are added up along the way.
+    one set of parameters. Counts of ids are added up along the first round.
     """
     classes, params, log_noise = len(unigram), LogBilinear.start(unigram), np.log(unigram)
     counts = np.zeros(lexicon.value.size, np.int64)
-    for part, rate in enumerate(RATES):
+    for turn, rate in enumerate(RATES):
         now = train.sparkSession.sparkContext.broadcast(params)
 
-        def make(rate=rate, now=now):
+        def make(turn=turn, rate=rate, now=now):
             model, rng = LogBilinear(now.value.copy(), classes), np.random.default_rng(11)
             seen, own = 0, np.zeros(lexicon.value.size, np.int64)
 
@@ -185,7 +185,8 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
                 nonlocal seen
                 for _, raws in text_slices(batch):
                     ids, first, _ = lexicon.value.ids(raws)
-                    own[:] += np.bincount(ids[ids >= 0], minlength=len(own))
+                    if turn == 0:
+                        own[:] += np.bincount(ids[ids >= 0], minlength=len(own))
                     w = class_of(ids, classes)
                     a, b = contexts(w, first)
                     order = rng.permutation(len(w))
@@ -203,8 +204,7 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
             step.finish = finish
             return step
 
-        texts = train.where(F.pmod("text_key", F.lit(len(RATES))) == part).select("text")
-        done = map_batches(texts, "k int, v double, n long", make).groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("k")
+        done = map_batches(train.select("text"), "k int, v double, n long", make).groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("k")
         own, found = done[done["k"] < 0], done[done["k"] >= 0]
         counts[-1 - own["k"].to_numpy(int)] += own["v"].to_numpy().astype(np.int64)
         if len(found):

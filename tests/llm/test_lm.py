@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillspark.llm import lm
 
@@ -64,3 +65,13 @@ def test_scores_are_normalised():
     for a, b in ((0, 0), (3, 8)):
         p = 10 ** lm.log10_probabilities(tables, np.full(classes, a), np.full(classes, b), np.arange(classes))
         assert abs(p.sum() - 1) < 1e-5
+
+
+def test_each_round_trains_on_all_texts(docs, monkeypatch):
+    train = docs([(1, "a b a b c")]).select(F.lit(0).alias("text_key"), "text")
+    lexicon, unigram = train.sparkSession.sparkContext.broadcast(lm.Lexicon(["a", "b", "c"])), np.full(5, 0.2)
+    for rates in ((0.1, 0.0), (0.0, 0.1)):
+        monkeypatch.setattr(lm, "RATES", rates)
+        params, counts = lm.train_model(train, lexicon, unigram)
+        assert not np.allclose(params, lm.LogBilinear.start(unigram)) and counts.tolist() == [1, 2, 2, 1]
+    assert lm.NOISE >= 32
