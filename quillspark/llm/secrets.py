@@ -32,8 +32,13 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character that a window must reach, by character class: hexadecimal, letters and digits, base64.
 HEX_BITS, ALNUM_BITS, BASE64_BITS = 3.0, 3.8, 4.0
-#: Fixed allow-list: UUIDs, sample keys, paths and words joined by signs, plain words, one or two characters repeated.
-ALLOW = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|dummy|placeholder|x{6,}|^[a-z]+$|^[a-z0-9]{1,14}([/_=+-]+[a-z0-9]{1,14})+$|^(.{1,2})\3+$|^[0-9]+$"
+#: A word of one case or capitalised, or a number: a part of joined words. A key's groups mix them.
+_PART = r"(?:[a-z]{1,14}|[A-Z]{1,14}|[A-Z][a-z]{1,13}|[0-9]{1,14})"
+#: Marks of sample keys, as whole parts: next to no letter that would carry the word on.
+_SAMPLE = "|".join(rf"(?<![A-Za-z]){w}(?![a-z])|(?<![A-Za-z]){w.capitalize()}(?![a-z])|(?<![A-Za-z]){w.upper()}(?![A-Z])" for w in ("example", "sample", "dummy", "placeholder"))
+_SAMPLE += "|(?<![A-Za-z])x{6,}(?![a-z])|(?<![A-Za-z])X{6,}(?![A-Z])"
+#: Fixed allow-list: UUIDs, sample keys, words and numbers joined by signs, one or two characters repeated.
+ALLOW = rf"^[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$|{_SAMPLE}|^{_PART}(?:[/_=+-]+{_PART})+$|^(?i:(.{{1,2}})\1+)$"
 
 
 def spans_of(text: Column, pattern: str) -> Column:
