@@ -28,7 +28,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 #: Candidates of the entropy scan, and its window.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 WINDOW = 20
 #: Bits a character that a window must reach, by character class: hexadecimal, letters and digits, base64.
 HEX_BITS, ALNUM_BITS, BASE64_BITS = 3.0, 3.8, 4.0
@@ -95,6 +96,21 @@ def _suspicious(s: Column) -> Column:
     return F.when(F.regexp_like(s, F.lit(ALLOW)), False).when(sum(has[1:], has[0]) < 2, False).otherwise(window_entropy(s) >= limit)
 
 
+def _outside(x: Column, base: Column) -> Column:
+    """Parts of the candidate x, of LEAST characters or more, that the base spans, ordered by start, leave."""
+    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
+
+    def grown(acc: Column, end: Column) -> Column:
+        part = F.struct(acc["at"].alias("start"), end.alias("end"), F.substring(x["found"], acc["at"] - x["start"] + 1, end - acc["at"]).alias("found"))
+        return F.when(end - acc["at"] >= LEAST, F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"])
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), grown(acc, b["start"]).alias("parts"))
+
+    return F.aggregate(touching, F.struct(x["start"].alias("at"), empty.alias("parts")), step, lambda acc: grown(acc, x["end"]))
+
+
 def _as_kind(spans: str, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
@@ -106,15 +122,15 @@ def _count_kind(kind: str) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one more column `found`: array of (kind, start, end), ordered by start and then kind.
 
-    Null and empty texts have none. Entropy spans that touch a base span are
-    left out. A column named `found` in docs is replaced.
+    Null and empty texts have none. Base spans are cut out of the candidates of
+    the entropy scan, and what is left is scored part by part. A column named `found` in docs is replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     access_like = F.contains(t, F.lit("AKIA"))
     parts = docs.withColumn("_assign", F.filter(spans_of(t, ASSIGN), lambda x: F.length(F.regexp_replace(x["found"], ASSIGN_LEAD, "")) >= ASSIGN_LEAST))
     parts = parts.withColumn("_access", F.when(access_like, spans_of(t, ACCESS)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))).withColumn("_hex", spans_of(t, HEX))
-    parts = parts.withColumn("_base", F.concat(*[_as_kind(f"_{k}", n) for n, k in enumerate(KINDS[:3])]))
-    fresh = F.filter(spans_of(t, CANDIDATE), lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & _suspicious(x["found"]))
+    parts = parts.withColumn("_base", F.array_sort(F.concat(*[_as_kind(f"_{k}", n) for n, k in enumerate(KINDS[:3])])))
+    fresh = F.filter(F.flatten(F.transform(spans_of(t, CANDIDATE), lambda x: _outside(x, F.col("_base")))), lambda x: _suspicious(x["found"]))
     parts = parts.withColumn("_entropy", fresh)
     every = F.array_sort(F.concat("_base", _as_kind("_entropy", 3)))
     named = F.transform(every, lambda x: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
