@@ -19,7 +19,7 @@ import hashlib
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import map_batches, settle, shared_folder, table
@@ -34,12 +34,16 @@ LEVEL = 4
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long, length long"
 
 
-def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, refers_to: rows whose payload a row with a larger page_id has too. The payloads themselves are not shuffled."""
+def _payload_key() -> tuple[Column, Column]:
     html = F.coalesce("html", F.lit("")).cast("binary")
-    digests = pages.select("page_id", F.octet_length(html).alias("size"), F.sha1(html).alias("digest")).where((F.col("size") >= least) & F.col("page_id").isNotNull())
+    return F.octet_length(html).alias("size"), F.sha1(html).alias("digest")
+
+
+def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """page_id, size, digest, refers_to: payloads that a row with a larger page_id has too. The payloads themselves are not shuffled."""
+    digests = pages.select("page_id", *_payload_key()).where((F.col("size") >= least) & F.col("page_id").isNotNull())
     last = digests.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return digests.join(last, ["digest", "size"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return digests.join(last, ["digest", "size"]).where("page_id < refers_to").select("page_id", "size", "digest", "refers_to").distinct()
 
 
 def _record(page_id, url: str | None, payload: bytes, refers_to) -> tuple[bytes, str]:
@@ -60,10 +64,12 @@ def write_archive(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     """Write a record for every row; returns the index, checkpointed.
 
     A null html is an empty payload, a null url an empty one. Rows without
-    page_id are responses without an id. Of rows with the same page_id and
-    payload each is written. An empty table gives no files and an empty index.
+    page_id are responses without an id. Rows that share a page_id are each
+    written, and a revisit goes by its own payload. An empty table gives no files
+    and an empty index.
     """
-    joined = pages.select("page_id", "url", "html").join(revisits(pages, least), "page_id", "left")
+    key = ["page_id", "size", "digest"]
+    joined = pages.select("page_id", "url", "html", *_payload_key()).join(revisits(pages, least), key, "left").select("page_id", "url", "html", "refers_to")
 
     def make():
         from pyarrow import fs

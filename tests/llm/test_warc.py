@@ -27,6 +27,17 @@ def test_round_trip(spark, tmp_path):
         assert gzip.decompress(f.read(row.length)).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
 
 
+def test_one_id_with_several_payloads(spark, tmp_path):
+    """Every payload is in some response, and a revisit goes by its own payload."""
+    a, b, c = "A" * 1000, "B" * 1200, "C" * 1000
+    rows = [(5, "u", a), (5, "u", b), (5, "u", c), (9, "u", a), (8, "u", c), (5, "u", a)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read_records(warc.write_archive(pages, f"file://{tmp_path}/a"), f"file://{tmp_path}/a").collect()
+    digest = {hashlib.sha1(x.encode()).hexdigest(): x for x in (a, b, c)}
+    assert sorted((r.page_id, digest[r.payload_digest][0], r.record_type, r.refers_to or 0) for r in got) == sorted([(5, "A", "revisit", 9), (5, "A", "revisit", 9), (5, "B", "response", 0), (5, "C", "revisit", 8), (9, "A", "response", 0), (8, "C", "response", 0)])
+    assert {bytes(r.payload).decode() for r in got if r.payload} == {a, b, c}
+
+
 def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_records(warc.write_archive(pages, f"file://{tmp_path}/a"), f"file://{tmp_path}/a").count() == 0
