@@ -123,18 +123,19 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one more column `found`: array of (kind, start, end), ordered by start and then kind.
 
     Null and empty texts have none. Base spans are cut out of the candidates of
-    the entropy scan, and what is left is scored part by part. A column named `found` in docs is replaced.
+    the entropy scan, and what is left is scored part by part. A column named `found` in docs is replaced;
+    all others stay, whatever their names.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("row")[text], F.lit(""))
     access_like = F.contains(t, F.lit("AKIA"))
-    parts = docs.withColumn("_assign", F.filter(spans_of(t, ASSIGN), lambda x: F.length(F.regexp_replace(x["found"], ASSIGN_LEAD, "")) >= ASSIGN_LEAST))
+    parts = docs.select(F.struct("*").alias("row")).withColumn("_assign", F.filter(spans_of(t, ASSIGN), lambda x: F.length(F.regexp_replace(x["found"], ASSIGN_LEAD, "")) >= ASSIGN_LEAST))
     parts = parts.withColumn("_access", F.when(access_like, spans_of(t, ACCESS)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))).withColumn("_hex", spans_of(t, HEX))
     parts = parts.withColumn("_base", F.array_sort(F.concat(*[_as_kind(f"_{k}", n) for n, k in enumerate(KINDS[:3])])))
     fresh = F.filter(F.flatten(F.transform(spans_of(t, CANDIDATE), lambda x: _outside(x, F.col("_base")))), lambda x: _suspicious(x["found"]))
     parts = parts.withColumn("_entropy", fresh)
     every = F.array_sort(F.concat("_base", _as_kind("_entropy", 3)))
     named = F.transform(every, lambda x: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return parts.withColumn("found", named).drop("_assign", "_access", "_hex", "_base", "_entropy")
+    return parts.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "found"], named.alias("found"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -143,7 +144,7 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of text replaced by `mark`; overlapping spans count as one. n_chars follows the text."""
-    found = scan(docs)
+    found = scan(docs.select(F.struct("*").alias("row"), "text"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -152,9 +153,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     walked = F.aggregate("found", start, step)
     clean = found.withColumn("_walked", F.when(F.size("found") > 0, walked)).withColumn("_clean", F.when(F.col("_walked").isNull(), F.col("text")).otherwise(F.concat(F.col("_walked.out"), F.substring(F.col("text"), F.col("_walked.at") + 1, F.length("text")))))
+    of = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("found") > 0, F.length("_clean").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return clean.withColumn("text", F.col("_clean")).select(*docs.columns)
+        of["n_chars"] = F.when(F.size("found") > 0, F.length("_clean").cast(dict(docs.dtypes)["n_chars"])).otherwise(of["n_chars"])
+    return clean.select(*[x.alias(c) for c, x in of.items()])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
