@@ -40,7 +40,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold a token which the tokenizer knows as a whole are left to it.
+        self.whole = re.compile("|".join(re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
         self.split = re.compile(SPLIT).findall
         self.memory: dict[str, bytes] = {}
 
@@ -60,8 +61,9 @@ class WordIds:
         for x in texts:
             try:
                 x.encode("latin-1")
-                pieces.append(self.split(x.lower()))
-                new += [p for p in pieces[-1] if p not in memory]
+                low = x.lower()
+                pieces.append(None if self.whole(low) else self.split(low))
+                new += [p for p in pieces[-1] or () if p not in memory]
             except UnicodeEncodeError:
                 pieces.append(None)
         if new:

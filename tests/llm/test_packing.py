@@ -10,7 +10,6 @@ from quillspark.llm import packing
 
 PATH = P.path("word_bpe_49k.json")
 T = tokenizers.Tokenizer.from_file(PATH)
-T.encode_special_tokens = True
 
 
 def pieces_of(i, text, capacity):
@@ -20,7 +19,9 @@ def pieces_of(i, text, capacity):
 
 def test_pack_documents(docs):
     odd = "Ünï cödé ﬁ Ⅷ 日本 don't <|endoftext|> x\x1cy\x85z I'LL 12 ¼ ªº"
-    rows = [(1, None), (2, ""), (3, "word " * 500), (3, "word " * 500), (4, odd), (5, "Some OTHER text, with 3 numbers."), (6, "a'b " * 90), (None, "no id")]
+    assert T.encode("a <|endoftext|> b", add_special_tokens=False).ids[1] == T.token_to_id("<|endoftext|>")
+    special = [(10, "plain <|endoftext|>text<|STARTOFTEXT|>"), (11, "<|startoftext|>"), (12, "< |endoftext| > <|endoftext"), (13, "X<|EndOfText|>Y")]
+    rows = [*special, (1, None), (2, ""), (3, "word " * 500), (3, "word " * 500), (4, odd), (5, "Some OTHER text, with 3 numbers."), (6, "a'b " * 90), (None, "no id")]
     got = packing.pack_documents(docs(rows), PATH, 64).collect()
     want = sorted((x for i, t in rows for x in pieces_of(i, t, 64)), key=str)
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == want
