@@ -1,24 +1,28 @@
 """Language-model scoring with a log-bilinear model.
 
-The model's classes are the end of a text, the most frequent words, and one
-class for all rarer words. The prediction is bilinear: a matrix for each of the
-two words before, added up, times the matrix of output vectors, plus biases. It
-is trained with noise-contrastive estimation: each position against samples of
-the unigram distribution. As the context is a pair of classes, the normalisers
-of all pairs are one table, filled by batched matrix products, and every score
-is a normalised log-probability.
-
-Within the rare class a word that training saw c times has a part in proportion
-to c - DISCOUNT, and the word that training never saw has the share that words
-seen once suggest (Good-Turing). Counts of all words cover all training texts:
-the most frequent words by a broadcast list of bounded length, the others by a
-shuffle.
+The model's classes are the end of a text, the most frequent words, and classes
+of rarer words by their spelling: a hash of a word's last three bytes. So rarer
+words tell contexts apart too, and a word that training never saw has a class.
+The prediction is bilinear: a matrix for each of the two words before, added up,
+times the matrix of output vectors, plus biases. It is trained with
+noise-contrastive estimation: each position against samples of the unigram
+distribution. As the context is a pair of classes, the normalisers of all pairs
+are one table, filled by batched matrix products, and every score is a
+normalised log-probability.
+
+Within a class of rarer words one that training saw c times has a part in
+proportion to c - DISCOUNT, and the words of the class that training never saw
+have, as one token, the share that its words seen once suggest (Good-Turing).
+Counts of all words cover all training texts: the most frequent words by a
+broadcast list of bounded length, the others by a shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,77 +31,131 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import ASCII_LOWER, map_batches, settle_table, table, text_slices
 
-#: Classes, words that are counted without a shuffle, and the longest of these in bytes: the broadcast list is below 16 MB.
-CLASSES, FREQUENT, LONGEST = 512, 65_536, 256
+#: Classes in all and those by spelling, words that are counted without a shuffle, and the longest of these in bytes (longer ones go by their hash): the broadcast list is below 16 MB.
+CLASSES, SPELLINGS, FREQUENT, LONGEST = 512, 256, 65_536, 256
 #: Dimensions, noise samples a batch, positions a batch, and the learning rate of each round of training.
-DIMS, NOISE, BATCH, RATES = 16, 32, 8192, (0.1, 0.03)
+DIMS, NOISE, BATCH, RATES = 16, 64, 1024, (0.05, 0.02)
 DISCOUNT = 0.5
 #: Bits of a text's hash that go with its doc_id, to tell texts apart that share one; few, as every rare word carries them.
 TEXT_KEY = (1 << 24) - 1
-#: Stand for the number of texts and of tokens among counts of words; no word is white space.
-_TEXTS, _TOKENS = b" ", b"\n"
+#: Stand for the number of texts, of tokens and of tokens by spelling among counts of words; no word has white space.
+_TEXTS, _TOKENS, _SPELLED = " texts", " tokens", " spelled "
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def nominated_words(train: DataFrame, most: int = FREQUENT) -> tuple[list[tuple[str, int]], int, int]:
-    """(word, count), at most `most`, of the most frequent words of the training texts; the texts; the tokens.
+def spelling(word: bytes, spellings: int) -> int:
+    return zlib.crc32(word[-3:]) % spellings
+
+
+def name_of(word: bytes, longest: int) -> bytes:
+    """The word, or what stands for it if it is very long."""
+    return word if len(word) <= longest else b"\n" + blake2b(word, digest_size=16).hexdigest().encode()
+
+
+def nominated_words(train: DataFrame, most: int) -> tuple[list[tuple[str, int]], int, int, np.ndarray]:
+    """(word, count), at most `most`, of the most frequent words of the training texts; the texts; the tokens; the tokens by spelling.
 
     Every task counts all its words and passes its own most frequent ones on;
-    their counts are summed over all tasks.
+    their counts are summed over all tasks. The driver first gets how many words
+    have about each count, and then only the words above the limit that follows.
     """
 
+    spellings, longest = SPELLINGS, LONGEST
+
     def make():
         counts: Counter[bytes] = Counter()
+        texts = tokens = 0
 
         def step(batch):
+            nonlocal texts, tokens
             for _, raws in text_slices(batch):
                 for raw in raws:
                     words = raw.translate(ASCII_LOWER).split()
                     counts.update(words)
-                    counts[_TOKENS] += len(words) + 1
-                counts[_TEXTS] += len(raws)
+                    tokens += len(words) + 1
+                texts += len(raws)
             # a task passes on what it has once its table is large, and at its end
             if len(counts) > 8 * most:
                 yield shed()
 
         def shed():
-            top = sorted(((w, c) for w, c in counts.items() if len(w) <= LONGEST), key=lambda x: (-x[1], x[0]))[:most]
+            nonlocal texts, tokens
+            spelled = Counter()
+            for w, c in counts.items():
+                spelled[spelling(w, spellings)] += c
+            top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
+            rows = [(name_of(w, longest).decode(), c) for w, c in top] + [(_TEXTS, texts), (_TOKENS, tokens)] + [(f"{_SPELLED}{k}", c) for k, c in spelled.items()]
             counts.clear()
-            return {"word": pa.array([w for w, _ in top], pa.binary()).cast(pa.string()), "n": pa.array([c for _, c in top], pa.int64())}
+            texts = tokens = 0
+            return {"word": pa.array([w for w, _ in rows], pa.string()), "n": pa.array([c for _, c in rows], pa.int64())}
 
         step.finish = shed
         return step
 
-    found = map_batches(train.select("text"), "word string, n long", make).groupBy("word").agg(F.sum("n").alias("n"))
-    top = {r["word"]: r["n"] for r in found.orderBy(F.desc("n"), "word").limit(most).collect()}
-    texts, tokens = top.pop(_TEXTS.decode(), 0), top.pop(_TOKENS.decode(), 0)
-    return list(top.items()), texts, tokens
+    found = settle_table(map_batches(train.select("text"), "word string, n long", make).groupBy("word").agg(F.sum("n").alias("n")))
+    marker, size = F.col("word").startswith(" "), F.when(F.col("n") < 64, F.col("n")).otherwise(16 + F.floor(8 * F.log2("n"))).cast("int")
+    about = {r["word"]: r["n"] for r in found.where(marker).collect()}
+    words, left, limit, share = found.where(~marker), most, 1 << 30, 0
+    for r in words.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # some hundred sizes
+        if r["count"] > left:
+            share = int(left / r["count"] * 0.98 * (1 << 20))  # of the words of the last size, a part by hash
+            break
+        left, limit = left - r["count"], r["size"]
+    part = (size == (r["size"] if share else -1)) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)
+    top = sorted(((x["word"], x["n"]) for x in words.where((size >= limit) | part).collect()), key=lambda x: (-x[1], x[0].encode()))[:most]
+    return top, about.get(_TEXTS, 0), about.get(_TOKENS, 0), np.array([about.get(f"{_SPELLED}{k}", 0) for k in range(spellings)])
+
+
+class _Spelled(dict):
+    """Ids of words that the lexicon lacks, by their last three bytes: -1 less the class of the spelling."""
+
+    def __init__(self, spellings: int):
+        self.spellings = spellings
+
+    def __missing__(self, end: bytes) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[end] = -1 - spelling(end, self.spellings)
+        return self[end]
 
 
 class Lexicon:
-    """Ids of frequent words by rank from 1; 0 is the end of a text and -1 every other word."""
+    """Ids of frequent words by rank from 1; 0 is the end of a text, and what is below 0 every other word, by its spelling.
 
-    def __init__(self, words: list[str]):
-        self.id = {w.encode(): k + 1 for k, w in enumerate(words)}
-        self.size = len(words) + 1
+    The first `alone` words are classes of their own.
+    """
 
-    def ids(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """(ids of all texts one after the other, each followed by its end; first place of each text; words)."""
-        get, words = self.id.get, [r.translate(ASCII_LOWER).split() for r in raws]
+    def __init__(self, words: list[str], alone: int):
+        names = [w.encode() for w in words]
+        self.id = {w: k + 1 for k, w in enumerate(names)}
+        self.longest, self.size, self.alone, self.classes = LONGEST, len(words) + 1, alone, 1 + alone + SPELLINGS
+        self.class_of_id = np.array([*range(alone + 1), *(1 + alone + spelling(w, SPELLINGS) for w in names[alone:])])
+        self.spelled = _Spelled(SPELLINGS)
+
+    def rare(self, word: bytes) -> int:
+        """The id of a word that is not in the list as it stands."""
+        if len(word) > self.longest:
+            word = name_of(word, self.longest)
+            return self.id.get(word) or self.spelled[word[-3:]]
+        return self.spelled[word[-3:]]
+
+    def ids(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each followed by its end; first place of each text)."""
+        get, rare, sizes = self.id.get, self.rare, []
         out: list[int] = []
-        for ws in words:
-            out += [get(w, -1) for w in ws]
+        for raw in raws:
+            words = raw.translate(ASCII_LOWER).split()
+            out += [get(w) or rare(w) for w in words]
             out.append(0)
-        first = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in words])[:-1]]).astype(np.int64)
-        return np.array(out, np.int64), first, words
-
+            sizes.append(len(words) + 1)
+        return np.array(out, np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
-def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
-    """0 the end, 1 to classes - 2 frequent words, classes - 1 the rare class."""
-    return np.where((ids < 0) | (ids > classes - 2), classes - 1, ids)
+    def classes_of(self, ids: np.ndarray) -> np.ndarray:
+        """0 the end, 1 to `alone` frequent words, then the spellings."""
+        return np.where(ids < 0, self.alone - ids, self.class_of_id[np.maximum(ids, 0)])
 
 
 def contexts(targets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,16 +186,21 @@ class LogBilinear:
 
     def nce_step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float) -> None:
         """One AdaGrad step for positions (a, b) -> w against `noise` classes that the batch shares."""
-        shift = log_noise + np.log(len(noise))
+        shift = log_noise + np.log(len(noise)).astype(log_noise.dtype)
         r, q, qn = self.A[a] + self.B[b], self.Q[w], self.Q[noise]
         up = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, q) + self.bias[w] - shift[w]))
-        false = 1 / (1 + np.exp(-(r @ qn.T + self.bias[noise] - shift[noise])))
+        false = r @ qn.T
+        false += self.bias[noise] - shift[noise]
+        np.negative(false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.reciprocal(false, out=false)
         dr = up[:, None] * q - false @ qn
         dq = self._sums(w, up[:, None] * r) - self._sums(noise, false.T @ r)
         db = np.bincount(w, weights=up, minlength=self.classes) - np.bincount(noise, weights=false.sum(0), minlength=self.classes)
-        grad = np.concatenate([self._sums(a, dr).ravel(), self._sums(b, dr).ravel(), dq.ravel(), db]) / len(w)
-        self.squares = grad * grad + (1e-12 if self.squares is None else self.squares)
-        self.params += rate * grad / np.sqrt(self.squares)
+        grad = (np.concatenate([self._sums(a, dr).ravel(), self._sums(b, dr).ravel(), dq.ravel(), db]) / len(w)).astype(self.params.dtype)
+        self.squares = grad * grad + (grad.dtype.type(1e-12) if self.squares is None else self.squares)
+        self.params += grad.dtype.type(rate) * grad / np.sqrt(self.squares)
 
     def normalisers(self) -> np.ndarray:
         """log of the sum over all classes, for every pair of context classes."""
@@ -151,7 +214,8 @@ class LogBilinear:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What each context class adds to each class's score, by matrix products, and the normalisers."""
-        return self.A @ self.Q.T + self.bias, self.B @ self.Q.T, self.normalisers()
+        A, B, Q = (x.astype(np.float64) for x in (self.A, self.B, self.Q))
+        return A @ Q.T + self.bias, B @ Q.T, self.normalisers()
 
 
 def log10_probabilities(tables: tuple[np.ndarray, np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -172,32 +236,32 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
     number of positions. The average is a grouped sum, so the driver receives
     one set of parameters. Counts of ids are added up along the first round.
     """
-    classes, params, log_noise = len(unigram), LogBilinear.start(unigram), np.log(unigram)
-    counts = np.zeros(lexicon.value.size, np.int64)
+    classes, params, log_noise = len(unigram), LogBilinear.start(unigram), np.log(unigram).astype(np.float32)
+    counts, batch_size, samples = np.zeros(lexicon.value.size, np.int64), BATCH, NOISE
     for turn, rate in enumerate(RATES):
         now = train.sparkSession.sparkContext.broadcast(params)
 
         def make(turn=turn, rate=rate, now=now):
-            model, rng = LogBilinear(now.value.copy(), classes), np.random.default_rng(11)
+            model, rng = LogBilinear(now.value.astype(np.float32), classes), np.random.default_rng(11)
             seen, own = 0, np.zeros(lexicon.value.size, np.int64)
 
             def step(batch):
                 nonlocal seen
                 for _, raws in text_slices(batch):
-                    ids, first, _ = lexicon.value.ids(raws)
+                    ids, first = lexicon.value.ids(raws)
                     if turn == 0:
                         own[:] += np.bincount(ids[ids >= 0], minlength=len(own))
-                    w = class_of(ids, classes)
+                    w = lexicon.value.classes_of(ids)
                     a, b = contexts(w, first)
                     order = rng.permutation(len(w))
-                    for s in range(0, len(w), BATCH):
-                        at = order[s : s + BATCH]
-                        model.nce_step(a[at], b[at], w[at], rng.choice(classes, NOISE, p=unigram), log_noise, rate)
+                    for s in range(0, len(w), batch_size):
+                        at = order[s : s + batch_size]
+                        model.nce_step(a[at], b[at], w[at], rng.choice(classes, samples, p=unigram), log_noise, rate)
                     seen += len(w)
                 yield from ()
 
             def finish():
-                values, known = (model.params if seen else np.empty(0)), np.flatnonzero(own)
+                values, known = (model.params.astype(np.float64) if seen else np.empty(0)), np.flatnonzero(own)
                 k = np.concatenate([np.arange(len(values)), -1 - known])
                 return {"k": pa.array(k, pa.int32()), "v": pa.array(np.concatenate([values * seen, own[known]])), "n": pa.array(np.append(np.full(len(values), seen), np.zeros(len(known), int)).astype("i8"))}
 
@@ -213,67 +277,73 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
 
 
 def _rare_words(rows: DataFrame, lexicon) -> DataFrame:
-    """doc, text_key, held_out, word, times: the words of each text that the lexicon lacks."""
+    """doc, text_key, held_out, word, kind, times: the words of each text that the lexicon lacks; kind is the spelling's."""
 
     def make():
         def step(batch):
-            known = lexicon.value.id
+            known, rare = lexicon.value.id, lexicon.value.rare
             for row, raws in text_slices(batch):
-                at, rare, times = [], [], []
+                at, names, kinds, times = [], [], [], []
                 for k, raw in enumerate(raws):
                     own = Counter([w for w in raw.translate(ASCII_LOWER).split() if w not in known])
-                    at += [row + k] * len(own)
-                    rare += own
-                    times += own.values()
+                    for w, n in own.items():
+                        if (kind := rare(w)) < 0:
+                            at.append(row + k)
+                            names.append(name_of(w, lexicon.value.longest))
+                            kinds.append(-1 - kind)
+                            times.append(n)
                 take = pa.array(at, pa.int32())
-                yield {"word": pa.array(rare, pa.binary()).cast(pa.string()), "times": pa.array(times, pa.int32())} | {c: batch.column(c).take(take) for c in ("doc", "text_key", "held_out")}
+                yield {"word": pa.array(names, pa.binary()).cast(pa.string()), "kind": pa.array(kinds, pa.int16()), "times": pa.array(times, pa.int32())} | {c: batch.column(c).take(take) for c in ("doc", "text_key", "held_out")}
 
         return step
 
-    return map_batches(rows, "doc long, text_key long, held_out boolean, word string, times int", make)
+    return map_batches(rows, "doc long, text_key long, held_out boolean, word string, kind short, times int", make)
 
 
 def _rare_sums(rows: DataFrame, lexicon) -> DataFrame:
-    """Sums over the rare words of each text, and what each adds to the totals of the training texts.
+    """doc, text_key and sums over the rare words of each text; unknown and firsts hold numbers with a kind: numbers * SPELLINGS + kind.
 
-    The most frequent words are in the lexicon, so no word of the shuffle is hot, unless it is longer than LONGEST.
+    unknown has the times of words that training never saw, firsts the training
+    counts of words whose first text this is. The most frequent words are in the
+    lexicon, so no word of the shuffle is hot.
     """
     by_word = Window.partitionBy("word")
     c = F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("times"))).over(by_word)
     seen = _rare_words(rows, lexicon).withColumn("c", c).withColumn("first", F.row_number().over(by_word.orderBy("doc", "text_key")) == 1)
     t, known = F.col("times"), F.col("c") > 0
+    with_kind = lambda on, n: F.collect_list(F.when(on, n * F.lit(SPELLINGS).cast("long") + F.col("kind")))
     return seen.groupBy("doc", "text_key").agg(
-        F.sum(t * F.log10(F.col("c") + 0.5)).alias("rare_base"), F.sum(F.when(known, t * F.log10(F.greatest(F.col("c"), F.lit(1)) - DISCOUNT)).otherwise(0.0)).alias("rare_parts"), F.sum(F.when(known, t).otherwise(0)).alias("rare_known"), F.sum(F.when(known, 0).otherwise(t)).alias("rare_unknown"),
-        F.sum(F.when(~F.col("held_out"), t).otherwise(0)).alias("train_times"), F.count_if(F.col("first") & known).alias("train_words"), F.count_if(F.col("first") & (F.col("c") == 1)).alias("train_once"),
+        F.sum(t * F.log10(F.col("c") + 0.5)).alias("rare_base"), F.sum(F.when(known, t * F.log10(F.greatest(F.col("c"), F.lit(1)) - DISCOUNT)).otherwise(0.0)).alias("rare_parts"), F.sum(F.when(known, t).otherwise(0)).alias("rare_known"),
+        with_kind(~known, t).alias("unknown"), with_kind(F.col("first") & known, F.col("c")).alias("firsts"),
     )
 
 
 def _class_sums(rows: DataFrame, lexicon, model, counts) -> DataFrame:
-    """doc, text_key, doc_id, held_out and sums over the tokens of each text, rare words' own parts left out."""
+    """doc, text_key, doc_id, held_out and sums over the tokens of each text, as if training had seen all words; rare words' own parts are left out."""
 
     def make():
-        params, classes = model.value
-        tables = _ready(params, classes)
+        params, share = model.value
+        tables = _ready(params, len(share))
         n = counts.value
         base = np.log10(n + 0.5)
-        part = np.log10(np.maximum(n - DISCOUNT, 1e-9))
+        part = np.where(np.arange(len(n)) > lexicon.value.alone, np.log10(np.maximum(n - DISCOUNT, 1e-9)), 0.0)
 
         def step(batch):
             for row, raws in text_slices(batch):
-                ids, first, _ = lexicon.value.ids(raws)
-                w = class_of(ids, classes)
+                ids, first = lexicon.value.ids(raws)
+                w = lexicon.value.classes_of(ids)
                 a, b = contexts(w, first)
-                middle = ids > classes - 2
+                listed = ids >= 0
                 total = lambda x: np.add.reduceat(x, first)
-                of = np.where(ids < 0, 0, ids)
+                of = np.where(listed, ids, 0)
                 yield {c: batch.column(c)[row : row + len(raws)] for c in ("doc", "text_key", "doc_id", "held_out")} | {
-                    "n_tokens": pa.array(total(np.ones(len(ids), np.int64))), "known": pa.array(total(((ids >= 0) & (n[of] > 0)).astype(np.int64))), "base": pa.array(total(np.where(ids < 0, 0.0, base[of]))),
-                    "lm": pa.array(total(log10_probabilities(tables, a, b, w))), "middle": pa.array(total(middle.astype(np.int64))), "parts": pa.array(total(np.where(middle, part[of], 0.0))),
+                    "n_tokens": pa.array(total(np.ones(len(ids), np.int64))), "known": pa.array(total((listed & (n[of] > 0)).astype(np.int64))), "base": pa.array(total(np.where(listed, base[of], 0.0))),
+                    "lm": pa.array(total(log10_probabilities(tables, a, b, w) + share[w] + np.where(listed, part[of], 0.0))),
                 }
 
         return step
 
-    return map_batches(rows, "doc long, text_key long, doc_id long, held_out boolean, n_tokens long, known long, base double, lm double, middle long, parts double", make)
+    return map_batches(rows, "doc long, text_key long, doc_id long, held_out boolean, n_tokens long, known long, base double, lm double", make)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -286,28 +356,38 @@ def score(docs: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(TEXT_KEY)).alias("text_key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     train = rows.where(~F.col("held_out"))
-    nominees, texts, tokens = nominated_words(train)
-    lexicon = sc.broadcast(Lexicon([w for w, _ in nominees]))
-    classes = min(CLASSES, lexicon.value.size + 1)
-    top = [texts] + [n for _, n in nominees[: classes - 2]]
-    unigram = np.array(top + [max(tokens - sum(top), 0)]) + 0.5
+    nominees, texts, _, spelled = nominated_words(train, FREQUENT)
+    alone = min(CLASSES - 1 - SPELLINGS, len(nominees))
+    words = Lexicon([w for w, _ in nominees], alone)
+    lexicon = sc.broadcast(words)
+    for w, c in nominees[:alone]:
+        spelled[spelling(w.encode(), SPELLINGS)] -= c
+    unigram = np.array([texts, *(c for _, c in nominees[:alone]), *np.maximum(spelled, 0)]) + 0.5
     params, exact = train_model(train, lexicon, unigram / unigram.sum())
     rare = settle_table(_rare_sums(rows, lexicon))
     copies = rows.groupBy("doc", "text_key").agg(F.count("*").alias("copies")).where("copies > 1")
-    x = rare.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train_times", "train_words", "train_once")]).first()
-
-    tokens, kinds = int(exact.sum()) + x["train_times"], int((exact > 0).sum()) + x["train_words"]
-    rare_tokens = int(exact[classes - 1 :].sum()) + x["train_times"]
-    rare_kinds = int((exact[classes - 1 :] > 0).sum()) + x["train_words"]
-    new = min(max((x["train_once"] + 0.5) / (rare_tokens + 1), 1e-9), 0.5)
-    parts = max(rare_tokens - DISCOUNT * rare_kinds, 1e-9)
-    model = sc.broadcast((params.tobytes(), classes))
-
-    found = _class_sums(rows, lexicon, model, sc.broadcast(exact)).join(rare.drop("train_times", "train_words", "train_once"), ["doc", "text_key"], "left").join(copies, ["doc", "text_key"], "left")
-    own = lambda c: F.coalesce(F.col(c) / F.coalesce("copies", F.lit(1)), F.lit(0.0))
-    known = F.col("known") + own("rare_known")
-    base = F.col("base") + own("rare_base") - F.col("n_tokens") * float(np.log10(tokens + 0.5 * (kinds + 1)))
-    scored = F.col("lm") + F.col("parts") + own("rare_parts") + (F.col("middle") + own("rare_known")) * float(np.log10((1 - new) / parts)) + own("rare_unknown") * float(np.log10(new))
+
+    # times, distinct words, and words seen once of each spelling: those of the list and the others
+    n, kind = F.floor(F.col("x") / SPELLINGS), (F.col("x") % SPELLINGS).alias("kind")
+    others = rare.select(F.explode("firsts").alias("x")).groupBy(kind).agg(F.sum(n).alias("times"), F.count("*").alias("words"), F.count_if(n == 1).alias("once")).collect()
+    own, at = exact[alone + 1 :], words.class_of_id[alone + 1 :] - 1 - alone
+    times, distinct, once = (np.bincount(at, weights=x, minlength=SPELLINGS) for x in (own, own > 0, own == 1))
+    for r in others:
+        times[r["kind"]] += r["times"]
+        distinct[r["kind"]] += r["words"]
+        once[r["kind"]] += r["once"]
+    tokens, kinds = int(exact[: alone + 1].sum() + times.sum()), int((exact[: alone + 1] > 0).sum() + distinct.sum())
+    new = np.clip((once + 0.5) / (times + 1), 1e-9, 0.5)
+    seen = np.log10((1 - new) / np.maximum(times - DISCOUNT * distinct, 1e-9))
+    share = np.concatenate([np.zeros(alone + 1), seen])
+
+    found = _class_sums(rows, lexicon, sc.broadcast((params.tobytes(), share)), sc.broadcast(exact)).join(rare.drop("firsts"), ["doc", "text_key"], "left").join(copies, ["doc", "text_key"], "left")
+    per_copy = lambda c: F.coalesce(c / F.coalesce("copies", F.lit(1)), F.lit(0.0))
+    known = F.col("known") + per_copy(F.col("rare_known"))
+    base = F.col("base") + per_copy(F.col("rare_base")) - F.col("n_tokens") * float(np.log10(tokens + 0.5 * (kinds + 1)))
+    unseen = F.array(*[F.lit(float(x)) for x in np.log10(new) - seen])
+    change = F.aggregate("unknown", F.lit(0.0), lambda acc, x: acc + F.floor(x / SPELLINGS) * F.element_at(unseen, (x % SPELLINGS + 1).cast("int")))
+    scored = F.col("lm") + per_copy(F.col("rare_parts")) + per_copy(change)
     return found.select("doc_id", "held_out", "n_tokens", F.round(known).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), scored.alias("score"))
 
 

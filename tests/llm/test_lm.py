@@ -1,9 +1,11 @@
 import math
+import pathlib
 import string
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import lm
@@ -57,6 +59,87 @@ def test_model_beats_the_base(docs, monkeypatch):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.1 * sum(r.n_tokens for r in got)
 
 
+DATA = pathlib.Path("/root/testdata/sf0.1/documents.parquet")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_training_beats_its_start_and_the_base(spark, monkeypatch):
+    """Log10 a token on training texts and on held-out texts without an unknown word, with the committed settings."""
+    docs = spark.read.parquet(str(DATA)).select("doc_id", "text").repartition(8)
+
+    def rates():
+        cases = F.when(~F.col("held_out"), "train").when(F.col("n_known") == F.col("n_tokens"), "known").otherwise("new words")
+        of = lm.score(docs).groupBy(cases.alias("case")).agg((F.sum("score") / F.sum("n_tokens")).alias("model"), (F.sum("base_score") / F.sum("n_tokens")).alias("base"))
+        return {r.case: (r.model, r.base) for r in of.collect()}
+
+    trained = rates()
+    monkeypatch.setattr(lm, "RATES", (0.0,))
+    start = rates()
+    print(trained, start)
+    for case in ("train", "known", "new words"):
+        assert trained[case][0] > start[case][0] + 0.1 and trained[case][0] > trained[case][1] + 0.1, (case, trained, start)
+
+
+def slow_scores(rows, params, alone, listed):
+    """Every token's probability by a softmax over all classes, written out."""
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    c = Counter(w.encode() for (_, t), h in zip(rows, held, strict=True) if not h for w in tokens(t))
+    ends = c.pop(b" ")
+    lone = {w: k + 1 for k, w in enumerate(listed[:alone])}
+    cls = lambda w: 0 if w == b" " else lone.get(w) or 1 + alone + zlib.crc32(w[-3:]) % lm.SPELLINGS
+    members = {}
+    for w, n in c.items():
+        members.setdefault(cls(w), []).append(n)
+    size = 1 + alone + lm.SPELLINGS
+    A, B, Q = params[: 3 * size * lm.DIMS].reshape(3, size, lm.DIMS)
+    bias = params[3 * size * lm.DIMS :]
+    out = []
+    for _, t in rows:
+        one = two = 0
+        total = 0.0
+        for w in (x.encode() for x in tokens(t)):
+            k = cls(w)
+            s = (A[one] + B[two]) @ Q.T + bias
+            p = math.exp(s[k]) / sum(math.exp(x) for x in s)
+            if k > alone:
+                m = members.get(k, [])
+                new = min(max((sum(n == 1 for n in m) + 0.5) / (sum(m) + 1), 1e-9), 0.5)
+                p *= (1 - new) * (c[w] - lm.DISCOUNT) / (sum(m) - lm.DISCOUNT * len(m)) if c[w] else new
+            total += math.log10(p)
+            one, two = k, one
+        out.append(total)
+    return out, ends
+
+
+def test_score_against_brute_force(docs, monkeypatch):
+    for name, value in (("CLASSES", 24), ("SPELLINGS", 9), ("FREQUENT", 40), ("BATCH", 256), ("LONGEST", 20)):
+        monkeypatch.setattr(lm, name, value)
+    seen, train = {}, lm.train_model
+
+    def spy(frame, lexicon, unigram):
+        seen["lexicon"], seen["params"] = lexicon.value, train(frame, lexicon, unigram)[0]
+        return seen["params"], train(frame, lexicon, unigram)[1]
+
+    monkeypatch.setattr(lm, "train_model", spy)
+    rows = [*corpus(80), (200, ""), (201, None), (202, "never seen words here"), (203, "twice twice é")]
+    got = {r.doc_id: r.score for r in lm.score(docs(rows)).collect()}
+    want, _ = slow_scores(rows, seen["params"], seen["lexicon"].alone, list(seen["lexicon"].id))
+    assert len(seen["lexicon"].id) > seen["lexicon"].alone == 14
+    for (i, _), x in zip(rows, want, strict=True):
+        assert abs(got[i] - x) < 1e-6 * max(1, abs(x)), (i, got[i], x)
+
+
+def test_hot_long_word_is_listed(docs, monkeypatch):
+    """A long word in every text is in the list, so it is no key of the shuffle."""
+    monkeypatch.setattr(lm, "LONGEST", 8)
+    long = "L" * 5000
+    rows = [(i, f"{long} word{i} {long}") for i in range(40)]
+    frame = docs(rows)
+    assert found(lm.score(frame)) == base(rows)
+    nominees, texts, n, spelled = lm.nominated_words(frame.select("text"), 10)
+    assert nominees[0] == (lm.name_of(long.lower().encode(), 8).decode(), 80) and (texts, n, spelled.sum()) == (40, 160, 120) and len(nominees) <= 10
+
+
 def test_scores_are_normalised():
     classes = 9
     rng = np.random.default_rng(0)
@@ -69,7 +152,8 @@ def test_scores_are_normalised():
 
 def test_each_round_trains_on_all_texts(docs, monkeypatch):
     train = docs([(1, "a b a b c")]).select(F.lit(0).alias("text_key"), "text")
-    lexicon, unigram = train.sparkSession.sparkContext.broadcast(lm.Lexicon(["a", "b", "c"])), np.full(5, 0.2)
+    words = lm.Lexicon(["a", "b", "c"], 3)
+    lexicon, unigram = train.sparkSession.sparkContext.broadcast(words), np.full(words.classes, 1 / words.classes)
     for rates in ((0.1, 0.0), (0.0, 0.1)):
         monkeypatch.setattr(lm, "RATES", rates)
         params, counts = lm.train_model(train, lexicon, unigram)
