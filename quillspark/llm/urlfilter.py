@@ -1,8 +1,11 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 The rules label URLs; the trees learn from those labels and judge the rest.
-Suffix statistics (how often each host ending is blocked) are counted over all
-labelled URLs, in a fixed number of hashed classes.
+Suffix statistics (how often each host ending, each first path segment, and each
+pair of the two is blocked) are counted over all labelled URLs, in a fixed number
+of hashed classes. What a URL is fitted with comes from the other folds, so no
+label is a feature of itself. The path's first segments are also features by
+hash and by first character.
 """
 
 from __future__ import annotations
@@ -22,9 +25,14 @@ from quillspark.llm.common import map_batches, table
 #: Fixed rules: (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Labelled URLs that the trees are fitted on, at most: the smallest hashes of page_id. Verdicts and suffix statistics cover all rows.
-SAMPLE_ROWS = 20_000
-SUFFIX_CLASSES = 1024
-FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "host_parts", "hyphens", "last_segment", "suffix_blocked", "secure", "fragment")
+SAMPLE_ROWS = 6_000
+#: Hashed classes of each kind of suffix statistic, folds, hashed classes of a path's first segment, and characters that first characters are told apart by.
+SUFFIX_CLASSES, FOLDS, SEGMENT_CLASSES, FIRST_CHARACTERS = 1024, 5, 16, "0123456789abcdefghijklmnopqrstuvwxyz"
+STATISTICS = ("suffix", "segment", "both")
+FEATURES = (
+    "length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "host_parts", "hyphens", "first_segment", "second_segment", "last_segment", "second_first", "last_first", "secure", "fragment",
+    *(f"{s}_blocked" for s in STATISTICS), *(f"segment_is_{k}" for k in range(SEGMENT_CLASSES)),
+)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,21 +55,45 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (none, none) if rule is None else (rule, verdict)
 
 
-def suffix_class(host: Column) -> Column:
-    return F.pmod(F.crc32(F.substring_index(host, ".", -1).cast("binary")), F.lit(SUFFIX_CLASSES)).cast("int")
+def statistic_keys(host: Column, path: Column) -> list[Column]:
+    """The hashed class of each of STATISTICS."""
+    ending, segment = F.substring_index(host, ".", -1), F.get(F.split(path, "/"), F.lit(1))
+    both = F.concat(ending, F.lit("/"), F.coalesce(segment, F.lit("")))
+    return [F.pmod(F.crc32(F.coalesce(x, F.lit("")).cast("binary")), F.lit(SUFFIX_CLASSES)).cast("int") for x in (ending, segment, both)]
+
+
+def fold_of(page_id: Column) -> Column:
+    return F.pmod(F.xxhash64(page_id, F.lit(11)), F.lit(FOLDS)).cast("int")
+
+
+def blocked_shares(counts: np.ndarray) -> np.ndarray:
+    """Smoothed shares of blocked URLs, [fold, statistic, class], from [fold, statistic, class, (all, blocked)]: fold k without its own URLs, and last with all."""
+    total = counts.sum(0)
+    use = np.concatenate([total[None] - counts, total[None]])
+    n = use[:, :, :, 0].sum(2, keepdims=True)
+    prior = (use[:, :, :, 1].sum(2, keepdims=True) + 0.5) / (n + 1)
+    return (use[:, :, :, 1] + 2 * prior) / (use[:, :, :, 0] + 2)
 
 
 def entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) if s else 0.0
 
 
-def features(urls: list[str], hosts: list[str], paths: list[str], blocked: np.ndarray) -> np.ndarray:
-    out = np.empty((len(urls), len(FEATURES)))
-    for k, (u, h, p) in enumerate(zip(urls, hosts, paths, strict=True)):
+def features(urls: list[str], hosts: list[str], paths: list[str], folds: list[int], shares: np.ndarray) -> np.ndarray:
+    """A row of FEATURES for each URL; shares are taken from a URL's own row of blocked_shares, -1 for the last."""
+    out = np.zeros((len(urls), len(FEATURES)))
+    hashed = lambda x, n: zlib.crc32(x.encode()) % n
+    for k, (u, h, p, fold) in enumerate(zip(urls, hosts, paths, folds, strict=True)):
         query = u.partition("?")[2].partition("#")[0]
-        suffix = zlib.crc32(h.rpartition(".")[2].encode()) % SUFFIX_CLASSES
         segments = [x for x in p.split("/") if x]
-        out[k] = (len(u), len(h), len(segments), sum(c.isdigit() for c in u) / max(len(u), 1), entropy(u), len([x for x in query.split("&") if x]), h.count(".") + bool(h), h.count("-"), len(segments[-1]) if segments else 0, blocked[suffix], u[:8].lower().startswith("https:"), "#" in u)
+        first, second, last = (segments + ["", ""])[0], (segments + ["", ""])[1], segments[-1] if segments else ""
+        ending, segment = h.rpartition(".")[2], (p.split("/") + [""])[1]
+        known = [shares[fold, j, hashed(x, SUFFIX_CLASSES)] for j, x in enumerate((ending, segment, f"{ending}/{segment}"))]
+        lead = lambda x: FIRST_CHARACTERS.find(x[:1].lower()) if x else -2
+        out[k, : len(FEATURES) - SEGMENT_CLASSES] = (
+            len(u), len(h), len(segments), sum(c.isdigit() for c in u) / max(len(u), 1), entropy(u), len([x for x in query.split("&") if x]), h.count(".") + bool(h), h.count("-"), len(first), len(second), len(last), lead(second), lead(last), u[:8].lower().startswith("https:"), "#" in u, *known,
+        )
+        out[k, len(FEATURES) - SEGMENT_CLASSES + hashed(first, SEGMENT_CLASSES)] = 1
     return out
 
 
@@ -83,7 +115,7 @@ class Tree:
 class BoostedTrees:
     """Gradient boosting for the logistic loss with Newton leaves, on binned features."""
 
-    def __init__(self, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 48, smooth: float = 1.0):
+    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 48, smooth: float = 1.0):
         self.n, self.depth, self.rate, self.bins, self.smooth = trees, depth, rate, bins, smooth
         self.base, self.trees = 0.0, []
 
@@ -132,38 +164,49 @@ class BoostedTrees:
         return sum((t.score(x) for t in self.trees), np.full(len(x), self.base))
 
 
-def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of every row.
-
-    A null url, or one without "://", has an empty host and path and is judged
-    by the trees on its text. Without labelled URLs everything is allowed.
-    Repeated rows give repeated rows; other columns are not carried.
-    """
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    seen = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
-    rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    seen = seen.withColumn("rule", rule).withColumn("said", said)
-    labelled = seen.where("said is not null")
-    counts = labelled.groupBy(suffix_class(F.col("host")).alias("c")).agg(F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("b")).toPandas()
-    total, bad = int(counts["n"].sum()), int(counts["b"].sum())
-    blocked = np.full(SUFFIX_CLASSES, (bad + 0.5) / (total + 1))
-    blocked[counts["c"].to_numpy(int)] = (counts["b"].to_numpy() + blocked[0]) / (counts["n"].to_numpy() + 1.0)
+def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> tuple[BoostedTrees, np.ndarray]:
+    """(trees, shares) of page_id, url, host, path, said. Counts cover all rows, in a fixed number of classes; at most `sample` rows by hash reach the driver."""
+    keys = F.array(*[F.struct(F.lit(j).alias("statistic"), x.alias("class")) for j, x in enumerate(statistic_keys(F.col("host"), F.col("path")))])
+    wide = labelled.select("said", fold_of(F.col("page_id")).alias("fold"), F.explode(keys).alias("k"))
+    found = wide.groupBy("fold", "k.statistic", "k.class").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("b")).toPandas()
+    counts = np.zeros((FOLDS, len(STATISTICS), SUFFIX_CLASSES, 2))
+    counts[found["fold"], found["statistic"], found["class"]] = found[["n", "b"]]
+    total, shares = int(counts[:, 0, :, 0].sum()), blocked_shares(counts)
     # by hash about 1.2 times the sample, of which tasks pass on no more than the sample
     part = F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 1.2 * sample / max(total, 1)))
-    known = labelled.where(part).orderBy(F.xxhash64("page_id"), "page_id", "url").limit(sample).toPandas()
-    model = BoostedTrees().fit(features(known["url"].tolist(), known["host"].tolist(), known["path"].tolist(), blocked), (known["said"] == "block").to_numpy(float))
+    known = labelled.where(part).select("url", "host", "path", "said", fold_of(F.col("page_id")).alias("fold"), "page_id").orderBy(F.xxhash64("page_id"), "page_id", "url").limit(sample).toPandas()
+    model = BoostedTrees().fit(features(known["url"].tolist(), known["host"].tolist(), known["path"].tolist(), known["fold"].tolist(), shares), (known["said"] == "block").to_numpy(float))
     if not total:
         model.base = -1.0
+    return model, shares
+
+
+def predict(pages: DataFrame, model: BoostedTrees, shares: np.ndarray) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of page_id, url, host, path, rule, said: said where there is one, else the trees' verdict."""
 
     def make():
         def step(batch):
             url, host, path, said = ([x or "" for x in batch.column(c).to_pylist()] for c in ("url", "host", "path", "said"))
-            score = model.score(features(url, host, path, blocked))
+            score = model.score(features(url, host, path, [-1] * len(url), shares))
             yield {c: batch.column(c) for c in ("page_id", "host", "path", "rule")} | {"verdict": pa.array([s or ("block" if x > 0 else "allow") for s, x in zip(said, score, strict=True)], pa.string()), "score": pa.array(score)}
 
         return step
 
-    return map_batches(seen, "page_id long, host string, path string, rule string, verdict string, score double", make)
+    return map_batches(pages, "page_id long, host string, path string, rule string, verdict string, score double", make)
+
+
+def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of every row.
+
+    A null url, or one without "://", has an empty host and path and is judged
+    by the trees on its text. Without labelled URLs everything is allowed.
+    Repeated rows give repeated rows; other columns are not carried.
+    """
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    seen = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
+    rule, said = rule_of(F.col("host"), F.col("path"), rules)
+    seen = seen.withColumn("rule", rule).withColumn("said", said)
+    return predict(seen, *fit(seen.where("said is not null"), sample))
 
 
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:

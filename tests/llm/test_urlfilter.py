@@ -1,6 +1,9 @@
+import pathlib
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import urlfilter as U
 
@@ -37,10 +40,49 @@ def test_trees_learn_held_out_rows():
     assert U.BoostedTrees().fit(x[:0], y[:0]).score(x[:5]).tolist() == [0] * 5
 
 
+def test_features():
+    x = U.features(["http://a.com/fr/12?x=1#y", ""], ["a.com", ""], ["/fr/12", ""], [0, -1], np.full((U.FOLDS + 1, 3, U.SUFFIX_CLASSES), 0.5))
+    assert x.shape == (2, len(U.FEATURES)) and np.isfinite(x).all() and U.entropy("aabb") == 1 and U.entropy("") == 0
+    row = dict(zip(U.FEATURES, x[0].tolist(), strict=True))
+    assert (row["depth"], row["second_segment"], row["second_first"], row["parameters"], row["fragment"]) == (2, 2, 1, 1, 1)
+    counts = np.zeros((U.FOLDS, 3, U.SUFFIX_CLASSES, 2))
+    counts[0, 0, 7], counts[1, 0, 7] = (10, 10), (10, 0)
+    shares = U.blocked_shares(counts)  # each fold sees the other's labels alone
+    assert shares[0, 0, 7] < 0.2 and shares[1, 0, 7] > 0.8 and 0.4 < shares[-1, 0, 7] < 0.6
+
+
+def held_out_accuracy(spark, urls):
+    """(accuracy, that of the more frequent verdict) on labelled URLs that neither the trees nor the statistics saw."""
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", U.host_of(F.col("url"))).withColumn("path", U.path_of(F.col("url")))
+    rule, said = U.rule_of(F.col("host"), F.col("path"))
+    pages = pages.withColumn("rule", rule).withColumn("said", said).where("said is not null")
+    tested = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    model, shares = U.fit(pages.where(~tested))
+    test = pages.where(tested)
+    verdicts = U.predict(test.withColumn("said", F.lit(None).cast("string")), model, shares).select("page_id", "verdict").join(test.select("page_id", "said"), "page_id").collect()
+    share = sum(r.said == "block" for r in verdicts) / len(verdicts)
+    return sum(r.verdict == r.said for r in verdicts) / len(verdicts), max(share, 1 - share)
+
+
 def test_held_out_urls(spark):
-    """Verdicts of the trees alone agree with rules they have not seen labels of."""
     rng = np.random.default_rng(2)
-    urls = [f"http://{'www.' * int(rng.integers(2))}site{rng.integers(50)}.com/{rng.choice(['fr', 'de'])}/{rng.integers(999)}" for _ in range(600)]
-    host, path = zip(*((u.split("/")[2], "/" + "/".join(u.split("/")[3:])) for u in urls), strict=True)
-    x = U.features(urls, host, path, np.full(U.SUFFIX_CLASSES, 0.5))
-    assert x.shape == (600, len(U.FEATURES)) and np.isfinite(x).all() and U.entropy("aabb") == 1 and U.entropy("") == 0
+    urls = [f"http{'s' * int(rng.integers(2))}://{'www.' * int(rng.integers(2))}site{rng.integers(50)}.{'example.' * int(rng.integers(2))}{rng.choice(['com', 'org'])}/{rng.choice(['fr', 'de', 'en', 'es'])}/{rng.integers(999)}{rng.choice(['', '/', '?a=1', '#top', '.html'])}" for _ in range(4000)]
+    accuracy, majority = held_out_accuracy(spark, urls)
+    assert accuracy > 0.95 > majority + 0.1, (accuracy, majority)
+
+
+PAGES = pathlib.Path("/root/testdata/sf0.1/pages.parquet")
+
+
+@pytest.mark.skipif(not PAGES.exists(), reason="needs the test tables")
+def test_held_out_pages(spark):
+    accuracy, majority = held_out_accuracy(spark, [r.url for r in spark.read.parquet(str(PAGES)).select("url").collect()])
+    print(accuracy, majority)
+    assert accuracy > 0.95 > majority + 0.1, (accuracy, majority)
+
+
+def test_very_long_and_repeated_urls(spark):
+    long = "http://x.com/" + "a" * 300_000 + "?" + "k=v&" * 50_000
+    pages = spark.createDataFrame([(1, long), (1, long), (None, "http://a.org/en/"), (2, "http://org/de/")], "page_id long, url string")
+    got = U.judge(pages).collect()
+    assert len(got) == 4 and sorted(len(r.path) for r in got)[-1] == 300_001 and sum(r.verdict == "allow" and r.rule == "org/" for r in got) == 2
