@@ -69,13 +69,12 @@ def _repeated_lines(raw: bytes) -> tuple[int, int]:
     return len(lines) - len(set(lines)), len(lines)
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of every whole text; null and empty texts count 0 throughout, repeated rows give repeated rows."""
+def text_statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `carry` and COUNTS of every whole text; null and empty texts count 0 throughout, repeated rows give repeated rows."""
 
     def make():
         def step(batch):
-            keys = batch.column("doc_id")
-            for at, raws in text_slices(batch):
+            for at, raws in text_slices(batch, text):
                 n, covered, distinct = _word_counts(raws)
                 lines = [_repeated_lines(r) for r in raws]
                 count = lambda chars: [len(r) - len(r.translate(None, chars)) for r in raws]
@@ -83,11 +82,12 @@ def text_statistics(docs: DataFrame) -> DataFrame:
                     "n_words": n, "word_chars": [len(r.translate(None, WORD_GAPS).decode()) for r in raws], "n_symbols": count(SYMBOLS), "n_dup_lines": [x[0] for x in lines], "n_repeat_words": covered,
                     "n_lines": [x[1] for x in lines], "n_upper": count(_UPPER), "n_digits": count(_DIGITS), "n_stops": count(_STOPS), "n_distinct": distinct,
                 }
-                yield {"doc_id": keys[at : at + len(raws)]} | {k: pa.array(v, pa.int64()) for k, v in cols.items()}
+                yield {c: batch.column(c)[at : at + len(raws)] for c in carry} | {k: pa.array(v, pa.int64()) for k, v in cols.items()}
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS), make)
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry] + [f"{c} long" for c in COUNTS]
+    return map_batches(docs.select(*{*carry, text}), ", ".join(kinds), make)
 
 
 def feature(name: str) -> Column:
@@ -190,8 +190,14 @@ def list_verdict(rules: list[list[Condition]]) -> Column:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> list[list[Condition]]:
-    """A list learned from at most `sample` labelled documents (quality 0 is to be rejected; null labels teach nothing)."""
-    marked = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    """A list learned from at most `sample` labelled documents (quality 0 is to be rejected; null labels teach nothing).
+
+    By hash about 1.2 times the sample is picked, of which tasks pass on no more
+    than the sample, so what one task sorts doesn't follow the labels.
+    """
+    usable = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 1.2 * sample / max(usable.count(), 1)))
+    marked = usable.where(part).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # bounded by `sample` rows
     known = text_statistics(texts).join(F.broadcast(marked), "doc_id").toPandas()
     known = known.sort_values(["doc_id", "n_words", "quality"], ignore_index=True).head(sample)
@@ -200,19 +206,25 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) ->
     return learn_list(known, known["quality"].to_numpy() == 0)
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept for every row of docs."""
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return text_statistics(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & list_verdict(fit_rules(docs, labels, sample)))
+    return text_statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & list_verdict(fit_rules(docs, labels, sample)))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. doc_id is taken to be unique.
+    """The rows of docs that the rules keep, with all their columns.
 
-    A null doc_id has no verdict of its own to join, so such rows stay.
+    Each row is judged by its own text where it is: no join and no shuffle, so
+    rows that repeat a doc_id, or have none, are each judged by themselves.
     """
-    dropped = judge(docs, labels, sample).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    names = [f"_{k}" for k in range(len(docs.columns))]  # so that no column has a count's name
+    counted = text_statistics(docs.toDF(*names), names[docs.columns.index("text")], tuple(names))
+    kept = counted.where(~base_failed() & list_verdict(fit_rules(docs, labels, sample)))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

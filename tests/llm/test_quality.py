@@ -57,3 +57,13 @@ def test_judge_and_stage(spark, docs, plain):
     assert kept.columns == plain([]).columns and {r.doc_id for r in kept.collect()} == {*range(40), None}
     assert quality.judge(docs(rows), labels.limit(0)).where("kept").count() == 81
     assert quality.judge(docs([]), labels).count() == 0
+
+
+def test_each_row_is_judged_by_itself(spark, docs):
+    """Rows that share a doc_id or have none, very long texts, and columns with the names of counts."""
+    good, long = " ".join(f"word{k}" for k in range(60)), " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, good), (1, "too short"), (1, good), (None, "too short"), (None, good), (2, long), (3, "same " * 5_000), (4, None)]
+    frame = docs(rows).withColumnRenamed("h", "n_words").withColumnRenamed("key", "_1")
+    out = quality.quality_rules(frame, spark.createDataFrame([], "doc_id long, quality int"))
+    assert out.dtypes == frame.dtypes
+    assert sorted((r.doc_id or 0, len(r.text), r.n_words, r._1) for r in out.collect()) == sorted((i or 0, len(t), 2, 1) for i, t in rows if t in (good, long))
