@@ -62,6 +62,13 @@ def group_count(rows: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / max(1, each)))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the session names.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ASCII_LOWER, components, group_count, map_batches, minimum_labels, settle, table
+from quillspark.llm.common import ASCII_LOWER, components, fresh_name, group_count, map_batches, minimum_labels, settle, table
 
 BITS = 3
 SHINGLE = 3
@@ -43,17 +43,17 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every whole text; null reads as empty."""
+    """doc_id, text_key, fp (the 64 bits as a signed long) of every whole text; null reads as empty. text_key tells texts of one doc_id apart."""
 
     def make():
         def step(batch):
             texts = batch.column("text").cast(pa.binary())
             fps = [fingerprint((x.as_py() or b"").translate(ASCII_LOWER).split(), shingle) for x in texts]
-            yield {"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(fps, "u8").view("i8"))}
+            yield {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "fp": pa.array(np.array(fps, "u8").view("i8"))}
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, fp long", make)
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "doc_id long, text_key long, fp long", make)
 
 
 def block_masks(blocks: int, agree: int) -> list[int]:
@@ -102,24 +102,40 @@ def close_links(classes: DataFrame, n: int, bits: int = BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, fp, component_id of every row: the smallest doc_id that links reach.
+    """doc_id, text_key, fp, group, component_id of every row: the component, by its smallest linked fingerprint and by the smallest doc_id that links reach.
 
-    Equal fingerprints are one node, whatever the number of rows. Empty and null
+    Equal fingerprints are one node, whatever the number of rows; texts that only
+    share a doc_id are not linked by that. Empty and null
     texts have fingerprint 0. A null doc_id gets the component of its equals
     (null if it has none). Other columns are not carried; an empty table gives
     an empty one.
     """
     fps = settle(fingerprints(docs, shingle))
-    classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    found = components(close_links(classes, classes.count(), bits))
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).where("least is not null"))
+    found = components(close_links(classes.select(F.col("fp").alias("node"), "fp"), classes.count(), bits)).withColumnRenamed("node", "fp")
+    grouped = classes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    named = grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group").drop("least")
+    return fps.join(named, "fp", "left").select("doc_id", "text_key", "fp", "group", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; all columns stay. Rows without doc_id stay."""
-    gone = near_duplicates(docs, shingle, bits).where("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs for each component, that with its smallest doc_id; all columns stay. Rows without doc_id stay.
+
+    Of texts that share the smallest doc_id of a component that with the smallest
+    hash stays, and of rows that repeat doc_id and text any one.
+    """
+    found = settle(near_duplicates(docs, shingle, bits).where("doc_id is not null").groupBy("doc_id", "text_key", "group", "component_id").agg(F.count("*").alias("rows")))
+    first = found.where("doc_id = component_id").groupBy("group").agg(F.min("text_key").alias("first"))
+    judged = found.join(first, "group", "left")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("first"))
+    gone, repeated = judged.where(~stays).select("doc_id", "text_key"), judged.where(stays & (F.col("rows") > 1)).select("doc_id", "text_key")
+    key = fresh_name(docs, "text_key")
+    on = ["doc_id", key]
+    kept = docs.withColumn(key, F.xxhash64("text")).join(gone.withColumnRenamed("text_key", key), on, "left_anti")
+    if not repeated.isEmpty():
+        again = repeated.withColumnRenamed("text_key", key)
+        kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(on))
+    return kept.select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

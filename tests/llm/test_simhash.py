@@ -57,6 +57,18 @@ def test_near_duplicates(docs):
     assert kept.columns == docs([]).columns and {r.doc_id for r in kept.collect()} == {r for r in slow_components({i: slow_fingerprint(t) for i, t in rows}).values()}
 
 
+def test_one_row_of_each(docs):
+    """Repeated rows, texts that share a doc_id, and very long texts."""
+    long, other = "ab cd ef " * 100_000, " ".join(f"w{k}" for k in range(300))
+    rows = [(1, "same words here today"), (1, "same words here today"), (1, other), (2, "same words here today"), (3, other), (5, long), (6, long), (None, other), (None, other), (7, "x y z only"), (7, "quite another text of this id")]
+    frame = docs(rows).withColumnRenamed("h", "text_key")
+    out = simhash.one_of_each(frame)
+    assert out.columns == frame.columns
+    assert sorted(((r.doc_id or 0, r.text[:9]) for r in out.collect())) == [(0, other[:9]), (0, other[:9]), (1, "same word"), (1, other[:9]), (5, long[:9]), (7, "quite ano"), (7, "x y z onl")]
+    twins = [(4, "a b c d"), (4, "A b C d"), (9, "a B c d")]  # one fingerprint, two texts of one id
+    assert simhash.one_of_each(docs(twins)).count() == 1
+
+
 def test_full_keys_and_chains(spark, monkeypatch):
     """A chain of fingerprints three bits apart is one component, also when its keys are cut into chunks."""
     monkeypatch.setattr(simhash, "CHUNK", 8)
