@@ -59,6 +59,29 @@ def test_full_cells(spark, monkeypatch):
     assert found(V.near_duplicates(frame(spark, rows))) == slow(rows)
 
 
+def test_finer_grids_and_halves(spark, monkeypatch):
+    """Results don't depend on how many coordinates the grid uses, nor on coordinates at a cell's middle or border."""
+    rows = rows_of(5, 120) + [(500 + i, np.eye(64)[i % 4].tolist(), 0) for i in range(8)] + [(600 + i, [0.5, 0.25, 0.125 * i], 1) for i in range(12)]
+    want = slow(rows)
+    for dims in (1, 2, 5):
+        monkeypatch.setattr(V, "grid_dims", lambda _, d=dims: d)
+        assert found(V.near_duplicates(frame(spark, rows))) == want
+    monkeypatch.undo()
+    assert [V.grid_dims(n) for n in (0, 5_000, 1 << 15, (1 << 15) + 1, 1 << 18, 1 << 21, 1 << 40)] == [2, 2, 2, 3, 3, 4, 8]
+
+
+def test_each_pair_meets_once_a_block(spark):
+    """Rows that a grid brings together, counted: no pair of vectors is in two cells of a block."""
+    classes = V.classes_of(frame(spark, rows_of(6, 60)))
+    placed = [(r.cell, r.block, r.home, r.node) for r in V.cells(classes).collect()]
+    homes = {(b, n): c for c, b, h, n in placed if h}
+    asked = {(b, n, c) for c, b, h, n in placed if not h}
+    assert len(homes) == 8 * classes.count() and not any(homes[b, n] == c for b, n, c in asked)
+    for b, n in homes:
+        for m in {m for _, m in homes} - {n}:
+            assert ((b, n, homes[b, m]) in asked) + ((b, m, homes[b, n]) in asked) <= 1
+
+
 def test_edges(spark):
     assert V.near_duplicates(frame(spark, [])).count() == 0
     twice = V.near_duplicates(frame(spark, [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0)])).collect()
