@@ -2,15 +2,18 @@
 
 Every document is a reference block for the documents with larger doc_id. The
 index of a block holds anchors: in each window of 13 words, the run of 6 words
-with the smallest hash. A window that two documents share has the same anchor in
-both, so the index answers for every window, with about 0.22 entries a word.
-An entry also holds a hash of the stretch of words that its windows span.
-
-A document is parsed greedily: stretches that a smaller block holds too are
-joined to factors for as long as the source stays the same. At the borders
-of factors, where no smaller block holds the whole stretch but some other block
-holds the anchor, the windows are looked up one by one. What factors and such
-windows cover is the duplicate text.
+with the smallest hash (its seed). A window that two documents share has the same
+anchor in both, so the index answers for every window, with about 0.22 entries a
+word. An entry has the anchor's place in its block, a hash of the stretch that
+the anchor's windows span, and a hash of all words before it, so that any words
+between two anchors of a block have a hash too.
+
+A document is parsed against the index: an anchor whose seed a smaller block
+holds gives a source and a place in it. From there a factor goes on for as long
+as the words up to a next anchor are the source's words, and it takes in whole
+stretches that are the source's. Factors of 13 words or more are duplicate text.
+Where a stretch is not the source's, at factors' borders mostly, another block
+may still hold some of its windows, so these are looked up one by one.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SLICE_BYTES, map_batches, settle_table, table, text_slices
+from quillspark.llm.common import SLICE_BYTES, fresh_name, map_batches, settle_table, table, text_slices
 
 WINDOW = 13
 ANCHOR = 6
 _STEP = 0x9E3779B97F4A7C15
 _SHORT = np.uint64((1 << 48) - 1)
 _BACK = pow(_STEP, -1, 1 << 64)
+#: Stands for no source in arrays.
+_NONE = -(1 << 63)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,6 +65,11 @@ class Stretches:
     def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
 
+    def before(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Hash of the words of a document before a place: the same in whatever slice the document is."""
+        base = self.first[doc]
+        return (self.sums[at] - self.sums[base]) * self.down[base] & _SHORT
+
     def anchors(self) -> tuple[np.ndarray, ...]:
         """(document in the slice, anchor, first and last start of its windows, seed, stretch), words counted over the slice."""
         total, reach = int(self.first[-1]), WINDOW - ANCHOR
@@ -84,88 +94,121 @@ class Stretches:
         return doc[anchor], anchor, low, high, seed[anchor] & _SHORT, (self.hashes(low, high + WINDOW) ^ _mix(seed[anchor])) & _SHORT
 
 
-def thin_out(seed: np.ndarray, stretch: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, stretch, doc_id, hint, has a hint) of the entries of a slice, so that a seed that very many documents hold gets four rows of it at most.
+class Entries:
+    """Columns of index entries, one for each document and seed; see index_entries."""
+
+    names = ("seed", "doc_id", "source", "whole", "asked", "at", "mark", "stretch")
+
+    def __init__(self, seed: np.ndarray, key: np.ndarray, at: np.ndarray, mark: np.ndarray, stretch: np.ndarray):
+        order = np.lexsort((at, key, seed))
+        seed, key, at, mark, stretch = (x[order] for x in (seed, key, at, mark, stretch))
+        new = np.ones(len(seed), bool)
+        new[1:] = (seed[1:] != seed[:-1]) | (key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        #: whether the document has the seed in several surroundings
+        self.several = np.add.reduceat(stretch != np.repeat(stretch[first], np.diff(np.append(first, len(seed)))), first, dtype=np.int64) > 0 if len(first) else np.zeros(0, bool)
+        self.seed, self.doc_id, self.at, self.mark, self.stretch = seed[first], key[first], at[first], mark[first], stretch[first]
+        n = len(first)
+        self.source, self.settled, self.whole, self.asked = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool), self.several.copy()
+
+    def settle(self, part: slice, source: tuple) -> None:
+        """Give entries a source, (doc_id, at, mark, stretch)."""
+        self.source[part], self.settled[part] = source[0], True
+        self.whole[part] = (self.stretch[part] == source[3]) & ~self.several[part]
+        self.at[part], self.mark[part] = source[1], source[2]
 
-    An entry whose stretch a smaller document of the slice holds is settled:
-    that document is its hint. Of a seed in several surroundings of several
-    documents, those with the extreme stretches and documents speak for it;
-    the others, too, are border windows unless their stretch has a source, and
-    have their own doc_id as the hint. Rows with hints are dealt by a key of
-    their own.
+    def open(self, k: int, own: tuple) -> None:
+        """Undo what settle did to an entry, whose own (at, mark) are given: it asks in the index."""
+        self.settled[k] = self.whole[k] = False
+        self.asked[k], self.at[k], self.mark[k] = True, *own
+
+
+class Sources:
+    """Finds sources within a slice and, for seeds that a task has met in several documents, among what the task has met before.
+
+    Remembered is the smallest document with the seed: its entry has been left
+    open, and what it knows of others that ask (see index_entries).
     """
-    order = np.lexsort((keys, stretch, seed))
-    seed, stretch, keys = seed[order], stretch[order], keys[order]
-    own = seed.copy()
-    hint = keys.copy()
-    if not len(order):
-        return own, stretch, keys, hint, np.zeros(0, bool)
-    run = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (stretch[1:] != stretch[:-1])]))
-    least = np.repeat(keys[run], np.diff(np.append(run, len(keys))))
-    settled = least < keys
-    hint[settled] = least[settled]
-    own[settled] = _mix(seed[settled] + _mix(stretch[settled] + keys[settled].view("u8"))) & _SHORT
-    left = np.flatnonzero(~settled)
-    first = np.flatnonzero(np.concatenate([[True], seed[left[1:]] != seed[left[:-1]]]))
-    size = np.diff(np.append(first, len(left)))
-    low, high = np.minimum.reduceat(keys[left], first), np.maximum.reduceat(keys[left], first)
-    ends = first + size - 1
-    # both ends of a run speak for its stretches; its documents by the first with the smallest and the first with the largest id
-    mixed = np.repeat((low < high) & (stretch[left[first]] != stretch[left[ends]]) & (size > 4), size)
-    speaks = np.zeros(len(left), bool)
-    speaks[first] = speaks[ends] = True
-    at = np.repeat(np.arange(len(first)), size)
-    for end in (low, high):
-        found = np.flatnonzero(keys[left] == end[at])
-        speaks[found[np.unique(at[found], return_index=True)[1]]] = True
-    spread = left[mixed & ~speaks]
-    own[spread] = _mix(seed[spread] + _mix(stretch[spread])) & _SHORT
-    hinted = settled.copy()
-    hinted[spread] = True
-    return own, stretch, keys, hint, hinted
+
+    def __init__(self, most: int = 1 << 16):
+        self.most, self.known = most, {}
+
+    def settle(self, *columns: np.ndarray) -> Entries:
+        e = Entries(*columns)
+        new = np.ones(len(e.seed), bool)
+        new[1:] = e.seed[1:] != e.seed[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(e.seed)))
+        for k, s, n in zip(first.tolist(), e.seed[first].tolist(), size.tolist(), strict=True):
+            if n == 1 and s not in self.known:
+                continue
+            best, told = self.known.get(s, (None, False))
+            mine = (int(e.doc_id[k]), int(e.at[k]), e.mark[k], e.stretch[k])
+            if best and best[0] < mine[0]:
+                part, own = slice(k, k + n), (e.at[k : k + n].copy(), e.mark[k : k + n].copy())
+                e.settle(part, best)
+                lacking = np.flatnonzero(~e.whole[part])
+                if len(lacking) and not told:
+                    j = int(lacking[0])
+                    e.open(k + j, (own[0][j], own[1][j]))
+                    self.known[s] = best, True
+                continue
+            if n > 1:
+                e.settle(slice(k + 1, k + n), mine)
+                e.asked[k] |= not e.whole[k + 1 : k + n].all()
+            if not best or mine[0] < best[0]:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                self.known[s] = mine, bool(e.asked[k]) or told
+        return e
 
 
 def index_entries(docs: DataFrame) -> DataFrame:
-    """seed, stretch, doc_id, hint: the index of every block; an entry that a block holds twice is kept once. See thin_out.
+    """seed, doc_id, source, whole, asked, at, mark, stretch: an entry for each block and seed, at the seed's first place.
 
-    Both hashes keep 48 bits: a stretch is only compared within its seed, and a
-    seed that two blocks share by chance leads to border windows, which are
-    compared by 64 bits of their own.
+    Where the task knows a smaller block with the seed, that is the source, at
+    and mark are the source's, and whole says whether the stretch is the
+    source's too. Other entries are open: they have no source yet, at and mark
+    are their own, and asked says that windows of the seed will be looked up. So
+    of a seed that very many documents hold, a task leaves few entries open.
+
+    Seeds and marks keep 48 bits: a seed that two blocks share by chance leads to
+    a source that the parse finds to be wrong, and to windows that are looked up.
     """
 
     def make():
+        sources = Sources()
+
         def step(batch):
             keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for row, raws in text_slices(batch):
                 s = Stretches(raws)
-                doc, _, _, _, seed, stretch = s.anchors()
-                order = np.lexsort((stretch, doc))
-                if len(order):
-                    d, x = doc[order], stretch[order]
-                    order = order[np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])]
-                seed, stretch, own, hint, hinted = thin_out(seed[order], stretch[order], keys[row + doc[order]].astype(np.int64))
-                yield {"seed": pa.array(seed.view("i8")), "stretch": pa.array(stretch.view("i8")), "doc_id": pa.array(own, pa.int64()), "hint": pa.array(hint, pa.int64(), mask=~hinted)}
+                doc, anchor, _, _, seed, stretch = s.anchors()
+                e = sources.settle(seed, keys[row + doc].astype(np.int64), anchor - s.first[doc], s.before(anchor, doc), stretch)
+                yield {
+                    "seed": pa.array(e.seed.view("i8")), "doc_id": pa.array(e.doc_id), "source": pa.array(e.source, pa.int64(), mask=~e.settled), "whole": pa.array(e.whole), "asked": pa.array(e.asked), "at": pa.array(e.at, pa.int32()), "mark": pa.array(e.mark.view("i8")),
+                    "stretch": pa.array(e.stretch.view("i8")),
+                }
 
         return step
 
-    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), "seed long, stretch long, doc_id long, hint long", make)
+    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), "seed long, doc_id long, source long, whole boolean, asked boolean, at int, mark long, stretch long", make)
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """doc_id, found: the entries of a block that matter, as (stretch, source).
-
-    source is a smaller block with that stretch, the smallest but for entries
-    settled within their slice; null marks a stretch that no smaller block is
-    known to hold while another block holds its seed in other surroundings.
-    """
-    by_stretch = Window.partitionBy("seed", "stretch")
-    by_seed = Window.partitionBy("seed")
-    # the finer window first: one exchange and one sort serve both
-    seen = index_entries(docs).withColumn("source", F.least(F.min("doc_id").over(by_stretch), "hint"))
-    seen = seen.withColumn("few", F.min("doc_id").over(by_seed) == F.max("doc_id").over(by_seed)).withColumn("same", F.min("stretch").over(by_seed) == F.max("stretch").over(by_seed))
-    copied = F.col("source") < F.col("doc_id")
-    kept = seen.where(F.col("hint").isNotNull() | (~F.col("few") & (copied | ~F.col("same"))))
-    return kept.groupBy("doc_id").agg(F.collect_list(F.struct("stretch", F.when(copied, F.col("source")).alias("source"))).alias("found"))
+    """doc_id, found: (seed, source, whole, at, mark) for each seed of a block that a smaller block holds; source is null where it is the smallest itself and others will ask."""
+    # entries with a source have nothing to look for, so they are dealt by a key of their own
+    entries = index_entries(docs).withColumn("key", F.when(F.col("source").isNull(), F.col("seed")).otherwise(F.xxhash64("seed", "doc_id")))
+    every, ordered = Window.partitionBy("key"), Window.partitionBy("key").orderBy("doc_id")
+    for c in ("doc_id", "at", "mark", "stretch"):
+        entries = entries.withColumn(f"first_{c}", F.first(c).over(ordered))
+    settled, first = F.col("source").isNotNull(), F.col("first_doc_id") == F.col("doc_id")
+    entries = entries.withColumn("asks", F.max(~settled & (F.col("asked") | (F.col("stretch") != F.col("first_stretch")))).over(every))
+    kept = entries.where(settled | ~first | F.col("asks"))
+    theirs = lambda c: F.when(settled, F.col(c)).otherwise(F.col(f"first_{c}")).alias(c)
+    whole = F.when(settled, F.col("whole")).otherwise(~first & ~F.col("asked") & (F.col("stretch") == F.col("first_stretch")))
+    found = F.struct("seed", F.when(settled, F.col("source")).when(~first, F.col("first_doc_id")).alias("source"), whole.alias("whole"), theirs("at"), theirs("mark"))
+    return kept.groupBy("doc_id").agg(F.collect_list(found).alias("found"))
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -203,43 +246,86 @@ def unpacked_slices(batch: pa.RecordBatch):
         yield start, part
 
 
-def greedy_factors(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, stop, source) factors of sorted (start, stop, source) matches: one factor for as long as they touch in the same block."""
-    out: list[tuple[int, int, int]] = []
-    for start, stop, source in found:
-        if out and out[-1][2] == source and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], stop), source)
-        else:
-            out.append((start, stop, source))
+def _power(n: np.ndarray) -> np.ndarray:
+    """_STEP to the n."""
+    out, base = np.ones(len(n), np.uint64), _STEP
+    for bit in range(int(n.max(initial=0)).bit_length()):
+        out = np.where(n >> bit & 1, out * np.uint64(base), out)
+        base = base * base & (1 << 64) - 1
     return out
 
 
+def greedy_factors(doc: np.ndarray, at: np.ndarray, mark: np.ndarray, reach: tuple[np.ndarray, np.ndarray], source: np.ndarray, place: np.ndarray, there: np.ndarray, least: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(document, start, stop, source, place in the source) of the factors, of `least` words or more, that make up the parse.
+
+    at and mark are anchors' places in their documents and hashes of what is
+    before, place and there the same in the source of each; reach is how far
+    around an anchor the text is known to be the source's. A factor takes in a
+    next anchor if that lies as far on in the same source and the words up to it
+    are the same; of factors that begin together or within another, the one that
+    goes further counts.
+    """
+    order = np.lexsort((at, place - at, source, doc))
+    doc, at, mark, low, high, source, place, there = (x[order] for x in (doc, at, mark, *reach, source, place, there))
+    same = (doc[1:] == doc[:-1]) & (source[1:] == source[:-1]) & (place[1:] - at[1:] == place[:-1] - at[:-1])
+    same &= (((there[1:] - there[:-1]) * _power(at[:-1]) ^ (mark[1:] - mark[:-1]) * _power(place[:-1])) & _SHORT) == 0
+    first = np.flatnonzero(np.append(True, ~same)[: len(at)])
+    if not len(first):
+        return doc, at, at, source, place
+    start, stop = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+    long = stop - start >= least
+    order = np.flatnonzero(long)[np.lexsort((-stop[long], start[long], doc[first][long]))]
+    end = (doc[first[order]].astype(np.int64) << 32) + stop[order]
+    further = end > np.append(-1, np.maximum.accumulate(end)[:-1])[: len(end)]
+    order = order[further]
+    k = first[order]
+    return doc[k], start[order], stop[order], source[k], place[k] + start[order] - at[k]
+
+
 def factor_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, gone (packed bits, one a word), pending: the parse of every text that the index has something about.
 
-    gone marks the words of factors; pending lists the border windows, by hash
-    and first word, that have to be looked up.
+    gone marks the words of factors; pending lists the windows, by hash and
+    first word, that have to be looked up: those of anchors with a source, or
+    asked for by others, that no factor holds whole.
     """
 
     def make():
         def step(batch):
-            found = batch.column("found")
             for row, raws in unpacked_slices(batch):
                 s = Stretches(raws)
-                doc, _, low, high, _, stretch = s.anchors()
-                cut = np.searchsorted(doc, np.arange(len(raws) + 1))
-                gone_bits, pending = [], []
-                for k in range(len(raws)):
-                    hits = {x["stretch"]: x["source"] for x in found[row + k].as_py()}
-                    base, a = int(s.first[k]), slice(cut[k], cut[k + 1])
-                    mine = [(lo - base, hi - base, hits[x]) for lo, hi, x in zip(low[a].tolist(), high[a].tolist(), stretch[a].view("i8").tolist(), strict=True) if x in hits]
-                    gone = np.zeros(s.n[k], bool)
-                    for start, stop, _ in greedy_factors([(lo, hi + WINDOW, source) for lo, hi, source in mine if source is not None]):
-                        gone[start:stop] = True
-                    border = np.concatenate([np.arange(lo, hi + 1) for lo, hi, source in mine if source is None] or [np.empty(0, np.int64)])
-                    gone_bits.append(np.packbits(gone).tobytes() if gone.any() else None)
-                    pending.append([{"h": h, "at": at} for h, at in zip(s.hashes(border + base, border + base + WINDOW).view("i8").tolist(), border.tolist(), strict=True)])
-                yield {"doc_id": batch.column("doc_id")[row : row + len(raws)], "text_key": batch.column("text_key")[row : row + len(raws)], "gone": pa.array(gone_bits, pa.binary()), "pending": pa.array(pending, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))}
+                doc, anchor, low, high, seed, _ = s.anchors()
+                lists = batch.column("found").slice(row, len(raws))
+                of, found = np.repeat(np.arange(len(raws)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+                column = lambda c: found.field(c).fill_null(_NONE if c == "source" else 0).to_numpy(zero_copy_only=False)
+                key = lambda d, x: _mix(x + d.astype("u8") * np.uint64(_STEP))
+                have, want = key(of, column("seed").view("u8")), key(doc, seed)
+                order = np.argsort(have, kind="stable")
+                at = np.minimum(np.searchsorted(have[order], want), max(len(have) - 1, 0))
+                hit = np.flatnonzero(have[order[at]] == want) if len(have) else np.empty(0, np.int64)
+                of = order[at[hit]] if len(have) else hit
+                doc, anchor, low, high = doc[hit], anchor[hit], low[hit], high[hit]
+                source, whole = column("source")[of], found.field("whole").to_numpy(zero_copy_only=False).astype(bool)[of]
+                k, base = np.flatnonzero(source != _NONE), s.first[doc]
+                reach = tuple(np.where(whole, x, y)[k] - base[k] for x, y in ((low, anchor), (high + WINDOW, anchor + ANCHOR)))
+                fdoc, start, stop, _, _ = greedy_factors(doc[k], (anchor - base)[k], s.before(anchor, doc)[k], reach, source[k], column("at")[of][k].astype(np.int64), column("mark")[of][k].view("u8"))
+                start, stop = start + s.first[fdoc], stop + s.first[fdoc]
+                edge = np.zeros(int(s.first[-1]) + 1, np.int64)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, stop, -1)
+                gone = np.cumsum(edge) > 0
+                # windows of the other anchors, unless a factor holds them whole
+                doc, low, n = doc[~whole], low[~whole], (high - low + 1)[~whole]
+                window = np.repeat(low - np.append(0, np.cumsum(n)[:-1])[: len(n)], n) + np.arange(int(n.sum()))
+                last = np.searchsorted(start, window, "right") - 1
+                left = np.flatnonzero((last < 0) | (np.append(stop, 0)[last] < window + WINDOW))
+                wdoc, window = np.repeat(doc, n)[left], window[left]
+                pending = pa.StructArray.from_arrays([pa.array(s.hashes(window, window + WINDOW).view("i8")), pa.array(window - s.first[wdoc], pa.int32())], ["h", "at"])
+                bits = [gone[a:b] for a, b in zip(s.first.tolist(), s.first[1:].tolist(), strict=False)]
+                yield {
+                    "doc_id": batch.column("doc_id")[row : row + len(raws)], "text_key": batch.column("text_key")[row : row + len(raws)], "gone": pa.array([np.packbits(x).tobytes() if x.any() else None for x in bits], pa.binary()),
+                    "pending": pa.ListArray.from_arrays(pa.array(np.searchsorted(wdoc, np.arange(len(raws) + 1)), pa.int32()), pending),
+                }
 
         return step
 
@@ -257,7 +343,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def parse(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: every row of docs after the parse.
+    """doc_id, text_key, n_words, n_removed, kept: every row of docs after the parse.
 
     kept is the text of the words that stay, joined by one space, or with
     `digest` its SHA-256. Null and empty texts have no words; texts of fewer
@@ -280,26 +366,29 @@ def parse(docs: DataFrame, digest: bool = False) -> DataFrame:
                     n_removed.append(int(gone.sum()))
                     text = b" ".join(compress(words, (~gone).tolist()))
                     kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
-                yield {"doc_id": batch.column("doc_id")[row : row + len(raws)], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())}
+                yield {c: batch.column(c)[row : row + len(raws)] for c in ("doc_id", "text_key")} | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())}
 
         return step
 
     joined = packed_texts(docs).join(repeats(docs), ["doc_id", "text_key"], "left")
-    return map_batches(joined, "doc_id long, n_words long, n_removed long, kept string", make)
+    return map_batches(joined, "doc_id long, text_key long, n_words long, n_removed long, kept string", make)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs without the words that repeat a smaller document's passage; documents of which nothing is left go.
 
     Documents that lose nothing keep their text as it is; n_chars, where there
-    is such a column, follows the text. doc_id is taken to be unique.
+    is such a column, follows the text. Each row gets what is left of its own
+    text, also where rows repeat a doc_id.
     """
-    cut = parse(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept"), (F.col("n_removed") == F.col("n_words")).alias("_gone"))
-    out = docs.join(cut, "doc_id", "left").where("_gone is null or not _gone").withColumn("text", F.coalesce("_kept", "text"))
+    key, kept, whole = (fresh_name(docs, c) for c in ("text_key", "kept", "whole"))
+    cut = parse(docs).where("n_removed > 0").dropDuplicates(["doc_id", "text_key"]).select("doc_id", F.col("text_key").alias(key), F.col("kept").alias(kept), (F.col("n_removed") == F.col("n_words")).alias(whole))
+    out = docs.withColumn(key, F.xxhash64("text")).join(cut, ["doc_id", key], "left").where(F.col(whole).isNull() | ~F.col(whole))
+    new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+    return parse(table(spark, sf_dir, "documents"), digest=True).drop("text_key").withColumnRenamed("kept", "kept_sha256")
