@@ -144,11 +144,11 @@ class Lexicon:
 
     def ids(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each followed by its end; first place of each text)."""
-        get, rare, sizes = self.id.get, self.rare, []
+        get, rare, spelled, longest, sizes = self.id.get, self.rare, self.spelled, self.longest, []
         out: list[int] = []
         for raw in raws:
             words = raw.translate(ASCII_LOWER).split()
-            out += [get(w) or rare(w) for w in words]
+            out += [get(w) or (spelled[w[-3:]] if len(w) <= longest else rare(w)) for w in words]
             out.append(0)
             sizes.append(len(words) + 1)
         return np.array(out, np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
@@ -182,24 +182,31 @@ class LogBilinear:
         return np.concatenate([small, np.log(unigram)])
 
     def _sums(self, at: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(at, weights=g, minlength=self.classes) for g in grad.T], axis=1)
+        """Rows of grad added up by class, as one flat array."""
+        places = at[:, None] * self.dims + np.arange(self.dims)
+        return np.bincount(places.ravel(), weights=grad.ravel(), minlength=self.classes * self.dims)
 
     def nce_step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float) -> None:
         """One AdaGrad step for positions (a, b) -> w against `noise` classes that the batch shares."""
-        shift = log_noise + np.log(len(noise)).astype(log_noise.dtype)
-        r, q, qn = self.A[a] + self.B[b], self.Q[w], self.Q[noise]
-        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, q) + self.bias[w] - shift[w]))
-        false = r @ qn.T
-        false += self.bias[noise] - shift[noise]
-        np.negative(false, out=false)
+        shift = self.bias - log_noise - np.log(len(noise)).astype(log_noise.dtype)
+        r, q, qn = self.A.take(a, 0) + self.B.take(b, 0), self.Q.take(w, 0), self.Q.take(noise, 0)
+        up = 1 / (1 + np.exp(np.einsum("ij,ij->i", r, q) + shift[w]))
+        # 1 / (1 + exp(-score)) in place
+        false = r @ -qn.T
+        false -= shift[noise]
         np.exp(false, out=false)
         false += 1
         np.reciprocal(false, out=false)
         dr = up[:, None] * q - false @ qn
-        dq = self._sums(w, up[:, None] * r) - self._sums(noise, false.T @ r)
-        db = np.bincount(w, weights=up, minlength=self.classes) - np.bincount(noise, weights=false.sum(0), minlength=self.classes)
-        grad = (np.concatenate([self._sums(a, dr).ravel(), self._sums(b, dr).ravel(), dq.ravel(), db]) / len(w)).astype(self.params.dtype)
-        self.squares = grad * grad + (grad.dtype.type(1e-12) if self.squares is None else self.squares)
+        both = np.concatenate([w, noise])
+        grad, n = np.empty_like(self.params), self.classes * self.dims
+        grad[:n], grad[n : 2 * n] = self._sums(a, dr), self._sums(b, dr)
+        grad[2 * n : 3 * n] = self._sums(both, np.concatenate([up[:, None] * r, -(false.T @ r)]))
+        grad[3 * n :] = np.bincount(both, weights=np.concatenate([up, -false.sum(0)]), minlength=self.classes)
+        grad /= grad.dtype.type(len(w))
+        if self.squares is None:
+            self.squares = np.full_like(grad, 1e-12)
+        self.squares += grad * grad
         self.params += grad.dtype.type(rate) * grad / np.sqrt(self.squares)
 
     def normalisers(self) -> np.ndarray:
@@ -243,7 +250,7 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
 
         def make(turn=turn, rate=rate, now=now):
             model, rng = LogBilinear(now.value.astype(np.float32), classes), np.random.default_rng(11)
-            seen, own = 0, np.zeros(lexicon.value.size, np.int64)
+            seen, own, drawn = 0, np.zeros(lexicon.value.size, np.int64), np.cumsum(unigram)
 
             def step(batch):
                 nonlocal seen
@@ -254,9 +261,11 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
                     w = lexicon.value.classes_of(ids)
                     a, b = contexts(w, first)
                     order = rng.permutation(len(w))
-                    for s in range(0, len(w), batch_size):
-                        at = order[s : s + batch_size]
-                        model.nce_step(a[at], b[at], w[at], rng.choice(classes, samples, p=unigram), log_noise, rate)
+                    a, b, w = a[order], b[order], w[order]
+                    noise = np.minimum(np.searchsorted(drawn, rng.random((-(-len(w) // batch_size), samples))), classes - 1)
+                    for k, s in enumerate(range(0, len(w), batch_size)):
+                        at = slice(s, s + batch_size)
+                        model.nce_step(a[at], b[at], w[at], noise[k], log_noise, rate)
                     seen += len(w)
                 yield from ()
 
@@ -281,19 +290,19 @@ def _rare_words(rows: DataFrame, lexicon) -> DataFrame:
 
     def make():
         def step(batch):
-            known, rare = lexicon.value.id, lexicon.value.rare
+            known, rare, spelled, longest = lexicon.value.id, lexicon.value.rare, lexicon.value.spelled, lexicon.value.longest
             for row, raws in text_slices(batch):
                 at, names, kinds, times = [], [], [], []
                 for k, raw in enumerate(raws):
                     own = Counter([w for w in raw.translate(ASCII_LOWER).split() if w not in known])
-                    for w, n in own.items():
-                        if (kind := rare(w)) < 0:
-                            at.append(row + k)
-                            names.append(name_of(w, lexicon.value.longest))
-                            kinds.append(-1 - kind)
-                            times.append(n)
+                    if own and len(max(own, key=len)) > longest:
+                        own = Counter({name_of(w, longest): n for w, n in own.items() if rare(w) < 0})
+                    at += [row + k] * len(own)
+                    names += own
+                    kinds += [spelled[w[-3:]] for w in own]
+                    times += own.values()
                 take = pa.array(at, pa.int32())
-                yield {"word": pa.array(names, pa.binary()).cast(pa.string()), "kind": pa.array(kinds, pa.int16()), "times": pa.array(times, pa.int32())} | {c: batch.column(c).take(take) for c in ("doc", "text_key", "held_out")}
+                yield {"word": pa.array(names, pa.binary()).cast(pa.string()), "kind": pa.array(-1 - np.array(kinds, np.int16)), "times": pa.array(times, pa.int32())} | {c: batch.column(c).take(take) for c in ("doc", "text_key", "held_out")}
 
         return step
 
