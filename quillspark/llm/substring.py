@@ -164,13 +164,15 @@ class Sources:
 
 
 def index_entries(docs: DataFrame) -> DataFrame:
-    """seed, doc_id, source, whole, asked, at, mark, stretch: an entry for each block and seed, at the seed's first place.
+    """key, seed, doc_id, source, whole, asked, at, mark, stretch: an entry for each block and seed, at the seed's first place.
 
     Where the task knows a smaller block with the seed, that is the source, at
     and mark are the source's, and whole says whether the stretch is the
     source's too. Other entries are open: they have no source yet, at and mark
-    are their own, and asked says that windows of the seed will be looked up. So
-    of a seed that very many documents hold, a task leaves few entries open.
+    are their own, and asked says that windows of the seed will be looked up; the seed is
+    the key. Entries with a source have nothing to look for and are dealt by keys
+    of their own. So of a seed that very many documents hold, a task leaves few
+    entries with its key.
 
     Seeds and marks keep 48 bits: a seed that two blocks share by chance leads to
     a source that the parse finds to be wrong, and to windows that are looked up.
@@ -186,19 +188,18 @@ def index_entries(docs: DataFrame) -> DataFrame:
                 doc, anchor, _, _, seed, stretch = s.anchors()
                 e = sources.settle(seed, keys[row + doc].astype(np.int64), anchor - s.first[doc], s.before(anchor, doc), stretch)
                 yield {
-                    "seed": pa.array(e.seed.view("i8")), "doc_id": pa.array(e.doc_id), "source": pa.array(e.source, pa.int64(), mask=~e.settled), "whole": pa.array(e.whole), "asked": pa.array(e.asked), "at": pa.array(e.at, pa.int32()), "mark": pa.array(e.mark.view("i8")),
+                    "key": pa.array(np.where(e.settled, _mix(e.seed + _mix(e.doc_id.view("u8"))), e.seed).view("i8")), "seed": pa.array(e.seed.view("i8"), mask=~e.settled), "doc_id": pa.array(e.doc_id), "source": pa.array(e.source, pa.int64(), mask=~e.settled), "whole": pa.array(e.whole), "asked": pa.array(e.asked), "at": pa.array(e.at, pa.int32()), "mark": pa.array(e.mark.view("i8")),
                     "stretch": pa.array(e.stretch.view("i8")),
                 }
 
         return step
 
-    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), "seed long, doc_id long, source long, whole boolean, asked boolean, at int, mark long, stretch long", make)
+    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), "key long, seed long, doc_id long, source long, whole boolean, asked boolean, at int, mark long, stretch long", make)
 
 
 def matches(docs: DataFrame) -> DataFrame:
     """doc_id, found: (seed, source, whole, at, mark) for each seed of a block that a smaller block holds; source is null where it is the smallest itself and others will ask."""
-    # entries with a source have nothing to look for, so they are dealt by a key of their own
-    entries = index_entries(docs).withColumn("key", F.when(F.col("source").isNull(), F.col("seed")).otherwise(F.xxhash64("seed", "doc_id")))
+    entries = index_entries(docs)
     every, ordered = Window.partitionBy("key"), Window.partitionBy("key").orderBy("doc_id")
     for c in ("doc_id", "at", "mark", "stretch"):
         entries = entries.withColumn(f"first_{c}", F.first(c).over(ordered))
@@ -207,7 +208,7 @@ def matches(docs: DataFrame) -> DataFrame:
     kept = entries.where(settled | ~first | F.col("asks"))
     theirs = lambda c: F.when(settled, F.col(c)).otherwise(F.col(f"first_{c}")).alias(c)
     whole = F.when(settled, F.col("whole")).otherwise(~first & ~F.col("asked") & (F.col("stretch") == F.col("first_stretch")))
-    found = F.struct("seed", F.when(settled, F.col("source")).when(~first, F.col("first_doc_id")).alias("source"), whole.alias("whole"), theirs("at"), theirs("mark"))
+    found = F.struct(F.coalesce("seed", "key").alias("seed"), F.when(settled, F.col("source")).when(~first, F.col("first_doc_id")).alias("source"), whole.alias("whole"), theirs("at"), theirs("mark"))
     return kept.groupBy("doc_id").agg(F.collect_list(found).alias("found"))
 
 
@@ -282,16 +283,48 @@ def greedy_factors(doc: np.ndarray, at: np.ndarray, mark: np.ndarray, reach: tup
     return doc[k], start[order], stop[order], source[k], place[k] + start[order] - at[k]
 
 
+class Lookups:
+    """Windows to look up; those that a smaller document of the slice has, or one that the task has met before, are settled."""
+
+    def __init__(self, most: int = 1 << 16):
+        self.most, self.known = most, {}
+
+    def settled(self, h: np.ndarray, key: np.ndarray) -> np.ndarray:
+        order = np.lexsort((key, h))
+        h, key = h[order], key[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(h)))
+        least = key[first]
+        for k, x, n in zip(range(len(first)), h[first].tolist(), size.tolist(), strict=True):
+            best = self.known.get(x)
+            if best is not None and best < least[k]:
+                least[k] = best
+            elif best is not None or n > 1:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                self.known[x] = int(least[k])
+        out = np.zeros(len(h), bool)
+        out[order] = np.repeat(least, size) < key
+        return out
+
+
 def factor_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, gone (packed bits, one a word), pending: the parse of every text that the index has something about.
 
     gone marks the words of factors; pending lists the windows, by hash and
-    first word, that have to be looked up: those of anchors with a source, or
-    asked for by others, that no factor holds whole.
+    places, that have to be looked up: those of anchors with a source, or
+    asked for by others, that no factor holds whole. What a task can settle of
+    these is marked in gone too, so that it leaves few of a window that very
+    many documents have.
     """
 
     def make():
+        lookups = Lookups()
+
         def step(batch):
+            keys = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for row, raws in unpacked_slices(batch):
                 s = Stretches(raws)
                 doc, anchor, low, high, seed, _ = s.anchors()
@@ -310,27 +343,34 @@ def factor_documents(docs: DataFrame) -> DataFrame:
                 reach = tuple(np.where(whole, x, y)[k] - base[k] for x, y in ((low, anchor), (high + WINDOW, anchor + ANCHOR)))
                 fdoc, start, stop, _, _ = greedy_factors(doc[k], (anchor - base)[k], s.before(anchor, doc)[k], reach, source[k], column("at")[of][k].astype(np.int64), column("mark")[of][k].view("u8"))
                 start, stop = start + s.first[fdoc], stop + s.first[fdoc]
-                edge = np.zeros(int(s.first[-1]) + 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, stop, -1)
-                gone = np.cumsum(edge) > 0
                 # windows of the other anchors, unless a factor holds them whole
                 doc, low, n = doc[~whole], low[~whole], (high - low + 1)[~whole]
                 window = np.repeat(low - np.append(0, np.cumsum(n)[:-1])[: len(n)], n) + np.arange(int(n.sum()))
                 last = np.searchsorted(start, window, "right") - 1
                 left = np.flatnonzero((last < 0) | (np.append(stop, 0)[last] < window + WINDOW))
                 wdoc, window = np.repeat(doc, n)[left], window[left]
-                pending = pa.StructArray.from_arrays([pa.array(s.hashes(window, window + WINDOW).view("i8")), pa.array(window - s.first[wdoc], pa.int32())], ["h", "at"])
+                h = s.hashes(window, window + WINDOW).view("i8")
+                settled = lookups.settled(h, keys[row + wdoc])
+                edge = np.zeros(int(s.first[-1]) + 1, np.int64)
+                for at, change in ((start, 1), (stop, -1), (window[settled], 1), (window[settled] + WINDOW, -1)):
+                    np.add.at(edge, at, change)
+                gone = np.cumsum(edge) > 0
+                wdoc, window, h = wdoc[~settled], window[~settled], h[~settled]
+                order = np.lexsort((window, h, wdoc))
+                wdoc, window, h = wdoc[order], window[order], h[order]
+                one = np.flatnonzero(np.append(True, (wdoc[1:] != wdoc[:-1]) | (h[1:] != h[:-1]))[: len(h)])
+                at = pa.ListArray.from_arrays(pa.array(np.append(one, len(h)), pa.int32()), pa.array(window - s.first[wdoc], pa.int32()))
+                pending = pa.StructArray.from_arrays([pa.array(h[one]), at], ["h", "at"])
                 bits = [gone[a:b] for a, b in zip(s.first.tolist(), s.first[1:].tolist(), strict=False)]
                 yield {
                     "doc_id": batch.column("doc_id")[row : row + len(raws)], "text_key": batch.column("text_key")[row : row + len(raws)], "gone": pa.array([np.packbits(x).tobytes() if x.any() else None for x in bits], pa.binary()),
-                    "pending": pa.ListArray.from_arrays(pa.array(np.searchsorted(wdoc, np.arange(len(raws) + 1)), pa.int32()), pending),
+                    "pending": pa.ListArray.from_arrays(pa.array(np.searchsorted(wdoc[one], np.arange(len(raws) + 1)), pa.int32()), pending),
                 }
 
         return step
 
     joined = packed_texts(docs).join(matches(docs), "doc_id")
-    return map_batches(joined, "doc_id long, text_key long, gone binary, pending array<struct<h:bigint,at:int>>", make)
+    return map_batches(joined, "doc_id long, text_key long, gone binary, pending array<struct<h:bigint,at:array<int>>>", make)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -338,7 +378,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     parsed = settle_table(factor_documents(docs).dropDuplicates(["doc_id", "text_key"]))
     single = parsed.select("doc_id", "text_key", F.explode("pending").alias("w")).select("doc_id", "text_key", "w.h", "w.at")
     least = single.groupBy("h").agg(F.min("doc_id").alias("source"))
-    late = single.join(least, "h").where("source < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("late"))
+    late = single.join(least, "h").where("source < doc_id").groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("at")).alias("late"))
     return parsed.select("doc_id", "text_key", "gone").join(late, ["doc_id", "text_key"], "left").where("gone is not null or late is not null")
 
 

@@ -67,7 +67,7 @@ def test_passage_in_most_documents(docs):
     rng.shuffle(ids)
     frame = docs([(i, t) for i, (_, t) in zip(ids, rows, strict=True)] * 1)
     entries = substring.index_entries(frame.coalesce(1))
-    assert entries.where("source is null").groupBy("seed").count().agg({"count": "max"}).first()[0] <= 2 and entries.groupBy("seed").count().agg({"count": "max"}).first()[0] > 250
+    assert entries.groupBy("key").count().agg({"count": "max"}).first()[0] <= 2 and entries.groupBy(F.coalesce("seed", "key")).count().agg({"count": "max"}).first()[0] > 250
 
 
 def test_task_remembers_smallest_documents():
@@ -85,6 +85,24 @@ def test_task_remembers_smallest_documents():
         assert 1 <= left < 24
 
 
+def test_windows_of_many_documents(docs):
+    """Of a window that most documents look up, a task leaves those of documents smaller than all before."""
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(0, " ".join(passage))] + [(i, " ".join([f"{rng.random()}" for _ in range(9)] + passage[5:] + passage[: rng.randrange(3, 30)])) for i in range(1, 300)]
+    assert run(docs(rows)) == slow(rows)
+    pending = substring.factor_documents(docs(rows).coalesce(1)).select(F.explode("pending.h").alias("h")).groupBy("h").count()
+    assert pending.agg({"count": "max"}).first()[0] <= 40
+    lookups, ids, left = substring.Lookups(), list(range(1000)), 0
+    rng.shuffle(ids)
+    for k in range(0, 1000, 5):
+        key = np.array(ids[k : k + 5])
+        settled = lookups.settled(np.ones(5, np.int64), key)
+        assert not settled[key == min(ids[: k + 5])].any() or key[settled].min() > min(ids[: k + 5])
+        left += int((~settled).sum())
+    assert left < 60
+
+
 def test_factors_decide(docs, monkeypatch):
     """The words of a passage are marked by its factor; only windows at borders are looked up, and without factors the passage stays."""
     rng = random.Random(4)
@@ -122,6 +140,9 @@ def test_factors_by_hand():
 
 def test_long_and_periodic_texts(docs):
     long = " ".join(f"w{k}" for k in range(150_000))
+    periodic = [(8, "p q " * 40 + "z"), (9, "y " + "p q " * 2000), (10, "q p " * 1500 + "x"), (11, "p q " * 13)]
+    assert run(docs(periodic)) == slow(periodic)
+    assert substring.factor_documents(docs(periodic)).select(F.max(F.size("pending"))).first()[0] < 60  # a window of a document is one row, at however many places it is
     rows = [(1, "start " + long), (2, long + " end"), (3, "same " * 3000), (4, "same " * 2000 + "tail"), (5, "a b c " * 800), (6, "b c a " * 900), (7, "a b c d " * 500)]
     assert run(docs(rows)) == slow(rows)
 
