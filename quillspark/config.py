@@ -75,6 +75,15 @@ class LLMConfig:
         return "local" if "localhost" in host or "127.0.0.1" in host else host.split("//")[-1].split("/")[0]
 
 
+def llm_presets(environ) -> dict[str, LLMConfig]:
+    """local and cloud, from QUILL_LOCAL_URL, QUILL_LOCAL_MODEL, QUILL_CLOUD_URL, QUILL_CLOUD_MODEL, QUILL_CLOUD_KEY of the environment."""
+    of = lambda name, default="": environ.get(f"QUILL_{name}", default)
+    out = {"local": LLMConfig(of("LOCAL_URL", "http://localhost:11434/v1"), of("LOCAL_MODEL", "llama3.2:3b"))}
+    if of("CLOUD_URL"):
+        out["cloud"] = LLMConfig(of("CLOUD_URL"), of("CLOUD_MODEL"), of("CLOUD_KEY"))
+    return out
+
+
 def choose_llm(presets: dict[str, LLMConfig], name: str | None = None) -> LLMConfig:
     """The named preset, or else the first that needs no key or has one."""
     if name is not None:

@@ -13,8 +13,8 @@ from quillspark.functions.text import quantised
 
 #: Averages of a summary row, in the order of its columns.
 MEASURES = ("gold_similarity", "fact_recall", "context_precision", "context_recall", "distractor_rate", "retrieval_latency_ms", "generation_latency_ms", "total_latency_ms", "context_tokens")
-#: Fixed names and limits of the failure modes.
-MODES = ("correct", "partial_answer", "insufficient_context", "wrong_source")
+#: Names of the failure modes, in the order of their bars.
+MODES = ("correct", "partial", "wrong_source", "insufficient")
 
 
 def with_parts(results: DataFrame) -> DataFrame:
@@ -49,18 +49,15 @@ def grid(results: DataFrame, dimension: str, categories=None) -> DataFrame:
 
 def all_grids(results: DataFrame) -> DataFrame:
     """The three grids in one pass: question_category and one of chunking, search, top_k."""
-    rows = with_parts(results)
-    rows.createOrReplaceTempView("_grid_rows")
-    return results.sparkSession.sql(
-        """SELECT question_category, chunking, search, top_k, avg(gold_similarity) AS similarity FROM _grid_rows
-        GROUP BY GROUPING SETS ((question_category, chunking), (question_category, search), (question_category, top_k))"""
-    )
+    category, dims = F.col("question_category"), [F.col(c) for c in ("chunking", "search", "top_k")]
+    sets = with_parts(results).groupingSets([[category, d] for d in dims], category, *dims)
+    return sets.agg(F.avg("gold_similarity").alias("similarity")).select("question_category", "chunking", "search", "top_k", "similarity")
 
 
 def failure_mode() -> Column:
     """The first that fits; what has low similarity in spite of good sources is again taken for a wrong source."""
     return (
-        F.when((F.col("gold_similarity") >= 0.8) & (F.col("fact_recall") >= 0.8), "correct").when(F.col("context_precision") < 0.3, "wrong_source").when(F.col("context_recall") < 0.5, "insufficient_context").when(F.col("gold_similarity") >= 0.5, "partial_answer").otherwise("wrong_source")
+        F.when((F.col("gold_similarity") >= 0.8) & (F.col("fact_recall") >= 0.8), "correct").when(F.col("context_precision") < 0.3, "wrong_source").when(F.col("context_recall") < 0.5, "insufficient").when(F.col("gold_similarity") >= 0.5, "partial").otherwise("wrong_source")
     )
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quillspark.config import CHUNKINGS, PARAGRAPH_TOKENS, SEMANTIC_THRESHOLD, WINDOWS
 from quillspark.functions.text import let, lexical_cosine, pieces, sentences, terms, words
+from quillspark.operators.score import vector_similarity
+from quillspark.providers import embed_lists
 
 
 def window_count(n: Column, window: int, overlap: int) -> Column:
@@ -85,19 +87,23 @@ def merged_sizes(sizes: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), F.array().cast("array<int>"), step)
 
 
-def chunk_semantic(docs: DataFrame, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
+def chunk_semantic(docs: DataFrame, threshold: float = SEMANTIC_THRESHOLD, embedder=None) -> DataFrame:
     """Neighbouring sentences that are alike stay together; texts of up to two sentences stay whole, as they are.
 
-    Likeness is the cosine of the sentences' word sets, the offline stand-in for
-    an embedding model.
+    Likeness is the cosine of the sentences' vectors, or without an embedder of
+    their word sets.
     """
     text = F.coalesce("text", F.lit(""))
+    if embedder is not None:
+        parts = docs.select("source_file", text.alias("text"), sentences(text).alias("parts"))
+        docs = embed_lists(parts, embedder, "parts", "vectors")
 
     def likeness(t: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: lexical_cosine(F.get(t, i - 1), F.get(t, i)) >= threshold)
+        alike = lexical_cosine if embedder is None else vector_similarity
+        return F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: alike(F.get(t, i - 1), F.get(t, i)) >= threshold)
 
     def joined(s: Column) -> Column:
-        sizes = let(group_sizes(let(F.transform(s, terms), likeness)), merged_sizes)
+        sizes = let(group_sizes(let(F.transform(s, terms) if embedder is None else F.col("vectors"), likeness)), merged_sizes)
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
         step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(F.array_join(F.slice(s, acc["at"] + 1, n), " "))).alias("out"))
         return F.aggregate(sizes, start, step)["out"]
@@ -105,15 +111,15 @@ def chunk_semantic(docs: DataFrame, threshold: float = SEMANTIC_THRESHOLD) -> Da
     return _explode(docs, "semantic", let(sentences(text), lambda s: F.when(F.size(s) > 2, joined(s)).otherwise(F.array(text))))
 
 
-def chunk(docs: DataFrame, strategy: str, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
+def chunk(docs: DataFrame, strategy: str, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, embedder=None) -> DataFrame:
     if strategy in WINDOWS:
         return chunk_fixed(docs, *WINDOWS[strategy], strategy)
     if strategy == "paragraph":
         return chunk_paragraph(docs, delimiter)
     if strategy == "semantic":
-        return chunk_semantic(docs, threshold)
+        return chunk_semantic(docs, threshold, embedder)
     raise ValueError(f"unknown chunking {strategy!r}; there are {CHUNKINGS}")
 
 
-def chunk_all(docs: DataFrame, strategies=CHUNKINGS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
-    return reduce(DataFrame.unionByName, (chunk(docs, s, delimiter, threshold) for s in strategies))
+def chunk_all(docs: DataFrame, strategies=CHUNKINGS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, embedder=None) -> DataFrame:
+    return reduce(DataFrame.unionByName, (chunk(docs, s, delimiter, threshold, embedder) for s in strategies))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.config import CHUNKINGS, SEARCHES, SEMANTIC_THRESHOLD, TOP_KS
+from quillspark.config import CHUNKINGS, DEPTH, SEARCHES, SEMANTIC_THRESHOLD, TOP_KS
 from quillspark.functions.text import lexical_cosine, terms
 from quillspark.operators.chunk import chunk_all
-from quillspark.operators.index import build_index
-from quillspark.operators.retrieve import ranked_pairs, retrieve, score_pairs
-from quillspark.operators.score import fact_scores, retrieval_scores
-from quillspark.providers import extractive_answer
+from quillspark.operators.index import KEY, build_index, stored_index
+from quillspark.operators.retrieve import best_pairs, nearest, ranked_pairs, retrieve
+from quillspark.operators.score import fact_scores, retrieval_counts, vector_similarity
+from quillspark.providers import Models, chat_answers, embed, extractive_answer, rescore
+from quillspark.sources.files import corpus_fingerprint, kept
 
 SEPARATOR = "\n---\n"
 
@@ -40,28 +41,73 @@ def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return ordered.select("config_name", "question_id", F.array_join(F.col("h.text"), SEPARATOR).alias("context"), tokens.cast("int").alias("context_tokens"), F.col("h.source_file").alias("sources"), F.get("h.text", F.lit(0)).alias("best_text"), F.size("h").alias("chunks_retrieved"))
 
 
-def find_hits(chunks: DataFrame, questions: DataFrame, searches=SEARCHES, top_ks=TOP_KS) -> DataFrame:
-    return retrieve(ranked_pairs(score_pairs(build_index(chunks), questions, set(searches) != {"bm25"})), searches, top_ks)
-
-
-def evaluate(docs: DataFrame, questions: DataFrame, chunkings=CHUNKINGS, searches=SEARCHES, top_ks=TOP_KS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
+def vector_pairs(chunks: DataFrame, questions: DataFrame, models: Models, depth: int) -> DataFrame:
+    """KEY, question_id, cosine: the `depth` nearest chunks of each question by the embedder's vectors."""
+    keyed = chunks.select(*KEY, "text", F.xxhash64(*KEY).alias("id"))
+    asked = embed(questions.select("question_id", F.xxhash64(F.lit("question"), "question_id").alias("id"), F.coalesce("question", F.lit("")).alias("text")), models.embedder)
+    out = None
+    for strategy in sorted(r["strategy"] for r in chunks.select("strategy").distinct().collect()):  # the names of the chunkings
+        held = embed(keyed.where(F.col("strategy") == strategy), models.embedder)
+        found = nearest(held.select("id", "vec"), asked.select("id", "vec"), depth).withColumn("strategy", F.lit(strategy))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return keyed.select(*KEY, F.lit("").alias("question_id"), F.lit(0.0).alias("cosine")).limit(0)
+    return out.join(keyed.drop("text"), ["strategy", "id"]).join(asked.select(F.col("id").alias("query_id"), "question_id"), "query_id").select(*KEY, "question_id", F.col("score").alias("cosine"))
+
+
+def find_hits(chunks: DataFrame, questions: DataFrame, searches=SEARCHES, top_ks=TOP_KS, models: Models = Models(), index=None) -> DataFrame:
+    """The hits of every configuration. With an embedder vector search goes by its vectors, with a reranker rescoring by its scores, else by their stand-ins."""
+    depth = max(top_ks) * max(DEPTH[s] for s in searches)
+    own_vectors = set(searches) != {"bm25"} and models.embedder is None
+    pairs = best_pairs(index or build_index(chunks), questions, depth, own_vectors)
+    if models.embedder and set(searches) != {"bm25"}:
+        on = [*KEY, "question_id"]
+        pairs = pairs.drop("cosine").join(vector_pairs(chunks, questions, models, depth), on, "full").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    ranked = ranked_pairs(pairs, depth)
+    if models.reranker and "hybrid_rerank" in searches:
+        texts = ranked.join(chunks.select(*KEY, "text"), KEY).join(questions.select("question_id", "question"), "question_id")
+        ranked = rescore(texts, models.reranker).withColumn("coverage", F.col("rerank_score")).drop("text", "question", "rerank_score")
+    return retrieve(ranked, searches, top_ks)
+
+
+def evaluate(
+    docs: DataFrame, questions: DataFrame, chunkings=CHUNKINGS, searches=SEARCHES, top_ks=TOP_KS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, models: Models = Models(), index_folder: str | None = None, gold: DataFrame | None = None, distractors: DataFrame | None = None
+) -> DataFrame:
     """A row for each configuration and question, also where nothing is retrieved.
 
     questions: question_id, question, category, difficulty, gold_answer,
-    gold_source_ids, distractors, key_facts. Answers come from the extractive
-    stand-in. Latencies are modelled, not measured: a candidate costs 1 ms, a
-    rescored one 20 ms, a context token 0.5 ms; so results repeat.
+    key_facts, and gold_source_ids, distractors unless these are given as tables
+    (see retrieval_counts). Models that are not given have stand-ins: answers are
+    then extracts and latencies modelled, so that results repeat: a candidate
+    costs 1 ms, a rescored one 20 ms, a context token 0.5 ms. With an
+    index_folder chunks and index are kept there, by a fingerprint of the documents.
     """
-    chunks = chunk_all(docs, chunkings, delimiter, threshold)
-    hits = find_hits(chunks, questions, searches, top_ks)
+    chunks = chunk_all(docs, chunkings, delimiter, threshold, models.embedder)
+    index = None
+    if index_folder:
+        folder = f"{index_folder}/{corpus_fingerprint(docs, repr((tuple(chunkings), delimiter, threshold, type(models.embedder).__name__)))}"
+        made = chunks
+        chunks = kept(docs.sparkSession, f"{folder}/chunks", lambda: made)
+        index = stored_index(chunks, folder)
+    hits = find_hits(chunks, questions, searches, top_ks, models, index)
     plan = experiment_plan(config_matrix(docs.sparkSession, chunkings, searches, top_ks), questions)
-    rows = plan.join(contexts(hits, chunks), ["config_name", "question_id"], "left").withColumn("generated_answer", F.when(F.col("chunks_retrieved") > 0, extractive_answer(F.col("question"), F.col("best_text"))).otherwise(""))
+    gold = questions.select("question_id", F.explode("gold_source_ids").alias("source_file")) if gold is None else gold
+    distractors = questions.select("question_id", F.explode("distractors").alias("source_file")) if distractors is None else distractors
+    rows = plan.join(contexts(hits, chunks), ["config_name", "question_id"], "left").join(retrieval_counts(hits, gold, distractors), ["config_name", "question_id"], "left")
     tokens, got = F.coalesce("context_tokens", F.lit(0)), F.coalesce("chunks_retrieved", F.lit(0))
-    reach = F.col("top_k") * F.when(F.col("search") == "hybrid", 4).when(F.col("search") == "hybrid_rerank", 66).otherwise(1)
-    similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), lexical_cosine(terms(F.col("generated_answer")), terms(F.col("gold_answer")))))
+    if models.llm:
+        rows = chat_answers(rows.withColumn("context", F.coalesce("context", F.lit(""))), models.llm, models.prompt).withColumnRenamed("answer", "generated_answer")
+    else:
+        rows = rows.withColumn("generated_answer", F.when(F.col("chunks_retrieved") > 0, extractive_answer(F.col("question"), F.col("best_text"))).otherwise("")).withColumn("generation_latency_ms", (0.5 * tokens).cast("double"))
+    reach = F.col("top_k") * F.when(F.col("search") == "hybrid", 2 * DEPTH["hybrid"]).when(F.col("search") == "hybrid_rerank", 22 * DEPTH["hybrid_rerank"]).otherwise(1)
+    if models.embedder:
+        both = embed(embed(rows, models.embedder, "generated_answer", "answer_vec"), models.embedder, "gold_answer", "gold_vec")
+        rows, similarity = both, vector_similarity(F.col("answer_vec"), F.col("gold_vec"))
+    else:
+        similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), lexical_cosine(terms(F.col("generated_answer")), terms(F.col("gold_answer")))))
     facts = fact_scores(F.col("generated_answer"), F.col("key_facts"))
     return rows.select(
-        "config_name", "question_id", F.col("question").alias("question_text"), F.col("category").alias("question_category"), F.col("difficulty").alias("question_difficulty"), got.cast("int").alias("chunks_retrieved"), reach.cast("double").alias("retrieval_latency_ms"), (0.5 * tokens).cast("double").alias("generation_latency_ms"),
-        (reach + 0.5 * tokens).cast("double").alias("total_latency_ms"), tokens.cast("int").alias("context_tokens"), *[c.alias(n) for n, c in retrieval_scores(F.col("sources"), F.col("gold_source_ids"), F.col("distractors")).items()], similarity.alias("gold_similarity"), facts["fact_recall"].alias("fact_recall"),
+        "config_name", "question_id", F.col("question").alias("question_text"), F.col("category").alias("question_category"), F.col("difficulty").alias("question_difficulty"), got.cast("int").alias("chunks_retrieved"), reach.cast("double").alias("retrieval_latency_ms"), "generation_latency_ms",
+        (reach + F.col("generation_latency_ms")).cast("double").alias("total_latency_ms"), tokens.cast("int").alias("context_tokens"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("context_precision", "context_recall", "distractor_rate")], similarity.alias("gold_similarity"), facts["fact_recall"].alias("fact_recall"),
         facts["missing_facts"].alias("missing_facts"), "generated_answer", "gold_answer",
     )

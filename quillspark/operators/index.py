@@ -52,10 +52,25 @@ def term_statistics(df: DataFrame, corpus: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), "strategy").select("strategy", "term", "df", idf.alias("idf"), F.log(1 + F.col("n_chunks") / F.col("df")).alias("weight"))
 
 
+def stored_index(chunks: DataFrame, folder: str) -> Index:
+    """build_index kept in a folder, which has to be named for the chunks' texts and settings; a part that is there is read."""
+    from quillspark.sources.files import kept
+
+    spark = chunks.sparkSession
+    part = lambda name, build: kept(spark, f"{folder.rstrip('/')}/{name}", build)
+    postings, sizes = part("postings", lambda: postings_of(chunks)), part("lengths", lambda: lengths(chunks))
+    corpus = part("corpus", lambda: sizes.groupBy("strategy").agg(F.count("*").alias("n_chunks"), (F.sum("dl") / F.count("*")).alias("avgdl")))
+    stats = part("terms", lambda: term_statistics(postings.groupBy("strategy", "term").agg(F.count("*").alias("df")), corpus))
+    return Index(postings, sizes, part("norms", lambda: norms_of(postings, stats)), stats, corpus)
+
+
+def norms_of(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    weighted = postings.join(stats.select("strategy", "term", "weight"), ["strategy", "term"])
+    return weighted.groupBy(*KEY).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("weight"), 2))).alias("norm"))
+
+
 def build_index(chunks: DataFrame) -> Index:
     """An empty table gives empty statistics, so retrieval over it returns no rows."""
     postings, corpus = postings_of(chunks), corpus_statistics(chunks)
     stats = term_statistics(document_frequencies(chunks), corpus)
-    weighted = postings.join(stats.select("strategy", "term", "weight"), ["strategy", "term"])
-    norms = weighted.groupBy(*KEY).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("weight"), 2))).alias("norm"))
-    return Index(postings, lengths(chunks), norms, stats, corpus)
+    return Index(postings, lengths(chunks), norms_of(postings, stats), stats, corpus)

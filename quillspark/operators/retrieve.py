@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ from quillspark.operators.index import KEY, Index
 
 #: Vectors of one block of the exact nearest-neighbour search.
 BLOCK_ROWS = 4096
-#: Rows of a side that is sent to all executors, at most (about 100 MB), and the chunkings that multiply the questions' terms.
-BROADCAST_ROWS, STRATEGIES = 1_000_000, 4
+#: Rows of a side that is sent to all executors, at most (about 100 MB).
+BROADCAST_ROWS = 1_000_000
+#: Questions that are scored against a block of chunks at once, at most, and scores of a block; more questions are joined.
+DENSE_QUESTIONS, BLOCK_SCORES = 4096, 1 << 21
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -41,6 +45,7 @@ def score_pairs(index: Index, questions: DataFrame, vectors: bool = True) -> Dat
     """
     asked = query_terms(questions)
     n_asked = asked.count()
+    strategies = index.corpus_stats.count()
     stats = index.term_stats.join(_small(asked.select("term").distinct(), n_asked), "term", "left_semi")
     by_question = asked.join(stats, "term").withColumn("qw", F.col("qtf") * F.col("weight"))
     norms = by_question.groupBy("strategy", "question_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
@@ -49,15 +54,115 @@ def score_pairs(index: Index, questions: DataFrame, vectors: bool = True) -> Dat
     damped = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     known = known.select(*KEY, "term", "tf", damped.alias("damped")).repartition(*KEY)
     asks = by_question.select("strategy", "term", "question_id", (F.col("qtf") * F.col("idf")).alias("b"), (F.col("qw") * F.col("weight")).alias("c"))
-    met = known.join(_small(asks, n_asked * STRATEGIES), ["strategy", "term"])
+    met = known.join(_small(asks, n_asked * strategies), ["strategy", "term"])
     sums = met.groupBy(*KEY, "question_id").agg(F.sum(F.col("b") * F.col("damped")).alias("bm25"), F.sum(F.col("c") * F.col("tf")).alias("dot"), F.count("*").alias("shared"))
     out, cosine = sums.join(_small(sizes, n_asked), "question_id"), F.lit(None).cast("double")
     if vectors:
-        out = out.join(index.norms, KEY).join(_small(norms, n_asked * STRATEGIES), ["strategy", "question_id"])
+        out = out.join(index.norms, KEY).join(_small(norms, n_asked * strategies), ["strategy", "question_id"])
         cosine = F.col("dot") / (F.col("norm") * F.col("qnorm") + 1e-10)
     return out.select("strategy", "question_id", "source_file", "chunk_index", "bm25", cosine.alias("cosine"), (F.col("shared") / F.col("qsize")).alias("coverage"))
 
 
+class _Best:
+    """The best `depth` chunks of each question by one score: highest at nine digits first, equals by source_file and chunk_index."""
+
+    def __init__(self, depth: int):
+        self.depth, self.kept = depth, {}
+
+    def add(self, question: tuple, scores: np.ndarray, chunks: list[tuple[str, int]], on: np.ndarray, values: tuple[np.ndarray, ...]) -> None:
+        rows = np.flatnonzero(on)
+        if not len(rows):
+            return
+        by = np.floor(scores[rows] * 1e9 + 0.5)
+        if len(rows) > self.depth:
+            far = by >= np.partition(by, len(by) - self.depth)[len(by) - self.depth]
+            rows, by = rows[far], by[far]
+        new = [(-b, *chunks[r], *(float(v[r]) for v in values)) for b, r in zip(by.tolist(), rows.tolist(), strict=True)]
+        self.kept[question] = sorted(self.kept.get(question, []) + new)[: self.depth]
+
+
+def best_pairs(index: Index, questions: DataFrame, depth: int, vectors: bool = True) -> DataFrame:
+    """The rows of score_pairs that are among a question's `depth` best by bm25 or by cosine, and a few more: what ranked_pairs needs.
+
+    Postings are reduced to the questions' terms and gathered by chunk. A task
+    scores blocks of its chunks against all questions and passes on only its own
+    best of each question, so pairs are neither shuffled nor written. With more
+    questions than can be sent around, pairs are made by a join.
+    """
+    asked = query_terms(questions)
+    size = asked.agg(F.count("*").alias("rows"), F.count_distinct("question_id").alias("questions")).first()
+    if size["rows"] * index.corpus_stats.count() > BROADCAST_ROWS or size["questions"] > DENSE_QUESTIONS:
+        return score_pairs(index, questions, vectors)
+    stats = index.term_stats.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    terms_of = asked.join(stats, "term").withColumn("qw", F.col("qtf") * F.col("weight"))
+    sides = {s: _Asked(part, sizes) for sizes in [asked.groupBy("question_id").count().toPandas().set_index("question_id")["count"]] for s, part in terms_of.toPandas().groupby("strategy")}
+    held = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    held = held.join(index.lengths, KEY).join(F.broadcast(index.corpus_stats.select("strategy", "avgdl")), "strategy")
+    held = held.join(index.norms, KEY) if vectors else held.withColumn("norm", F.lit(None).cast("double"))
+
+    def score(batches):
+        best = {"w": _Best(depth), "v": _Best(depth)}
+        for batch in batches:
+            names = batch.column("strategy").to_numpy(zero_copy_only=False)
+            for s in set(names):
+                side = sides.get(s)
+                rows = np.flatnonzero(names == s)
+                step = max(1, BLOCK_SCORES // max(1, len(side.questions))) if side else 1
+                for at in range(0, len(rows) if side else 0, step):
+                    part = batch.take(pa.array(rows[at : at + step]))
+                    bm25, cosine, coverage, shared = side.scores(part)
+                    chunks = list(zip(part.column("source_file").to_pylist(), part.column("chunk_index").to_pylist(), strict=True))
+                    for j, q in enumerate(side.questions):
+                        values = (bm25[j], cosine[j], coverage[j])
+                        best["w"].add((s, q), bm25[j], chunks, bm25[j] > 0, values)
+                        if vectors:
+                            best["v"].add((s, q), cosine[j], chunks, shared[j] > 0, values)
+        found = sorted({(*q, *x[1:]) for b in best.values() for q, xs in b.kept.items() for x in xs})
+        cols = list(zip(*found, strict=True)) or [[]] * 7
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+        out = [pa.array([None if n == "cosine" and not vectors else v for v in c], k) for c, k, n in zip(cols, kinds, names_of, strict=True)]
+        yield pa.RecordBatch.from_arrays(out, names=names_of)
+
+    names_of = ["strategy", "question_id", "source_file", "chunk_index", "bm25", "cosine", "coverage"]
+    return held.mapInArrow(score, "strategy string, question_id string, source_file string, chunk_index int, bm25 double, cosine double, coverage double")
+
+
+class _Asked:
+    """The questions' terms of one strategy, as arrays: for each term the questions that have it and its factors."""
+
+    def __init__(self, rows: pd.DataFrame, sizes: pd.Series):
+        self.terms = pa.array(sorted(rows["term"].unique()), pa.string())
+        self.questions = sorted(rows["question_id"].unique())
+        term = rows["term"].map({t: k for k, t in enumerate(self.terms.to_pylist())}).to_numpy()
+        order = np.argsort(term, kind="stable")
+        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        place = {q: k for k, q in enumerate(self.questions)}
+        self.question = rows["question_id"].map(place).to_numpy()[order]
+        self.idf = (rows["qtf"] * rows["idf"]).to_numpy()[order]
+        self.weight = (rows["qw"] * rows["weight"]).to_numpy()[order]
+        self.norm = np.sqrt(np.bincount(self.question, weights=rows["qw"].to_numpy()[order] ** 2, minlength=len(self.questions)))
+        self.size = sizes.loc[self.questions].to_numpy(float)
+
+    def scores(self, chunks: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """bm25, cosine, coverage and shared terms: a row for each question, a column for each chunk."""
+        lists = chunks.column("terms")
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        term = pc.index_in(flat.field("term"), self.terms).to_numpy(zero_copy_only=False)
+        tf = flat.field("tf").to_numpy(zero_copy_only=False).astype(float)
+        ok = ~np.isnan(term.astype(float))
+        row, term, tf = row[ok], term[ok].astype(np.int64), tf[ok]
+        of = lambda c: chunks.column(c).to_numpy(zero_copy_only=False).astype(float)
+        damped = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * of("dl")[row] / of("avgdl")[row]))
+        n = self.first[term + 1] - self.first[term]
+        posting = np.repeat(np.arange(len(term)), n)
+        at = np.arange(int(n.sum())) + np.repeat(self.first[term] - np.append(0, np.cumsum(n)[:-1])[: len(n)], n)
+        cell, shape = self.question[at] * len(lists) + row[posting], (len(self.questions), len(lists))
+        total = lambda w: np.bincount(cell, weights=w, minlength=shape[0] * shape[1]).reshape(shape)
+        shared = total(None).astype(float)
+        return total(self.idf[at] * damped[posting]), total(self.weight[at] * tf[posting]) / (self.norm[:, None] * of("norm")[None, :] + 1e-10), shared / self.size[:, None], shared
+
+
 def ranked_pairs(scored: DataFrame, depth: int = max(TOP_KS) * max(DEPTH.values())) -> DataFrame:
     """Adds bm25_rank and vector_rank (from 1, null beyond the depth); keeps rows that one of the lists has.
 
@@ -130,10 +235,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BL
                 sim = (part @ y.T) / (np.sqrt((part * part).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :] + 1e-10)
                 key = np.floor(sim * 1e9 + 0.5)
                 key[ids[q[s : s + 256]][:, None] == ids[h][None, :]] = -np.inf
-                for r, row in enumerate(key):
-                    order = np.lexsort((ids[h], -row))[:k]
-                    order = order[np.isfinite(row[order])]
-                    out.append(pd.DataFrame({"query_id": ids[q[s + r]], "id": ids[h[order]], "score": sim[r, order]}))
+                # all that reach the k-th best of a row; of equals the smaller ids go on
+                least = np.partition(key, max(key.shape[1] - k, 0), axis=1)[:, max(key.shape[1] - k, 0)]
+                r, c = np.nonzero((key >= least[:, None]) & np.isfinite(key))
+                order = np.lexsort((ids[h[c]], -key[r, c], r))
+                r, c = r[order], c[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                r, c = r[place < k], c[place < k]
+                out.append(pd.DataFrame({"query_id": ids[q[s + r]], "id": ids[h[c]], "score": sim[r, c]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, "i8"), "id": np.empty(0, "i8"), "score": np.empty(0)})
 
     found = asked.unionByName(held).groupBy("i", "j").applyInPandas(best, "query_id long, id long, score double")

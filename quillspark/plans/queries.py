@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,11 +20,11 @@ from quillspark.functions.text import fact_found, lexical_cosine, quantised, sen
 from quillspark.operators import analyze as A
 from quillspark.operators.chunk import chunk, chunk_all
 from quillspark.operators.evaluate import config_matrix, contexts, evaluate, experiment_plan, find_hits
-from quillspark.operators.index import build_index, corpus_statistics, document_frequencies, postings_of, term_statistics
+from quillspark.operators.index import build_index, corpus_statistics, document_frequencies, postings_of, stored_index, term_statistics
 from quillspark.operators.retrieve import nearest, score_pairs
-from quillspark.operators.score import fact_scores, gold_pairs, retrieval_scores
+from quillspark.operators.score import fact_scores, gold_pairs, retrieval_counts
 from quillspark.session import shared_folder, spread
-from quillspark.sources.files import preview, read_results, write_results, write_summary
+from quillspark.sources.files import corpus_fingerprint, kept, preview, read_results, write_results, write_summary
 
 LINE, THRESHOLD, CATEGORIES = "\n", 0.1, 5
 #: Chunkings of the registered evaluation.
@@ -70,33 +69,28 @@ def low_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_set(spark: SparkSession, d: str) -> DataFrame:
-    """The bench's questions with all that an evaluation needs.
-
-    Distractors of a question are the low-quality documents that share its gold
-    texts' language list; here simply those whose id falls into its own class
-    of 16, so that each list stays short.
-    """
-    gold_lists = gold(spark, d).groupBy("question_id").agg(F.array_sort(F.collect_list("source_file")).alias("gold_source_ids"))
-    bad = low_quality(spark, d).groupBy(F.pmod(F.col("source_file").cast("long"), F.lit(16)).alias("c")).agg(F.array_sort(F.collect_list("source_file")).alias("distractors"))
+    """The bench's questions with what an evaluation needs beside its gold sources and distractors, which are tables."""
     w = words(F.col("question"))
-    asked = questions(spark, d).withColumn("c", F.pmod(F.col("question_id").cast("long"), F.lit(16)))
-    return asked.join(gold_lists, "question_id", "left").join(bad, "c", "left").select(
-        "question_id", "question", F.col("question").alias("gold_answer"), F.coalesce("gold_source_ids", F.array().cast("array<string>")).alias("gold_source_ids"), "distractors",
+    return questions(spark, d).select(
+        "question_id", "question", F.col("question").alias("gold_answer"),
         F.array(F.get(w, F.lit(0)), F.get(w, (F.size(w) / 2).cast("int")), F.get(w, F.size(w) - 1)).alias("key_facts"), F.concat(F.lit("cat_"), F.pmod(F.col("question_id").cast("long"), F.lit(CATEGORIES))).alias("category"), F.lit("medium").alias("difficulty"),
     )
 
 
-_WRITTEN: WeakKeyDictionary = WeakKeyDictionary()
+def _own_folder(spark: SparkSession) -> str:
+    """Where this application keeps what its queries share; another one, perhaps of other code, makes its own."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
 
 
 def evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """The results of all configurations, evaluated once a session and input and kept as a table in the shared folder, as a run is before its report."""
-    done = _WRITTEN.setdefault(spark, {})
-    if d not in done:
-        path = f"{shared_folder(spark)}/evaluation-{uuid.uuid4().hex}"
-        evaluate(documents(spark, d), question_set(spark, d), CHUNKINGS, delimiter=LINE, threshold=THRESHOLD).write.parquet(path)
-        done[d] = path
-    return spark.read.parquet(done[d])
+    """The results of all configurations, kept by the application as a run is before its report, by a fingerprint of all that is read: changed files are evaluated anew."""
+    asked = questions(spark, d).select(F.col("question_id").alias("source_file"), F.col("question").alias("text"))
+    bad = low_quality(spark, d).select("source_file", F.lit("").alias("text"))
+    docs = documents(spark, d)
+    name = corpus_fingerprint(docs, "-".join(corpus_fingerprint(x, "") for x in (asked, bad)) + repr((CHUNKINGS, LINE, THRESHOLD)))
+    # distractors are all low-quality documents, whatever the question
+    build = lambda: evaluate(docs, question_set(spark, d), CHUNKINGS, delimiter=LINE, threshold=THRESHOLD, index_folder=f"{_own_folder(spark)}/indexes", gold=gold(spark, d), distractors=low_quality(spark, d))
+    return kept(spark, f"{_own_folder(spark)}/evaluations/{name}", build)
 
 
 def summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -153,8 +147,14 @@ def term_statistics_bm25(spark, d):
 # --- retrieval over whole documents
 
 
+def whole_hits(spark: SparkSession, d: str, search: str, k: int) -> DataFrame:
+    """Hits over whole documents; their index is kept by the application, by the documents' fingerprint."""
+    folder = f"{_own_folder(spark)}/indexes/whole-{corpus_fingerprint(documents(spark, d), 'whole')}"
+    return find_hits(whole_chunks(spark, d), questions(spark, d), (search,), (k,), index=stored_index(whole_chunks(spark, d), folder))
+
+
 def _hits(spark, d, search: str, k: int) -> DataFrame:
-    return find_hits(whole_chunks(spark, d), questions(spark, d), (search,), (k,)).select("question_id", F.col("rank").cast("long").alias("rank"), "source_file", _q("score"))
+    return whole_hits(spark, d, search, k).select("question_id", F.col("rank").cast("long").alias("rank"), "source_file", _q("score"))
 
 
 for _name, _search, _k in (("bm25_topk", "bm25", 10), ("vector_topk_tfidf", "vector", 5), *((f"rrf_hybrid_k{k}", "hybrid", k) for k in (3, 5, 10)), *((f"rerank_k{k}", "hybrid_rerank", k) for k in (3, 5, 10))):
@@ -210,16 +210,14 @@ def gold_sources(spark, d):
 
 @_query
 def context_assembly(spark, d):
-    chunks = whole_chunks(spark, d)
-    hits = find_hits(chunks, questions(spark, d), ("hybrid",), (3,))
-    return contexts(hits, chunks).select("question_id", F.md5("context").alias("context_md5"), F.col("context_tokens").cast("long").alias("context_tokens"), F.col("chunks_retrieved").cast("long").alias("n_chunks"))
+    return contexts(whole_hits(spark, d, "hybrid", 3), whole_chunks(spark, d)).select("question_id", F.md5("context").alias("context_md5"), F.col("context_tokens").cast("long").alias("context_tokens"), F.col("chunks_retrieved").cast("long").alias("n_chunks"))
 
 
 @_query
 def precision_recall_distractor(spark, d):
-    hits = _hits(spark, d, "bm25", 10).groupBy("question_id").agg(F.array_sort(F.collect_list("source_file")).alias("sources"))
-    rows = question_set(spark, d).join(hits, "question_id", "left")
-    return rows.select("question_id", *[quantised(c, _SHOWN).alias(n) for n, c in retrieval_scores(F.col("sources"), F.col("gold_source_ids"), F.col("distractors")).items()])
+    scores = retrieval_counts(_hits(spark, d, "bm25", 10).withColumn("config_name", F.lit("bm25")), gold(spark, d), low_quality(spark, d))
+    rows = questions(spark, d).join(scores, "question_id", "left")
+    return rows.select("question_id", *[quantised(F.coalesce(c, F.lit(0.0)), _SHOWN).alias(c) for c in ("context_precision", "context_recall", "distractor_rate")])
 
 
 @_query
@@ -353,8 +351,7 @@ def quick_sample(spark, d):
 @_query
 def hit_preview(spark, d):
     """What the console shows of each hit: its score at four digits and the first 300 characters."""
-    chunks = whole_chunks(spark, d)
-    return preview(find_hits(chunks, questions(spark, d), ("hybrid",), (3,)), chunks).select("question_id", F.col("rank").cast("long").alias("rank"), "source_file", F.md5("preview").alias("preview_md5"))
+    return preview(whole_hits(spark, d, "hybrid", 3), whole_chunks(spark, d)).select("question_id", F.col("rank").cast("long").alias("rank"), "source_file", F.md5("preview").alias("preview_md5"))
 
 
 @_query

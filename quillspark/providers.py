@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +31,42 @@ class Reranker(Protocol):
     def predict(self, questions: pd.Series, texts: pd.Series) -> pd.Series: ...
 
 
-def embed(df: DataFrame, embedder: Embedder, column: str = "text") -> DataFrame:
-    """df with `vec`; the embedder is pickled once a task and sees a batch at a time."""
+#: What a model is told, unless Models says otherwise; {context} and {question} are filled in.
+PROMPT = "Here are passages from our files:\n\n{context}\n\nUse only them to reply to: {question}\nIf they do not say, reply that they do not."
+
+
+@dataclass(frozen=True)
+class Models:
+    """The models of an evaluation; what is None has a stand-in."""
+
+    embedder: Embedder | None = None
+    reranker: Reranker | None = None
+    llm: LLMConfig | None = None
+    prompt: str = PROMPT
+
+
+def embed(df: DataFrame, embedder: Embedder, column: str = "text", name: str = "vec") -> DataFrame:
+    """df with the vectors of a column; the embedder is pickled once a task and sees a batch at a time."""
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield embedder.encode(batch)
+            yield embedder.encode(batch.fillna(""))
+
+    return df.withColumn(name, encode(column))
+
+
+def embed_lists(df: DataFrame, embedder: Embedder, column: str, name: str) -> DataFrame:
+    """df with the vectors of each text of an array column; the texts of a batch are encoded together."""
+
+    @F.pandas_udf("array<array<double>>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            flat = list(embedder.encode(pd.Series([t for texts in batch for t in texts], dtype=object)))
+            ends = np.cumsum([len(texts) for texts in batch])
+            yield pd.Series([flat[e - len(texts) : e] for e, texts in zip(ends, batch, strict=True)])
 
-    return df.withColumn("vec", encode(column))
+    return df.withColumn(name, encode(column))
 
 
 def rescore(pairs: DataFrame, reranker: Reranker) -> DataFrame:
@@ -57,7 +86,7 @@ def extractive_answer(question: Column, text: Column) -> Column:
     return F.coalesce(F.array_max(rated)["s"], F.lit(""))
 
 
-def chat_answers(rows: DataFrame, llm: LLMConfig, timeout: float = 120.0) -> DataFrame:
+def chat_answers(rows: DataFrame, llm: LLMConfig, prompt: str = PROMPT, timeout: float = 120.0) -> DataFrame:
     """rows (with question, context) with `answer` and `generation_latency_ms` from an OpenAI-compatible server.
 
     One connection setting a task; failures raise, so that Spark retries the task.
@@ -74,7 +103,7 @@ def chat_answers(rows: DataFrame, llm: LLMConfig, timeout: float = 120.0) -> Dat
         for batch in batches:
             answers, took = [], []
             for question, context in zip(batch["question"], batch["context"], strict=True):
-                messages = [{"role": "system", "content": "Use nothing but the context to answer, and say so where it is not enough."}, {"role": "user", "content": f"Context:\n{context}\n\nQuestion: {question}"}]
+                messages = [{"role": "user", "content": prompt.replace("{question}", question or "").replace("{context}", context or "")}]
                 body = json.dumps({"model": llm.model, "temperature": 0.1, "messages": messages}).encode()
                 began = time.perf_counter()
                 with urllib.request.urlopen(urllib.request.Request(f"{llm.base_url.rstrip('/')}/chat/completions", body, headers), timeout=timeout) as reply:

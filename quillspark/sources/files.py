@@ -67,18 +67,24 @@ def corpus_fingerprint(docs: DataFrame, settings: str) -> str:
     return hashlib.sha256(f"{x['n']}:{x['s']}:{settings}".encode()).hexdigest()[:16]
 
 
-def stored(spark: SparkSession, folder: str, docs: DataFrame, settings: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What build() gives, kept in the folder by the corpus's fingerprint, a part for each strategy; a changed corpus is built anew."""
-    path = f"{folder.rstrip('/')}/{corpus_fingerprint(docs, settings)}"
+def kept(spark: SparkSession, path: str, build: Callable[[], DataFrame], *partition: str) -> DataFrame:
+    """The table at path, written with build() where there is none. A small table beside it marks it as whole; what was left half-written is written anew."""
     try:
+        spark.read.schema("id long").parquet(f"{path}.whole")
         return spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    build().write.mode("overwrite").partitionBy("strategy").parquet(path)
+    build().write.mode("overwrite").partitionBy(*partition).parquet(path)
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}.whole")
     return spark.read.parquet(path)
 
 
+def stored(spark: SparkSession, folder: str, docs: DataFrame, settings: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() gives, kept in the folder by the corpus's fingerprint, a part for each strategy; a changed corpus is built anew."""
+    return kept(spark, f"{folder.rstrip('/')}/{corpus_fingerprint(docs, settings)}", build, "strategy")
+
+
 def preview(hits: DataFrame, chunks: DataFrame, length: int = 300) -> DataFrame:
     """rank, source, score and the beginning of each hit's text, for the console."""
     joined = hits.join(chunks.select("strategy", "source_file", "chunk_index", "text"), ["strategy", "source_file", "chunk_index"])

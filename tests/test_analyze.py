@@ -22,7 +22,7 @@ def results(spark):
 
 
 def test_failure_modes_in_order(spark):
-    cases = [(0.9, 0.9, 0.0, 0.0, "correct"), (0.9, 0.5, 0.2, 1.0, "wrong_source"), (0.9, 0.5, 0.5, 0.4, "insufficient_context"), (0.6, 0.0, 1.0, 1.0, "partial_answer"), (0.4, 0.9, 1.0, 1.0, "wrong_source"), (0.8, 0.8, 0, 0, "correct")]
+    cases = [(0.9, 0.9, 0.0, 0.0, "correct"), (0.9, 0.5, 0.2, 1.0, "wrong_source"), (0.9, 0.5, 0.5, 0.4, "insufficient"), (0.6, 0.0, 1.0, 1.0, "partial"), (0.4, 0.9, 1.0, 1.0, "wrong_source"), (0.8, 0.8, 0, 0, "correct")]
     frame = spark.createDataFrame([row(str(i), "q", s, f, float(p), float(r)) for i, (s, f, p, r, _) in enumerate(cases)], RESULTS)
     assert {r.config_name: r.m for r in frame.select("config_name", A.failure_mode().alias("m")).collect()} == {str(i): c[-1] for i, c in enumerate(cases)}
 

@@ -18,7 +18,9 @@ def test_commands(spark, tmp_path, capsys):
     common = ["--corpus", str(tmp_path / "corpus"), "--questions", str(tmp_path / "q.yaml"), "--out", str(tmp_path / "out")]
     names = "fixed_256__bm25__k3,paragraph__hybrid__k5,fixed_256__bm25__k3"
     cli.main(["run", *common, "--configs", names, "--ids", "a1,unknown"])
-    assert spark.read.json(str(tmp_path / "out/results")).count() == 2
+    # a configuration named twice has its rows twice, in the list's order
+    assert [r.config_name for r in spark.read.json(str(tmp_path / "out/results")).collect()] == names.split(",")
+    assert any((tmp_path / "out/indexes").iterdir())
     cli.main(["report", "--out", str(tmp_path / "out")])
     assert "fixed_256__bm25__k3" in (tmp_path / "out/report.md").read_text()
     cli.main(["single", *common, "--configs", "semantic__hybrid_rerank__k3", "--ids", "a2"])

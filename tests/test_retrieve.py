@@ -1,4 +1,5 @@
 import math
+import shutil
 from collections import Counter
 
 import numpy as np
@@ -54,6 +55,120 @@ def test_bm25_scores(spark, chunks, questions):
         assert abs(r.bm25 - want) < 1e-9 and 0 < r.coverage <= 1
 
 
+def test_best_pairs_are_what_all_pairs_rank(spark, monkeypatch):
+    """Scoring in blocks and keeping each task's best gives the ranks that all pairs give, ties and repeated chunks included."""
+    from quillspark.operators import retrieve as R
+
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(s, f"d{i % 90}", i // 90, " ".join(rng.choice(words, rng.integers(0, 30)))) for s in ("fixed_256", "paragraph") for i in range(120)] + [("fixed_256", f"t{i}", 0, "w1 w2 w3") for i in range(50)]
+    chunks = spark.createDataFrame([(*r, 1) for r in rows], "strategy string, source_file string, chunk_index int, text string, n_tokens int").repartition(5)
+    asked = spark.createDataFrame([(f"q{k}", " ".join(rng.choice(words, 4)) + (" w1 w2 w3" if k % 2 else " zzz")) for k in range(9)], "question_id string, question string")
+    monkeypatch.setattr(R, "BLOCK_SCORES", 200)
+    index = build_index(chunks)
+    cols = ["strategy", "question_id", "source_file", "chunk_index", "bm25_rank", "vector_rank"]
+    values = lambda f, v: sorted((tuple(r[c] for c in cols), *(None if r[c] is None else round(r[c], 9) for c in ("bm25", "cosine", "coverage"))) for r in ranked_pairs(f(index, v), 6).collect())
+    for vectors in (True, False):
+        every = values(lambda i, v: score_pairs(i, asked, v), vectors)
+        assert every and sorted(map(str, values(lambda i, v: R.best_pairs(i, asked, 6, v), vectors))) == sorted(map(str, every))
+    monkeypatch.setattr(R, "DENSE_QUESTIONS", 3)
+    assert R.best_pairs(index, asked, 6).count() == score_pairs(index, asked).count()
+
+
+class Letters:
+    """An embedder: counts of letters."""
+
+    def encode(self, texts):
+        return texts.map(lambda t: [float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] + [1e-3])
+
+
+class Longest:
+    """A reranker that prefers long texts."""
+
+    def predict(self, questions, texts):
+        return texts.map(lambda t: float(len(t)))
+
+
+@pytest.fixture
+def server():
+    """A chat server that answers with what it was asked, in capitals."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Chat(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert self.path == "/v1/chat/completions" and self.headers["Authorization"] == "Bearer k" and asked["model"] == "m"
+            body = json.dumps({"choices": [{"message": {"content": asked["messages"][-1]["content"].upper()}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    http = HTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}/v1"
+    http.shutdown()
+
+
+def test_models_take_the_place_of_stand_ins(spark, server, tmp_path):
+    from quillspark.operators.chunk import chunk_semantic
+    from quillspark.providers import Models
+
+    docs = spark.createDataFrame(list(TEXTS.items()), "source_file string, text string")
+    asked = spark.createDataFrame([("q1", "third quarter revenue", "REVENUE", ["money.md"], ["ops.md"], ["42"], "a", "easy"), ("q2", "zzz", "none", ["ops.md"], None, ["x"], "b", "hard")], QUESTIONS)
+    models = Models(Letters(), Longest(), LLMConfig(server, "m", "k"), "{question}|{context}")
+    rows = evaluate(docs, asked, ("fixed_256",), ("vector", "hybrid_rerank"), (3,), models=models, index_folder=str(tmp_path)).collect()
+    assert len(rows) == 4 and all(r.chunks_retrieved == 3 for r in rows)  # vectors find chunks without a shared word too
+    by = {(r.config_name.split("__")[1], r.question_id): r for r in rows}
+    letters = lambda t: np.array([t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] + [1e-3], float)
+    cos = lambda a, b: float(letters(a) @ letters(b) / np.linalg.norm(letters(a)) / np.linalg.norm(letters(b)))
+    nearest_first = sorted(TEXTS.values(), key=lambda t: -cos("third quarter revenue", t))
+    assert by["vector", "q1"].generated_answer == ("third quarter revenue|" + "\n---\n".join(nearest_first[:3])).upper()
+    longest_first = sorted(TEXTS.values(), key=len, reverse=True)[:3]
+    assert by["hybrid_rerank", "q2"].generated_answer == ("zzz|" + "\n---\n".join(longest_first)).upper()
+    for r in rows:
+        assert abs(r.gold_similarity - cos(r.generated_answer, r.gold_answer)) < 1e-6 and r.generation_latency_ms > 0 and r.total_latency_ms == r.retrieval_latency_ms + r.generation_latency_ms
+    groups = chunk_semantic(spark.createDataFrame([("s", "Aaa aaa. Aab aa. Zzz zz. Zzy zz.")], "source_file string, text string"), 0.8, Letters())
+    assert [r.text for r in groups.orderBy("chunk_index").collect()] == ["Aaa aaa. Aab aa.", "Zzz zz. Zzy zz."]
+
+
+def test_stored_index(spark, chunks, questions, tmp_path):
+    """An index that is there is read, and what is found with it is the same."""
+    from quillspark.operators.index import stored_index
+
+    folder = f"{tmp_path}/index"
+    rows = lambda index: sorted((*r[:8], round(r[8], 9)) for r in find_hits(chunks, questions, index=index).collect())
+    want = rows(None)
+    assert rows(stored_index(chunks, folder)) == want
+    written = (tmp_path / "index/postings").stat().st_mtime_ns
+    shutil.rmtree(tmp_path / "index/terms.whole")  # as if its writing had been broken off
+    assert rows(stored_index(chunks, folder)) == want and (tmp_path / "index/terms.whole").exists()
+    assert (tmp_path / "index/postings").stat().st_mtime_ns == written
+
+
+def test_retrieval_counts(spark):
+    from quillspark.operators.score import retrieval_counts
+
+    hits = spark.createDataFrame([("c", "1", s) for s in ("q3", "q3", "deploy")] + [("c", "2", s) for s in ("q3", "q2", "q2")] + [("c", "3", "a")], "config_name string, question_id string, source_file string")
+    gold = spark.createDataFrame([("1", "q3"), ("1", "policy"), ("1", "deploy"), ("1", "deploy"), ("2", "q3")], "question_id string, source_file string")
+    bad = spark.createDataFrame([("2", "q2"), ("1", "q2"), ("2", "q2")], "question_id string, source_file string")
+    got = {r.question_id: tuple(r)[2:] for r in retrieval_counts(hits, gold, bad).collect()}
+    assert got == {"1": pytest.approx((1, 3 / 4, 0)), "2": pytest.approx((1 / 3, 1, 2 / 3)), "3": (0, 0, 0)}
+    assert {r.question_id: r.distractor_rate for r in retrieval_counts(hits, gold, bad.select("source_file")).collect()}["2"] == pytest.approx(2 / 3)
+
+
+def test_llm_presets():
+    from quillspark.config import llm_presets
+
+    assert choose_llm(llm_presets({})).provider == "local"
+    cloud = llm_presets({"QUILL_CLOUD_URL": "https://api.example.com/v1", "QUILL_CLOUD_MODEL": "m", "QUILL_CLOUD_KEY": "k"})
+    assert choose_llm(cloud).api_key == "k" and choose_llm(cloud, "local").provider == "local"
+
+
 def test_fusion_bounds(chunks, questions):
     scores = [r.score for r in find_hits(chunks, questions, ("hybrid",), (3,)).collect()]
     assert scores and all(1 / (60 + 6) <= s <= 2 / 61 + 1e-12 for s in scores)
@@ -103,8 +218,13 @@ def test_vector_similarity(spark):
 
 def test_gold_pairs(spark):
     docs = spark.createDataFrame([("a", 'He said: "the quick brown fox" today'), ("b", "the quick brown dog"), ("c", None)], "source_file string, text string")
-    asked = spark.createDataFrame([("1", "the quick brown fox"), ("2", "quick brown dog"), ("3", "two words")], "question_id string, question string")
-    assert {tuple(r) for r in gold_pairs(docs, asked).collect()} == {("1", "a"), ("2", "b")}
+    asked = spark.createDataFrame([("1", "the quick brown fox"), ("2", "quick brown dog"), ("3", "two words"), ("4", "brown dog"), ("5", "rown"), ("6", None), ("7", "e quick brown d")], "question_id string, question string")
+    want = {("1", "a"), ("2", "b"), ("4", "b"), ("5", "a"), ("5", "b"), ("7", "b")}
+    for block in (1000, 1):  # questions without an inner word, together and one by one
+        found = gold_pairs(docs, asked, block).collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+    just = spark.createDataFrame([("a", "just two words here")], "source_file string, text string")
+    assert [tuple(r) for r in gold_pairs(just, asked.where("question_id = '3'")).collect()] == [("3", "a")]
 
 
 def test_configs(spark):
