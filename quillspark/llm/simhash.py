@@ -125,10 +125,10 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Da
     hash stays, and of rows that repeat doc_id and text any one.
     """
     found = settle(near_duplicates(docs, shingle, bits).where("doc_id is not null").groupBy("doc_id", "text_key", "group", "component_id").agg(F.count("*").alias("rows")))
-    first = found.where("doc_id = component_id").groupBy("group").agg(F.min("text_key").alias("first"))
-    judged = found.join(first, "group", "left")
-    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("first"))
-    gone, repeated = judged.where(~stays).select("doc_id", "text_key"), judged.where(stays & (F.col("rows") > 1)).select("doc_id", "text_key")
+    named, others = found.where("doc_id = component_id"), found.where("doc_id != component_id").select("doc_id", "text_key")
+    named = named.join(named.groupBy("group").agg(F.min("text_key").alias("first")), "group")  # rows of the smallest doc_id alone, few a group
+    gone = others.unionByName(named.where("text_key != first").select("doc_id", "text_key"))
+    repeated = named.where("text_key = first and rows > 1").select("doc_id", "text_key")
     key = fresh_name(docs, "text_key")
     on = ["doc_id", key]
     kept = docs.withColumn(key, F.xxhash64("text")).join(gone.withColumnRenamed("text_key", key), on, "left_anti")
