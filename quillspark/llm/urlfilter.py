@@ -175,7 +175,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> tuple[BoostedTrees, n
     # by hash about 1.2 times the sample, of which tasks pass on no more than the sample
     part = F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 1.2 * sample / max(total, 1)))
     known = labelled.where(part).select("url", "host", "path", "said", fold_of(F.col("page_id")).alias("fold"), "page_id").orderBy(F.xxhash64("page_id"), "page_id", "url").limit(sample).toPandas()
-    model = BoostedTrees().fit(features(known["url"].tolist(), known["host"].tolist(), known["path"].tolist(), known["fold"].tolist(), shares), (known["said"] == "block").to_numpy(float))
+    x = features(known["url"].tolist(), known["host"].tolist(), known["path"].tolist(), known["fold"].tolist(), shares)
+    # each row once more as if its host ending had never been labelled, and once as if its first segment had not
+    prior = (counts[:, :, :, 1].sum((0, 2)) + 0.5) / (counts[:, :, :, 0].sum((0, 2)) + 1)
+    new_ending, new_segment = x.copy(), x.copy()
+    for rows, statistics in ((new_ending, ("suffix", "both")), (new_segment, ("segment", "both"))):
+        for name in statistics:
+            rows[:, FEATURES.index(f"{name}_blocked")] = prior[STATISTICS.index(name)]
+    new_segment[:, len(FEATURES) - SEGMENT_CLASSES :] = 0
+    model = BoostedTrees().fit(np.concatenate([x, new_ending, new_segment]), np.tile((known["said"] == "block").to_numpy(float), 3))
     if not total:
         model.base = -1.0
     return model, shares
