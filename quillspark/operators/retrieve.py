@@ -206,6 +206,45 @@ def retrieve(ranked: DataFrame, searches=SEARCHES, top_ks=TOP_KS) -> DataFrame:
     return out.select(name.alias("config_name"), "strategy", "search", "top_k", "question_id", "rank", "source_file", "chunk_index", score.alias("score"))
 
 
+def usable() -> Column:
+    """Whether vec is a vector that can match: it has an id and is not null, not zero and of whole components."""
+    return F.col("id").isNotNull() & F.col("vec").isNotNull() & F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+
+
+def block_best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, id, score: for each row of a block that asks, its k best of those that don't, of equals the smaller ids."""
+    ask, ids = rows["asks"].to_numpy(), rows["id"].to_numpy()
+    lengths = rows["vec"].map(len).to_numpy()
+    out = []
+    for dims in np.unique(lengths):
+        q, h = np.flatnonzero(ask & (lengths == dims)), np.flatnonzero(~ask & (lengths == dims))
+        if not len(q) or not len(h):
+            continue
+        x, y = (np.array(rows["vec"].iloc[at].tolist(), np.float64) for at in (q, h))
+        for s in range(0, len(q), 256):
+            part = x[s : s + 256]
+            sim = (part @ y.T) / (np.sqrt((part * part).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :] + 1e-10)
+            key = np.floor(sim * 1e9 + 0.5)
+            key[ids[q[s : s + 256]][:, None] == ids[h][None, :]] = -np.inf
+            # all that reach the k-th best of a row; of equals the smaller ids go on
+            least = np.partition(key, max(key.shape[1] - k, 0), axis=1)[:, max(key.shape[1] - k, 0)]
+            r, c = np.nonzero((key >= least[:, None]) & np.isfinite(key))
+            order = np.lexsort((ids[h[c]], -key[r, c], r))
+            r, c = r[order], c[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c = r[place < k], c[place < k]
+            out.append(pd.DataFrame({"query_id": ids[q[s + r]], "id": ids[h[c]], "score": sim[r, c]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, "i8"), "id": np.empty(0, "i8"), "score": np.empty(0)})
+
+
+def best_of_blocks(asked: DataFrame, held: DataFrame, key: list[str], k: int) -> DataFrame:
+    """query_id, rank, id, score: the k best of the blocks that have equal keys on both sides."""
+    rows = asked.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False)))
+    found = rows.groupBy(*key).applyInPandas(lambda x: block_best(x, k), "query_id long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(quantised(F.col("score"), 9).desc(), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, id, score: the k nearest of vectors (id, vec) for each of queries (id, vec) by cosine, exactly.
 
@@ -213,38 +252,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BL
     matrix product in one task and returns its k best of each query only. Null
     and zero vectors match nothing; a query does not match its own id.
     """
-    usable = F.col("vec").isNotNull() & F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
-    left, right = queries.where(usable), vectors.where(usable)
+    left, right = queries.where(usable()), vectors.where(usable())
     n, m = max(1, -(-left.count() // block_rows)), max(1, -(-right.count() // block_rows))
     block = lambda of: F.pmod(F.xxhash64("id"), F.lit(of))
-    asked = left.select(F.lit(True).alias("asks"), "id", "vec", block(n).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("j"))
-    held = right.select(F.lit(False).alias("asks"), "id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"), block(m).alias("j"))
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        ask = rows["asks"].to_numpy()
-        ids = rows["id"].to_numpy()
-        out = []
-        for dims in {len(v) for v in rows["vec"]}:
-            of = (rows["vec"].map(len) == dims).to_numpy()
-            q, h = np.flatnonzero(ask & of), np.flatnonzero(~ask & of)
-            if not len(q) or not len(h):
-                continue
-            x, y = (np.array(rows["vec"].iloc[at].tolist(), np.float64) for at in (q, h))
-            for s in range(0, len(q), 256):
-                part = x[s : s + 256]
-                sim = (part @ y.T) / (np.sqrt((part * part).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :] + 1e-10)
-                key = np.floor(sim * 1e9 + 0.5)
-                key[ids[q[s : s + 256]][:, None] == ids[h][None, :]] = -np.inf
-                # all that reach the k-th best of a row; of equals the smaller ids go on
-                least = np.partition(key, max(key.shape[1] - k, 0), axis=1)[:, max(key.shape[1] - k, 0)]
-                r, c = np.nonzero((key >= least[:, None]) & np.isfinite(key))
-                order = np.lexsort((ids[h[c]], -key[r, c], r))
-                r, c = r[order], c[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                r, c = r[place < k], c[place < k]
-                out.append(pd.DataFrame({"query_id": ids[q[s + r]], "id": ids[h[c]], "score": sim[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, "i8"), "id": np.empty(0, "i8"), "score": np.empty(0)})
-
-    found = asked.unionByName(held).groupBy("i", "j").applyInPandas(best, "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(quantised(F.col("score"), 9).desc(), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
+    return best_of_blocks(left.select("id", "vec", block(n).alias("i"), every(m).alias("j")), right.select("id", "vec", every(n).alias("i"), block(m).alias("j")), ["i", "j"], k)

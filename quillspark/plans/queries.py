@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quillspark.config import sample_configs
 from quillspark.functions.text import fact_found, lexical_cosine, quantised, sentences, terms, words
 from quillspark.operators import analyze as A
+from quillspark.operators import inverted
 from quillspark.operators.chunk import chunk, chunk_all
 from quillspark.operators.evaluate import config_matrix, contexts, evaluate, experiment_plan, find_hits
 from quillspark.operators.index import build_index, corpus_statistics, document_frequencies, postings_of, stored_index, term_statistics
@@ -174,6 +175,15 @@ def vector_topk_dense(spark, d):
     return nearest(v, v.where("id % 20 = 0"), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", _q("score"))
 
 
+@_query
+def vector_topk_ivf(spark, d):
+    """The same queries by the inverted file, with as many lists as the recall wished for takes."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    name = corpus_fingerprint(v.select(F.col("id").cast("string").alias("source_file"), F.xxhash64("vec").cast("string").alias("text")), "lists")
+    index, asked = inverted.stored(spark, f"{_own_folder(spark)}/vectors/{name}", v), v.where("id % 20 = 0")
+    return inverted.nearest_listed(index, asked, 5, inverted.probes_for(index, asked, 5)).select("query_id", F.col("rank").cast("long").alias("rank"), "id", _q("score"))
+
+
 @_query
 def vector_label_precision(spark, d):
     """How many of the ten nearest share the query's label."""
