@@ -1,11 +1,14 @@
 """Nearest neighbours by an inverted file: each vector is in the list of its nearest centroid, and a query searches the lists nearest to it.
 
-Centroids are fitted on a bounded sample; the lists hold every row. The exact
-search is retrieve.nearest, against which recall is measured.
+Centroids are fitted on a bounded sample; the lists hold every row. A search of
+some lists has its recall measured against retrieve.nearest. The search by
+bounds is exact: a list whose nearest possible vector is farther off than a
+query's k-th so far is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil
 
@@ -13,23 +16,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quillspark.operators.retrieve import BLOCK_ROWS, BROADCAST_ROWS, best_of_blocks, nearest, usable
 from quillspark.sources.files import kept
 
 #: Vectors that centroids are fitted on, at most, and their components, at most (32 MB).
-SAMPLE_ROWS, SAMPLE_VALUES = 65_536, 1 << 23
+SAMPLE_ROWS, SAMPLE_VALUES = 65_536, 1 << 22
 #: Lists of one vector length at most, sampled vectors a list at least, and rounds of the fit.
 MAX_LISTS, ROWS_A_LIST, ROUNDS = 4096, 8, 10
 #: Recall that probes_for aims at, and queries that it is judged by, at most.
 RECALL, RECALL_QUERIES = 0.95, 256
+#: Lists that give the search by bounds its first k hits, and what rounding may add to an angle.
+FIRST_PROBES, ANGLE_SLACK = 4, 1e-3
 _STRIP = 4096
 
 
 @dataclass(frozen=True)
 class InvertedFile:
-    """lists: dims, list, id, vec of every usable vector; centroids by vector length (a length that the sample lacks is one list); n_lists bounds the lists there are."""
+    """lists: dims, list, away (angle to the centroid), id, vec of every usable vector; centroids by vector length (a length that the sample lacks is one list); n_lists bounds the lists there are."""
 
     lists: DataFrame
     centroids: dict[int, np.ndarray]
@@ -37,7 +42,8 @@ class InvertedFile:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))[:, None]).astype(np.float32)
+    x = x.astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -48,7 +54,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
         total = np.zeros(c.shape)
         np.add.at(total, near, x)
         norm = np.sqrt((total * total).sum(axis=1))[:, None]
-        c = np.where(norm > 0, total / np.maximum(norm, 1e-30), c).astype(np.float32)
+        c = np.where(norm > 0, total / np.maximum(norm, 1e-30), c)
     return c
 
 
@@ -71,9 +77,9 @@ def fit_centroids(vectors: DataFrame, n_lists: int | None = None) -> tuple[dict[
     return out, lengths
 
 
-def listed(vectors: DataFrame, centroids: dict[int, np.ndarray], probes: int = 1) -> DataFrame:
-    """dims, list, id, vec: each vector in the `probes` lists whose centroids are nearest to it."""
-    schema = StructType([StructField("dims", IntegerType()), StructField("list", IntegerType()), *vectors.select("id", "vec").schema])
+def _place(vectors: DataFrame, choose: Callable[[int, np.ndarray, pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """dims, list, away, id, vec: each vector in the lists that choose(length, unit vectors, their rows) names as (row, list, angle)."""
+    kinds = [StructField("dims", IntegerType()), StructField("list", IntegerType()), StructField("away", DoubleType())]
 
     def place(batches):
         for batch in batches:
@@ -81,19 +87,49 @@ def listed(vectors: DataFrame, centroids: dict[int, np.ndarray], probes: int = 1
             starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             sizes = np.diff(starts)
             for dims in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dims)
-                c = centroids.get(int(dims))
-                if c is None:
-                    at, to = rows, np.zeros(len(rows), np.int32)
-                else:
-                    n = min(probes, len(c))
-                    x = _unit(flat[starts[rows][:, None] + np.arange(dims)])
-                    near = [np.argpartition(-(x[s : s + _STRIP] @ c.T), n - 1, axis=1)[:, :n] for s in range(0, len(x), _STRIP)]
-                    at, to = np.repeat(rows, n), np.concatenate(near).ravel().astype(np.int32)
-                part = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dims, np.int32)), pa.array(to), part.column("id"), part.column("vec")], names=["dims", "list", "id", "vec"])
+                of = np.flatnonzero(sizes == dims)
+                for s in range(0, len(of), _STRIP):
+                    rows = of[s : s + _STRIP]
+                    part = batch.take(pa.array(rows))
+                    at, to, away = choose(int(dims), _unit(flat[starts[rows][:, None] + np.arange(dims)]), part)
+                    part = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dims, np.int32)), pa.array(to.astype(np.int32)), pa.array(away), part.column("id"), part.column("vec")], names=["dims", "list", "away", "id", "vec"])
+
+    return vectors.mapInArrow(place, StructType(kinds + list(vectors.select("id", "vec").schema)))
+
+
+def _angles(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ c.T, -1, 1))
+
+
+def listed(vectors: DataFrame, centroids: dict[int, np.ndarray], probes: int = 1) -> DataFrame:
+    """dims, list, away, id, vec: each vector in the `probes` lists whose centroids are nearest to it."""
+
+    def choose(dims, x, part):
+        c = centroids.get(dims)
+        if c is None:
+            return np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        angle, n = _angles(x, c), min(probes, len(c))
+        to, at = np.argpartition(angle, n - 1, axis=1)[:, :n].ravel(), np.repeat(np.arange(len(x)), n)
+        return at, to, angle[at, to]
 
-    return vectors.select("id", "vec").mapInArrow(place, schema)
+    return _place(vectors.select("id", "vec"), choose)
+
+
+def within_reach(queries: DataFrame, centroids: dict[int, np.ndarray], radii: dict[tuple[int, int], float]) -> DataFrame:
+    """dims, list, away, id, vec: each query (id, vec, least) in the lists that may hold a vector whose cosine is `least` or more; a null or negative one is in all."""
+
+    def choose(dims, x, part):
+        c = centroids.get(dims)
+        if c is None:
+            return np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        least = part.column("least").to_numpy(zero_copy_only=False).astype(float)
+        reach = np.where(least > 0, np.arccos(np.clip(least, -1, 1)), np.inf)
+        angle = _angles(x, c)
+        at, to = np.nonzero(angle - np.array([radii.get((dims, k), -np.inf) for k in range(len(c))]) <= reach[:, None] + ANGLE_SLACK)
+        return at, to, angle[at, to]
+
+    return _place(queries.select("id", "vec", F.col("least").cast("double").alias("least")), choose)
 
 
 def build(vectors: DataFrame, n_lists: int | None = None) -> InvertedFile:
@@ -110,13 +146,13 @@ def stored(spark: SparkSession, path: str, vectors: DataFrame, n_lists: int | No
     def centroid_rows() -> DataFrame:
         made.append(build(vectors, n_lists))
         rows = [(d, k, [float(v) for v in row]) for d, c in made[0].centroids.items() for k, row in enumerate(c)]
-        return spark.createDataFrame([(-1, made[0].n_lists, []), *rows], "dims int, list int, centroid array<float>")
+        return spark.createDataFrame([(-1, made[0].n_lists, []), *rows], "dims int, list int, centroid array<double>")
 
     names: dict[int, list] = {}
     for r in kept(spark, f"{path}/centroids", centroid_rows).orderBy("dims", "list").collect():  # as many rows as there are lists at most
         names.setdefault(r["dims"], []).append(r["centroid"] if r["dims"] >= 0 else r["list"])
     n = names.pop(-1)[0]
-    centroids = {d: np.array(c, np.float32) for d, c in names.items()}
+    centroids = {d: np.array(c) for d, c in names.items()}
     lists = kept(spark, f"{path}/lists", lambda: listed(vectors.select("id", "vec").where(usable()), centroids).repartitionByRange("dims", "list", "id").sortWithinPartitions("dims", "list"))
     return InvertedFile(lists, centroids, n)
 
@@ -128,7 +164,18 @@ def nearest_listed(index: InvertedFile, queries: DataFrame, k: int, probes: int,
     full list is many tasks. A query does not match its own id; one whose lists
     hold fewer than k others gets fewer rows.
     """
-    asked = listed(queries.select("id", "vec").where(usable()), index.centroids, probes)
+    return _search(index, listed(queries.select("id", "vec").where(usable()), index.centroids, probes), k, block_rows)
+
+
+def nearest_by_bounds(index: InvertedFile, queries: DataFrame, k: int, probes: int = FIRST_PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, rank, id, score: what retrieve.nearest gives, from the lists alone that may hold one of a query's k nearest."""
+    first = nearest_listed(index, queries, k, probes, block_rows).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    radii = {(r["dims"], r["list"]): r["radius"] for r in index.lists.groupBy("dims", "list").agg(F.max("away").alias("radius")).where("dims in (%s)" % ", ".join(map(str, [-1, *index.centroids]))).collect()}
+    asked = queries.select("id", "vec").where(usable()).join(first, "id", "left")
+    return _search(index, within_reach(asked, index.centroids, radii), k, block_rows)
+
+
+def _search(index: InvertedFile, asked: DataFrame, k: int, block_rows: int) -> DataFrame:
     blocks = lambda of, name: of.groupBy("dims", "list").agg(F.ceil(F.count("*") / block_rows).alias(name))
     cut = blocks(asked, "n").join(blocks(index.lists, "m"), ["dims", "list"])
     cut = F.broadcast(cut) if index.n_lists <= BROADCAST_ROWS else cut

@@ -177,11 +177,11 @@ def vector_topk_dense(spark, d):
 
 @_query
 def vector_topk_ivf(spark, d):
-    """The same queries by the inverted file, with as many lists as the recall wished for takes."""
+    """The same by the inverted file, from the lists alone that may hold one of a query's nearest."""
     v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     name = corpus_fingerprint(v.select(F.col("id").cast("string").alias("source_file"), F.xxhash64("vec").cast("string").alias("text")), "lists")
-    index, asked = inverted.stored(spark, f"{_own_folder(spark)}/vectors/{name}", v), v.where("id % 20 = 0")
-    return inverted.nearest_listed(index, asked, 5, inverted.probes_for(index, asked, 5)).select("query_id", F.col("rank").cast("long").alias("rank"), "id", _q("score"))
+    index = inverted.stored(spark, f"{_own_folder(spark)}/vectors/{name}", v)
+    return inverted.nearest_by_bounds(index, v.where("id % 20 = 0"), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", _q("score"))
 
 
 @_query

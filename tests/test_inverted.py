@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillspark.operators.inverted import build, nearest_listed, probes_for, recall, spherical_kmeans, stored
+from quillspark.operators.inverted import build, nearest_by_bounds, nearest_listed, probes_for, recall, spherical_kmeans, stored, within_reach
 from quillspark.operators.retrieve import nearest
 
 SCHEMA = "id long, vec array<float>"
@@ -40,13 +40,22 @@ def test_all_lists_give_the_exact_result(groups, block_rows):
     assert _rows(nearest_listed(index, asked, 4, 6, block_rows)) == _rows(nearest(groups, asked, 4))
 
 
+@pytest.mark.parametrize("probes", [1, 3])
+def test_bounds_leave_out_lists_and_no_hit(spark, groups, probes):
+    asked, index = groups.where("id % 20 = 0"), build(groups, 12)
+    assert _rows(nearest_by_bounds(index, asked, 4, probes)) == _rows(nearest(groups, asked, 4))
+    radii = {(16, r["list"]): r["away"] for r in index.lists.groupBy("list").agg({"away": "max"}).withColumnRenamed("max(away)", "away").collect()}
+    reached = within_reach(asked.selectExpr("*", "0.95D AS least"), index.centroids, radii)
+    assert 0 < reached.count() < 30 * 12 and within_reach(asked.selectExpr("*", "-0.1D AS least"), index.centroids, radii).count() == 30 * 12
+
+
 def test_vectors_without_match_lengths_and_repeats(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (None, [1.0, 1.0]), (7, [1.0, 1.0, 1.0]), (8, [1.0, 2.0, 1.0]), (9, [])]
     v = spark.createDataFrame(rows, SCHEMA)
     index = build(v)
     assert sorted(r["id"] for r in index.lists.collect()) == [1, 2, 2, 7, 8]
     got = _rows(nearest_listed(index, v, 2, probes_for(index, v, 2)))
-    assert got == _rows(nearest(v, v, 2))
+    assert got == _rows(nearest(v, v, 2)) == _rows(nearest_by_bounds(index, v, 2))
     assert {(q, i) for q, _, i, _ in got} == {(1, 2), (2, 1), (7, 8), (8, 7)}
 
 
@@ -59,7 +68,7 @@ def test_one_list_of_equal_vectors(spark):
 def test_empty_tables(spark, groups, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     index = stored(spark, str(tmp_path / "ix"), none)
-    assert probes_for(index, groups, 3) == 1 and nearest_listed(index, groups, 3, 1).count() == 0
+    assert probes_for(index, groups, 3) == 1 and nearest_listed(index, groups, 3, 1).count() == nearest_by_bounds(index, groups, 3).count() == 0
     assert nearest_listed(build(groups), none, 3, 1).count() == 0
     assert recall(nearest(none, none, 3), nearest(none, none, 3)) == 1
 
