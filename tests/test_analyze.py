@@ -1,3 +1,6 @@
+import sys
+import types
+
 import numpy as np
 import pytest
 
@@ -112,6 +115,45 @@ def test_report(results, tmp_path):
     assert isinstance(write_charts(results, f"{tmp_path}/charts"), list)
 
 
+class _Axes:
+    """Takes down what is drawn."""
+
+    def __init__(self, drawn):
+        self.drawn = drawn
+
+    def __getattr__(self, name):
+        return lambda *args, **named: self.drawn.append((name, args, named))
+
+
+def test_charts_draw_their_data(results, tmp_path, monkeypatch):
+    charts = {}
+
+    def subplots(**_):
+        drawn = []
+        save = lambda path, **_: charts.update({path.rsplit("/", 1)[1]: drawn})
+        return types.SimpleNamespace(savefig=save), _Axes(drawn)
+
+    pyplot = types.SimpleNamespace(subplots=subplots, close=lambda fig: None)
+    monkeypatch.setitem(sys.modules, "matplotlib", types.SimpleNamespace(use=lambda kind: None, pyplot=pyplot))
+    monkeypatch.setitem(sys.modules, "matplotlib.pyplot", pyplot)
+    assert len(write_charts(results, str(tmp_path))) == len(charts) == 6
+    summaries = A.summary(results)
+    calls = lambda chart, what: [(args, named) for name, args, named in charts[f"{chart}.png"] if name == what]
+    frontier = sorted((r.cost, r.config_name) for r in A.pareto_frontier(summaries).collect())
+    assert [args[0] for args, _ in calls("quality_by_latency", "annotate")] == [name for _, name in frontier]
+    assert np.allclose(calls("quality_by_latency", "plot")[0][0][0], [c for c, _ in frontier])
+    assert sum(len(args[0]) for args, _ in calls("quality_by_latency", "scatter")) == summaries.count()
+    assert [len(args[0]) for args, _ in calls("quality_by_tokens", "plot")] == [100] * A.trend(summaries).count()
+    cells = A.grid(results, "search").toPandas()
+    assert [named["label"] for _, named in calls("search_by_category", "bar")] == sorted(cells["search"].unique())
+    assert sorted(h for args, _ in calls("search_by_category", "bar") for h in args[1]) == sorted(cells["similarity"])
+    stacks = calls("failure_modes", "barh")
+    assert [named["label"] for _, named in stacks] == list(A.MODES)
+    assert np.allclose(np.add(stacks[0][0][1], stacks[0][1]["left"]), stacks[1][1]["left"])
+    assert stacks[0][0][0][0] == A.top_and_bottom(summaries).where("`end` = 'top' and place = 1").first().config_name
+    assert write_charts(results.limit(0), str(tmp_path)) == []
+
+
 def test_stream(spark, results, tmp_path):
     files.write_results(results, f"{tmp_path}/in")
     running_summary(result_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
