@@ -21,6 +21,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, finish: Callable[[Column, Column], Column] = lambda _, out: out, block: int = 64) -> Column:
+    """What a walk over an array puts out, in time nearly proportional to its length.
+
+    step(state, item) is (next state, what is put out: of type `kind`, or null for
+    nothing); finish(state, out) makes the result. Spark copies an accumulator in
+    depth at each step of `aggregate`, so an array must not grow in it. Here a
+    first walk keeps the state at the start of each block only, and a second one puts out block by block.
+    The state should be small.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def walked(xs: Column) -> Column:
+        part = lambda b: F.slice(xs, b * block + 1, F.lit(block))
+        blocks = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+        begin = F.struct(state.alias("state"), F.filter(F.array(state), lambda _: F.lit(False)).alias("starts"))
+        over = lambda acc, b: F.struct(F.aggregate(part(b), acc["state"], lambda s, x: step(s, x)[0]).alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts"))
+
+        def put(acc: Column, x: Column) -> Column:
+            new, out = step(acc["state"], x)
+            return F.struct(new.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+        def outs(ends: Column) -> Column:
+            made = F.transform(ends["starts"], lambda s, b: F.aggregate(part(b), F.struct(s.alias("state"), empty.alias("out")), put, lambda acc: F.array_compact(acc["out"])))
+            return finish(ends["state"], F.flatten(made))
+
+        return let(F.aggregate(blocks, begin, over), outs)
+
+    return let(items, walked)
+
+
 def words(text: Column) -> Column:
     """Tokens between white space, never empty; null reads as no text."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " "), "")
@@ -62,5 +92,6 @@ def fact_found(answer: Column, fact: Column) -> Column:
     A numeric fact counts as found if its digits occur anywhere, also within a
     larger number; an empty fact always counts.
     """
+    # fixed pattern of a numeric fact: sign, digits and commas, a fraction, a percent sign
     number = F.regexp_extract(strip(fact), r"^(-?[\d,]+\.?\d*)%?$", 1)
     return F.contains(F.lower(answer), F.lower(fact)) | ((number != "") & F.contains(F.lower(answer), number))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.config import CHUNKINGS, PARAGRAPH_TOKENS, SEMANTIC_THRESHOLD, WINDOWS
-from quillspark.functions.text import let, lexical_cosine, pieces, sentences, terms, words
+from quillspark.functions.text import folded, let, lexical_cosine, pieces, sentences, terms, words
 from quillspark.operators.score import vector_similarity
 from quillspark.providers import embed_lists
 
@@ -39,22 +39,33 @@ def chunk_fixed(docs: DataFrame, window: int, overlap: int, strategy: str) -> Da
     return _explode(docs, strategy, let(words(F.col("text")), cut))
 
 
+def joined_groups(parts: Column, sizes: Column, delimiter: str) -> Column:
+    """Parts joined in groups of the given sizes, in order."""
+
+    def texts(p: Column) -> Column:
+        ends = folded(sizes, F.lit(0), lambda at, n: (at + n, F.struct(at.alias("at"), n.alias("n"))), "struct<at:int,n:int>")
+        return F.transform(ends, lambda g: F.array_join(F.slice(p, g["at"] + 1, g["n"]), delimiter))
+
+    return let(parts, texts)
+
+
 def merged_paragraphs(parts: Column, delimiter: str, least: int) -> Column:
-    """Paragraphs joined forward until they have `least` tokens; what is left over goes to the last one."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    """Paragraphs, none empty, joined forward until they have `least` tokens; what is left over goes to the last one."""
 
-    def step(acc: Column, p: Column) -> Column:
-        joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit(delimiter), p))
-        n = acc["n"] + F.size(words(p))
-        full = n >= least
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(joined))).otherwise(acc["done"]).alias("done"), F.when(full, F.lit("")).otherwise(joined).alias("open"), F.when(full, 0).otherwise(n).alias("n"))
+    def step(acc: Column, words_of_part: Column) -> tuple[Column, Column]:
+        n, full = acc["n"] + words_of_part, acc["n"] + words_of_part >= least
+        return F.struct(F.when(full, 0).otherwise(n).alias("n"), F.when(full, 0).otherwise(acc["parts"] + 1).alias("parts")), F.when(full, acc["parts"] + 1)
 
-    def close(acc: Column) -> Column:
-        done, rest = acc["done"], acc["open"]
-        tail = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit(delimiter), rest)))
-        return F.when(rest == "", done).when(F.size(done) == 0, F.array(rest)).otherwise(tail)
+    def close(acc: Column, done: Column) -> Column:
+        rest = acc["parts"]
+        tail = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.element_at(done, -1) + rest))
+        return F.when(rest == 0, done).when(F.size(done) == 0, F.array(rest)).otherwise(tail)
 
-    return F.aggregate(parts, start, step, close)
+    def joined(p: Column) -> Column:
+        counts = F.transform(p, lambda x: F.size(words(x)))
+        return joined_groups(p, folded(counts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("parts")), step, "int", close), delimiter)
+
+    return let(parts, joined)
 
 
 def chunk_paragraph(docs: DataFrame, delimiter: str = "\n\n", least: int = PARAGRAPH_TOKENS) -> DataFrame:
@@ -64,12 +75,8 @@ def chunk_paragraph(docs: DataFrame, delimiter: str = "\n\n", least: int = PARAG
 
 def group_sizes(similar: Column) -> Column:
     """Sizes of runs of sentences; `similar` says for each neighbouring pair whether the run goes on."""
-
-    def step(acc: Column, goes_on: Column) -> Column:
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.element_at(acc, -1) + 1))
-        return F.when(goes_on, grown).otherwise(F.concat(acc, F.array(F.lit(1))))
-
-    return F.aggregate(similar, F.array(F.lit(1)), step)
+    step = lambda n, goes_on: (F.when(goes_on, n + 1).otherwise(1), F.when(~goes_on, n))
+    return folded(similar, F.lit(1), step, "int", lambda n, out: F.concat(out, F.array(n)))
 
 
 def merged_sizes(sizes: Column) -> Column:
@@ -79,12 +86,12 @@ def merged_sizes(sizes: Column) -> Column:
     no repair of the tail is needed.
     """
 
-    def step(acc: Column, i: Column) -> Column:
-        size, after = F.get(sizes, i), F.get(sizes, i + 1)
-        joins = (size < 2) & (F.size(acc) > 0) & (after.isNull() | (F.get(acc, F.size(acc) - 1) <= after))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.get(acc, F.size(acc) - 1) + size))).otherwise(F.concat(acc, F.array(size)))
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        joins = (x["size"] < 2) & (last > 0) & (x["after"].isNull() | (last <= x["after"]))
+        return F.when(joins, last + x["size"]).otherwise(x["size"]), F.when(~joins & (last > 0), last)
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), F.array().cast("array<int>"), step)
+    pairs = let(sizes, lambda s: F.transform(s, lambda n, i: F.struct(n.alias("size"), F.get(s, i + 1).alias("after"))))
+    return folded(pairs, F.lit(0), step, "int", lambda last, out: F.concat(out, F.array(last)))
 
 
 def chunk_semantic(docs: DataFrame, threshold: float = SEMANTIC_THRESHOLD, embedder=None) -> DataFrame:
@@ -104,9 +111,7 @@ def chunk_semantic(docs: DataFrame, threshold: float = SEMANTIC_THRESHOLD, embed
 
     def joined(s: Column) -> Column:
         sizes = let(group_sizes(let(F.transform(s, terms) if embedder is None else F.col("vectors"), likeness)), merged_sizes)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(F.array_join(F.slice(s, acc["at"] + 1, n), " "))).alias("out"))
-        return F.aggregate(sizes, start, step)["out"]
+        return joined_groups(s, sizes, " ")
 
     return _explode(docs, "semantic", let(sentences(text), lambda s: F.when(F.size(s) > 2, joined(s)).otherwise(F.array(text))))
 

@@ -207,8 +207,8 @@ def retrieve(ranked: DataFrame, searches=SEARCHES, top_ks=TOP_KS) -> DataFrame:
 
 
 def usable() -> Column:
-    """Whether vec is a vector that can match: it has an id and is not null, not zero and of whole components."""
-    return F.col("id").isNotNull() & F.col("vec").isNotNull() & F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+    """Whether vec is a vector that can match: it has an id and is not null, not zero and of finite components."""
+    return F.col("id").isNotNull() & F.col("vec").isNotNull() & F.exists("vec", lambda x: x != 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
 def block_best(rows: pd.DataFrame, k: int) -> pd.DataFrame:

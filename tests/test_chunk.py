@@ -137,3 +137,34 @@ def test_fact_found(spark, answer, fact):
     m = re.match(r"^(-?[\d,]+\.?\d*)(%?)$", fact.strip(), re.A)
     want = fact.lower() in answer.lower() or bool(m and m[1] in answer.lower())
     assert spark.createDataFrame([(answer, fact)], "a string, f string").select(fact_found(F.col("a"), F.col("f")).alias("x")).first().x == want
+
+
+def test_folded(spark):
+    """Blocks of any size give the same array, and nothing that is put out is lost."""
+    from quillspark.functions.text import folded
+
+    for block in (1, 2, 128):
+        step = lambda at, x: (at + x, F.when(x > 0, at + x))
+        for items in ([], [1], [1, 0, 2, 0, 0, 3], list(range(300))):
+            frame = spark.createDataFrame([(items,)], "a array<int>")
+            got = frame.select(folded(F.col("a"), F.lit(0), step, "int", lambda last, out: F.struct(last, out), block).alias("r")).first().r
+            sums = [sum(items[: k + 1]) for k in range(len(items))]
+            assert got[0] == sum(items) and got[1] == [s for s, x in zip(sums, items) if x > 0]
+
+
+@pytest.mark.parametrize("name", ["semantic", "paragraph"])
+def test_time_follows_the_length(spark, name):
+    """Twice the sentences or lines take about twice the time; folds that copied their array took four times."""
+    import time
+
+    def took(n):
+        unit = " ".join(f"word{k} and so." for k in range(4)) if name == "semantic" else "\n".join(["w " * 50] * 2)
+        text = (" " if name == "semantic" else "\n").join([unit] * n)
+        rows = C.chunk(spark.createDataFrame([("long", text)], "source_file string, text string"), name, "\n", 0.9).agg(F.count("*"), F.sum(F.length("text")))
+        began = time.time()
+        rows.collect()
+        return time.time() - began
+
+    took(500)
+    short, long = took(5_000), took(20_000)
+    assert long < 8 * max(short, 0.5), (short, long)
