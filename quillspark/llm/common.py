@@ -63,8 +63,9 @@ def group_count(rows: int, each: int, least: int = 1) -> int:
 
 
 def fresh_name(df: DataFrame, name: str) -> str:
-    """A column name that df does not have yet."""
-    while name in df.columns:
+    """A column name that df does not have yet, in any case of letters: names that differ in case only are one to Spark."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name += "_"
     return name
 
@@ -82,8 +83,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share; on one machine one below the warehouse where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillspark"
 
 

@@ -199,8 +199,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) ->
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 1.2 * sample / max(usable.count(), 1)))
     marked = usable.where(part).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # bounded by `sample` rows
-    known = text_statistics(texts).join(F.broadcast(marked), "doc_id").toPandas()
-    known = known.sort_values(["doc_id", "n_words", "quality"], ignore_index=True).head(sample)
+    # a doc_id may repeat, so the limit comes again before anything reaches the driver
+    known = text_statistics(texts).join(F.broadcast(marked), "doc_id").orderBy("doc_id", "n_words", "quality", *COUNTS[1:]).limit(sample).toPandas()
+    known = known.sort_values(["doc_id", "n_words", "quality", *COUNTS[1:]], ignore_index=True)
     order = np.argsort([xxhash.xxh3_64_intdigest(str(d)) for d in known["doc_id"]], kind="stable")
     known = known.iloc[order].reset_index(drop=True)
     return learn_list(known, known["quality"].to_numpy() == 0)

@@ -123,7 +123,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one more column `found`: array of (kind, start, end), ordered by start and then kind.
 
     Null and empty texts have none. Base spans are cut out of the candidates of
-    the entropy scan, and what is left is scored part by part. A column named `found` in docs is replaced;
+    the entropy scan, and what is left is scored part by part. A column named `found` in docs, in any case of letters, is replaced;
     all others stay, whatever their names.
     """
     t = F.coalesce(F.col("row")[text], F.lit(""))
@@ -135,7 +135,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = parts.withColumn("_entropy", fresh)
     every = F.array_sort(F.concat("_base", _as_kind("_entropy", 3)))
     named = F.transform(every, lambda x: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return parts.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "found"], named.alias("found"))
+    return parts.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "found"], named.alias("found"))
 
 
 def spans_text(spans: Column) -> Column:

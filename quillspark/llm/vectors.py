@@ -48,10 +48,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """label, embedding, node (smallest vec_id), copies: the distinct vectors that can link."""
+    """label, embedding, least (smallest vec_id), copies, node: the distinct vectors that can link. node is an id of the vector's own, as vectors may share a vec_id; it holds once the table is settled."""
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     valid = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & finite)
-    return valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    return valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
 
 
 def grid_dims(largest: int) -> int:
@@ -202,8 +202,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = links(classes, cosine)
     named = components(found.where("v is not null").select("u", "v"))
     counts = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
+    # links lead to a smallest node; what counts is the smallest vec_id among the nodes that lead there
+    linked = classes.select("node", "least").join(named, "node")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = linked.select("node", "component").join(smallest, "component").select("node", "smallest")
     known = classes.join(named, "node", "left").join(counts.withColumnRenamed("u", "node"), "node", "left")
-    known = known.select("label", "embedding", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = known.select("label", "embedding", F.coalesce("smallest", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = vectors.select("vec_id", "label", "embedding").join(known, ["label", "embedding"], "left")
     out = out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

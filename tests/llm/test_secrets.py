@@ -93,3 +93,12 @@ def test_clashing_names(spark, docs):
 
 def test_digest_of_no_spans():
     assert base("x") == "" and hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_columns_of_the_same_name_in_another_case(spark):
+    rows = spark.createDataFrame([(1, "password=hunter22", "x", "y")], "doc_id long, text string, Found string, TEXT_KEY string")
+    assert secrets.scan(rows).select("found").first()[0][0].kind == "assign" and "Found" not in secrets.scan(rows).columns
+    assert secrets.redact(rows).collect() == [(1, "[SECRET]", "x", "y")]
+    from quillspark.llm import simhash, substring
+
+    assert simhash.one_of_each(rows).collect() == rows.collect() and substring.without_repeats(rows).collect() == rows.collect()

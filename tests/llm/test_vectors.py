@@ -86,3 +86,21 @@ def test_edges(spark):
     assert V.near_duplicates(frame(spark, [])).count() == 0
     twice = V.near_duplicates(frame(spark, [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0)])).collect()
     assert sorted(((r.vec_id, r.n_links) for r in twice), key=str) == [(1, 1), (1, 1), (None, 0)]
+
+
+def test_rows_that_repeat_an_id_with_other_vectors(spark):
+    """Each such row is a vector of its own: links are counted by rows, components go by the smallest vec_id."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=64), rng.normal(size=64)
+    near = lambda k: (a + 0.05 * rng.normal(size=64) * k).tolist()
+    rows = [(1, near(0), 0), (1, near(1), 0), (2, near(1), 0), (3, b.tolist(), 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in V.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+
+    rows = [(i % 40, v, l) for i, v, l in rows_of(9, 200)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in V.near_duplicates(frame(spark, rows)).collect())
+    want = slow([(k, v, l) for k, (_, v, l) in enumerate(rows)])
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        least[want[k][1]] = min(least.get(want[k][1], i), i)
+    assert got == sorted((i, want[k][0], least[want[k][1]]) for k, (i, _, _) in enumerate(rows))
