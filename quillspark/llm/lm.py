@@ -35,6 +35,8 @@ from quillspark.llm.common import ASCII_LOWER, map_batches, settle_table, table,
 CLASSES, SPELLINGS, FREQUENT, LONGEST = 512, 256, 65_536, 256
 #: Dimensions, noise samples a batch, positions a batch, and the learning rate of each round of training.
 DIMS, NOISE, BATCH, RATES = 16, 64, 1024, (0.05, 0.02)
+#: Training tokens after which a model is passed on to be averaged and the next one starts: so what a model has seen does not follow how the texts are dealt to tasks.
+SHARD_TOKENS = 1 << 19
 DISCOUNT = 0.5
 #: Bits of a text's hash that go with its doc_id, to tell texts apart that share one; few, as every rare word carries them.
 TEXT_KEY = (1 << 24) - 1
@@ -238,13 +240,13 @@ def _ready(raw: bytes, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parameters after training on every position of the training texts in each round, and the exact count of each id of the lexicon.
 
-    Each round goes over all texts and starts all tasks from the same
-    parameters; a task goes over its own texts, and the results are averaged by
-    number of positions. The average is a grouped sum, so the driver receives
+    Each round goes over all texts in shards of about SHARD_TOKENS, each
+    started from the same parameters, and the results are averaged by number of
+    positions: a task starts anew after each shard. The average is a grouped sum, so the driver receives
     one set of parameters. Counts of ids are added up along the first round.
     """
     classes, params, log_noise = len(unigram), LogBilinear.start(unigram), np.log(unigram).astype(np.float32)
-    counts, batch_size, samples = np.zeros(lexicon.value.size, np.int64), BATCH, NOISE
+    counts, batch_size, samples, shard = np.zeros(lexicon.value.size, np.int64), BATCH, NOISE, SHARD_TOKENS
     for turn, rate in enumerate(RATES):
         now = train.sparkSession.sparkContext.broadcast(params)
 
@@ -253,8 +255,12 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
             seen, own, drawn = 0, np.zeros(lexicon.value.size, np.int64), np.cumsum(unigram)
 
             def step(batch):
-                nonlocal seen
+                nonlocal seen, model
                 for _, raws in text_slices(batch):
+                    if seen >= shard:
+                        yield finish()
+                        model, seen = LogBilinear(now.value.astype(np.float32), classes), 0
+                        own[:] = 0
                     ids, first = lexicon.value.ids(raws)
                     if turn == 0:
                         own[:] += np.bincount(ids[ids >= 0], minlength=len(own))
@@ -267,7 +273,6 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
                         at = slice(s, s + batch_size)
                         model.nce_step(a[at], b[at], w[at], noise[k], log_noise, rate)
                     seen += len(w)
-                yield from ()
 
             def finish():
                 values, known = (model.params.astype(np.float64) if seen else np.empty(0)), np.flatnonzero(own)
@@ -365,14 +370,15 @@ def score(docs: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(TEXT_KEY)).alias("text_key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     train = rows.where(~F.col("held_out"))
-    nominees, texts, _, spelled = nominated_words(train, FREQUENT)
+    nominees, texts, about, spelled = nominated_words(train, FREQUENT)
+    # small partitions are read together by one task, which shuffles nothing
     alone = min(CLASSES - 1 - SPELLINGS, len(nominees))
     words = Lexicon([w for w, _ in nominees], alone)
     lexicon = sc.broadcast(words)
     for w, c in nominees[:alone]:
         spelled[spelling(w.encode(), SPELLINGS)] -= c
     unigram = np.array([texts, *(c for _, c in nominees[:alone]), *np.maximum(spelled, 0)]) + 0.5
-    params, exact = train_model(train, lexicon, unigram / unigram.sum())
+    params, exact = train_model(train.coalesce(max(1, round(about / SHARD_TOKENS))), lexicon, unigram / unigram.sum())
     rare = settle_table(_rare_sums(rows, lexicon))
     copies = rows.groupBy("doc", "text_key").agg(F.count("*").alias("copies")).where("copies > 1")
 
