@@ -1,19 +1,22 @@
 """Chunkers: documents (source_file, text) to chunks (strategy, source_file, chunk_index, text, n_tokens).
 
-All are array expressions on one row each: no shuffle, whatever the corpus.
+All work on one row each, by array expressions, or for a model's tokens a batch
+at a time: no shuffle, whatever the corpus.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.config import CHUNKINGS, PARAGRAPH_TOKENS, SEMANTIC_THRESHOLD, WINDOWS
 from quillspark.functions.text import folded, let, lexical_cosine, pieces, sentences, terms, words
 from quillspark.operators.score import vector_similarity
-from quillspark.providers import embed_lists
+from quillspark.providers import embed_lists, shared
 
 
 def window_count(n: Column, window: int, overlap: int) -> Column:
@@ -116,7 +119,75 @@ def chunk_semantic(docs: DataFrame, threshold: float = SEMANTIC_THRESHOLD, embed
     return _explode(docs, "semantic", let(sentences(text), lambda s: F.when(F.size(s) > 2, joined(s)).otherwise(F.array(text))))
 
 
-def chunk(docs: DataFrame, strategy: str, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, embedder=None) -> DataFrame:
+def token_windows(text: str, ends, window: int, overlap: int) -> list[tuple[str, int]]:
+    """(text, tokens) of the windows over a text whose tokens end at `ends`."""
+    out, start = [], 0
+    while start < len(ends):
+        stop = min(start + window, len(ends))
+        out.append((text[ends[start - 1] if start else 0 : ends[stop - 1]], stop - start))
+        if stop == len(ends):
+            break
+        start = stop - overlap
+    return out
+
+
+def token_paragraphs(parts: list[str], count: Callable[[str], int], delimiter: str, least: int) -> list[tuple[str, int]]:
+    """merged_paragraphs with tokens counted over what is joined."""
+    done: list[str] = []
+    rest = ""
+    for p in parts:
+        rest = f"{rest}{delimiter}{p}" if rest else p
+        if count(rest) >= least:
+            done.append(rest)
+            rest = ""
+    if rest:
+        done = [*done[:-1], f"{done[-1]}{delimiter}{rest}"] if done else [rest]
+    return [(t, count(t)) for t in done]
+
+
+def chunk_by_tokens(docs: DataFrame, strategy: str, tokenizer, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, embedder=None) -> DataFrame:
+    """Chunks by a model's tokens, cut and counted where the document is, a batch at a time.
+
+    A window's text is the document's from its first token's beginning to its
+    last one's end; a window border within a character lies before it. Sentence groups do not
+    depend on tokens, but are counted by them.
+    """
+    model = shared(docs.sparkSession, tokenizer)
+    kind = "strategy string, source_file string, chunk_index int, text string, n_tokens int"
+
+    def rows(batch: pd.DataFrame, made: list[list[tuple[str, int]]]) -> pd.DataFrame:
+        flat = [(strategy, s, k, t, n) for s, chunks in zip(batch["source_file"], made, strict=True) for k, (t, n) in enumerate(chunks)]
+        return pd.DataFrame(flat, columns=["strategy", "source_file", "chunk_index", "text", "n_tokens"])
+
+    if strategy in WINDOWS:
+        window, overlap = WINDOWS[strategy]
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                ends = model().ends(batch["text"])
+                yield rows(batch, [token_windows(t, e, window, overlap) for t, e in zip(batch["text"], ends, strict=True)])
+
+        return docs.select("source_file", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, kind)
+    if strategy == "paragraph":
+
+        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            count = lambda t: len(model().ends(pd.Series([t])).iloc[0])
+            for batch in batches:
+                yield rows(batch, [token_paragraphs(list(p), count, delimiter, PARAGRAPH_TOKENS) for p in batch["parts"]])
+
+        return docs.select("source_file", pieces(F.col("text"), delimiter).alias("parts")).mapInPandas(merge, kind)
+
+    @F.pandas_udf("int")
+    def counted(texts: pd.Series) -> pd.Series:
+        return model().ends(texts).map(len)
+
+    return chunk(docs, strategy, delimiter, threshold, embedder).withColumn("n_tokens", counted("text"))
+
+
+def chunk(docs: DataFrame, strategy: str, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, embedder=None, tokenizer=None) -> DataFrame:
+    """Chunks by one strategy. Tokens are words, or with a tokenizer its tokens."""
+    if tokenizer is not None and strategy in CHUNKINGS:
+        return chunk_by_tokens(docs, strategy, tokenizer, delimiter, threshold, embedder)
     if strategy in WINDOWS:
         return chunk_fixed(docs, *WINDOWS[strategy], strategy)
     if strategy == "paragraph":
@@ -126,5 +197,5 @@ def chunk(docs: DataFrame, strategy: str, delimiter: str = "\n\n", threshold: fl
     raise ValueError(f"unknown chunking {strategy!r}; there are {CHUNKINGS}")
 
 
-def chunk_all(docs: DataFrame, strategies=CHUNKINGS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, embedder=None) -> DataFrame:
-    return reduce(DataFrame.unionByName, (chunk(docs, s, delimiter, threshold, embedder) for s in strategies))
+def chunk_all(docs: DataFrame, strategies=CHUNKINGS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, embedder=None, tokenizer=None) -> DataFrame:
+    return reduce(DataFrame.unionByName, (chunk(docs, s, delimiter, threshold, embedder, tokenizer) for s in strategies))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillspark.config import CHUNKINGS, DEPTH, SEARCHES, SEMANTIC_THRESHOLD, TOP_KS
+from quillspark.config import CHUNKINGS, DEPTH, SEARCHES, SEMANTIC_THRESHOLD, TOP_KS, RetrievalConfig
 from quillspark.functions.text import lexical_cosine, terms
 from quillspark.operators.chunk import chunk_all
-from quillspark.operators.index import KEY, build_index, stored_index
+from quillspark.operators.index import KEY, build_index
 from quillspark.operators.retrieve import best_pairs, nearest, ranked_pairs, retrieve
 from quillspark.operators.score import fact_scores, retrieval_counts, vector_similarity
-from quillspark.providers import Models, chat_answers, embed, extractive_answer, rescore
-from quillspark.sources.files import corpus_fingerprint, kept
+from quillspark.providers import Models, chat_answers, embed, extractive_answer, model_name, rescore
+from quillspark.schemas import RESULTS
+from quillspark.sources.files import corpus_fingerprint
+from quillspark.sources.segments import SegmentStore
 
 SEPARATOR = "\n---\n"
 
@@ -44,10 +49,10 @@ def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 def vector_pairs(chunks: DataFrame, questions: DataFrame, models: Models, depth: int) -> DataFrame:
     """KEY, question_id, cosine: the `depth` nearest chunks of each question by the embedder's vectors."""
     keyed = chunks.select(*KEY, "text", F.xxhash64(*KEY).alias("id"))
-    asked = embed(questions.select("question_id", F.xxhash64(F.lit("question"), "question_id").alias("id"), F.coalesce("question", F.lit("")).alias("text")), models.embedder)
+    asked = embed(questions.select("question_id", F.xxhash64(F.lit("question"), "question_id").alias("id"), F.coalesce("question", F.lit("")).alias("text")), models.embedder, store=models.store)
     out = None
     for strategy in sorted(r["strategy"] for r in chunks.select("strategy").distinct().collect()):  # the names of the chunkings
-        held = embed(keyed.where(F.col("strategy") == strategy), models.embedder)
+        held = embed(keyed.where(F.col("strategy") == strategy), models.embedder, store=models.store)
         found = nearest(held.select("id", "vec"), asked.select("id", "vec"), depth).withColumn("strategy", F.lit(strategy))
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -55,11 +60,11 @@ def vector_pairs(chunks: DataFrame, questions: DataFrame, models: Models, depth:
     return out.join(keyed.drop("text"), ["strategy", "id"]).join(asked.select(F.col("id").alias("query_id"), "question_id"), "query_id").select(*KEY, "question_id", F.col("score").alias("cosine"))
 
 
-def find_hits(chunks: DataFrame, questions: DataFrame, searches=SEARCHES, top_ks=TOP_KS, models: Models = Models(), index=None) -> DataFrame:
-    """The hits of every configuration. With an embedder vector search goes by its vectors, with a reranker rescoring by its scores, else by their stand-ins."""
+def find_hits(chunks: DataFrame, questions: DataFrame, searches=SEARCHES, top_ks=TOP_KS, models: Models = Models(), index=None, bounds: bool | None = None) -> DataFrame:
+    """The hits of every configuration; `bounds` as in best_pairs. With an embedder vector search goes by its vectors, with a reranker rescoring by its scores, else by their stand-ins."""
     depth = max(top_ks) * max(DEPTH[s] for s in searches)
     own_vectors = set(searches) != {"bm25"} and models.embedder is None
-    pairs = best_pairs(index or build_index(chunks), questions, depth, own_vectors)
+    pairs = best_pairs(index or build_index(chunks), questions, depth, own_vectors, bounds)
     if models.embedder and set(searches) != {"bm25"}:
         on = [*KEY, "question_id"]
         pairs = pairs.drop("cosine").join(vector_pairs(chunks, questions, models, depth), on, "full").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
@@ -71,7 +76,7 @@ def find_hits(chunks: DataFrame, questions: DataFrame, searches=SEARCHES, top_ks
 
 
 def evaluate(
-    docs: DataFrame, questions: DataFrame, chunkings=CHUNKINGS, searches=SEARCHES, top_ks=TOP_KS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, models: Models = Models(), index_folder: str | None = None, gold: DataFrame | None = None, distractors: DataFrame | None = None
+    docs: DataFrame, questions: DataFrame, chunkings=CHUNKINGS, searches=SEARCHES, top_ks=TOP_KS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, models: Models = Models(), index_folder: str | None = None, gold: DataFrame | None = None, distractors: DataFrame | None = None, only: DataFrame | None = None
 ) -> DataFrame:
     """A row for each configuration and question, also where nothing is retrieved.
 
@@ -80,28 +85,32 @@ def evaluate(
     (see retrieval_counts). Models that are not given have stand-ins: answers are
     then extracts and latencies modelled, so that results repeat: a candidate
     costs 1 ms, a rescored one 20 ms, a context token 0.5 ms. With an
-    index_folder chunks and index are kept there, by a fingerprint of the documents.
+    index_folder chunks and index are kept there and brought up to date: of a
+    corpus that was changed since, only new and changed documents are cut and tokenised.
+    `only` (config_name, question_id) leaves out all other rows before anything is answered.
     """
-    chunks = chunk_all(docs, chunkings, delimiter, threshold, models.embedder)
-    index = None
+    cut = lambda d: chunk_all(d, chunkings, delimiter, threshold, models.embedder, models.tokenizer)
     if index_folder:
-        folder = f"{index_folder}/{corpus_fingerprint(docs, repr((tuple(chunkings), delimiter, threshold, type(models.embedder).__name__)))}"
-        made = chunks
-        chunks = kept(docs.sparkSession, f"{folder}/chunks", lambda: made)
-        index = stored_index(chunks, folder)
+        settings = hashlib.sha256(repr((tuple(chunkings), delimiter, threshold, model_name(models.embedder))).encode()).hexdigest()[:16]
+        store = SegmentStore(docs.sparkSession, f"{index_folder}/{settings}", cut)
+        index = store.index(store.update(docs))
+        chunks = index.chunks
+    else:
+        chunks, index = cut(docs), None
     hits = find_hits(chunks, questions, searches, top_ks, models, index)
     plan = experiment_plan(config_matrix(docs.sparkSession, chunkings, searches, top_ks), questions)
+    plan = plan if only is None else plan.join(only.select("config_name", "question_id"), ["config_name", "question_id"], "left_semi")
     gold = questions.select("question_id", F.explode("gold_source_ids").alias("source_file")) if gold is None else gold
     distractors = questions.select("question_id", F.explode("distractors").alias("source_file")) if distractors is None else distractors
     rows = plan.join(contexts(hits, chunks), ["config_name", "question_id"], "left").join(retrieval_counts(hits, gold, distractors), ["config_name", "question_id"], "left")
     tokens, got = F.coalesce("context_tokens", F.lit(0)), F.coalesce("chunks_retrieved", F.lit(0))
     if models.llm:
-        rows = chat_answers(rows.withColumn("context", F.coalesce("context", F.lit(""))), models.llm, models.prompt).withColumnRenamed("answer", "generated_answer")
+        rows = chat_answers(rows.withColumn("context", F.coalesce("context", F.lit(""))), models.llm, models.prompt, store=models.store).withColumnRenamed("answer", "generated_answer")
     else:
         rows = rows.withColumn("generated_answer", F.when(F.col("chunks_retrieved") > 0, extractive_answer(F.col("question"), F.col("best_text"))).otherwise("")).withColumn("generation_latency_ms", (0.5 * tokens).cast("double"))
     reach = F.col("top_k") * F.when(F.col("search") == "hybrid", 2 * DEPTH["hybrid"]).when(F.col("search") == "hybrid_rerank", 22 * DEPTH["hybrid_rerank"]).otherwise(1)
     if models.embedder:
-        both = embed(embed(rows, models.embedder, "generated_answer", "answer_vec"), models.embedder, "gold_answer", "gold_vec")
+        both = embed(embed(rows, models.embedder, "generated_answer", "answer_vec", models.store), models.embedder, "gold_answer", "gold_vec", models.store)
         rows, similarity = both, vector_similarity(F.col("answer_vec"), F.col("gold_vec"))
     else:
         similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), lexical_cosine(terms(F.col("generated_answer")), terms(F.col("gold_answer")))))
@@ -111,3 +120,44 @@ def evaluate(
         (reach + F.col("generation_latency_ms")).cast("double").alias("total_latency_ms"), tokens.cast("int").alias("context_tokens"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("context_precision", "context_recall", "distractor_rate")], similarity.alias("gold_similarity"), facts["fact_recall"].alias("fact_recall"),
         facts["missing_facts"].alias("missing_facts"), "generated_answer", "gold_answer",
     )
+
+
+def run(docs: DataFrame, questions: DataFrame, configs: list[RetrievalConfig], path: str, models: Models = Models(), index_folder: str | None = None, **settings) -> DataFrame:
+    """Results of the configurations for the questions, kept at path part by part, a part being a chunking and a search.
+
+    What is there already is not evaluated again: a run that was broken off goes on, a configuration
+    or question that is added, or a question that is changed, is evaluated alone.
+    path has to be named for what results depend on besides (corpus, models,
+    settings): see run_name. Rows are told apart by configuration, question and
+    the question's fingerprint, so each is there once.
+    """
+    spark = docs.sparkSession
+    plan = spark.createDataFrame([(c.name, c.chunking, c.search) for c in dict.fromkeys(configs)], "config_name string, chunking string, search string")
+    key = ["config_name", "question_id", "print"]
+    marked = questions.withColumn("print", F.xxhash64(*[c for c in ("question", "gold_answer", "key_facts", "gold_source_ids", "distractors", "category", "difficulty") if c in questions.columns]))
+    wanted = marked.select("question_id", "print").distinct().crossJoin(F.broadcast(plan))  # configurations are few
+    for chunking, search in dict.fromkeys((c.chunking, c.search) for c in configs):
+        lacking = wanted.where((F.col("chunking") == chunking) & (F.col("search") == search)).join(_results(spark, path).select(*key), key, "left_anti")
+        names = [r["config_name"] for r in lacking.select("config_name").distinct().collect()]
+        if not names:
+            continue
+        top_ks = sorted({c.top_k for c in configs if c.name in names})
+        asked = questions.join(lacking.select("question_id").distinct(), "question_id", "left_semi")
+        made = evaluate(docs, asked, (chunking,), (search,), top_ks, models=models, index_folder=index_folder, only=lacking, **settings)
+        made.join(marked.select("question_id", "print"), "question_id").write.mode("append").partitionBy("config_name").parquet(path)
+    return _results(spark, path).join(wanted.select(*key), key, "left_semi").select(*StructType.fromDDL(RESULTS).names)
+
+
+def _results(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(f"{RESULTS}, print long").parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"{RESULTS}, print long")
+
+
+def run_name(docs: DataFrame, models: Models = Models(), settings: str = "") -> str:
+    """A name that changes with the corpus, a model or a setting."""
+    parts = [model_name(models.embedder), model_name(models.reranker), model_name(models.tokenizer), f"{models.llm.base_url} {models.llm.model} {models.prompt}" if models.llm else "", settings]
+    return corpus_fingerprint(docs, repr(parts))

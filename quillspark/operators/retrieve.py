@@ -10,12 +10,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.config import BM25_B, BM25_K1, DEPTH, RRF_CONSTANT, SEARCHES, TOP_KS
+from quillspark.config import DEPTH, RRF_CONSTANT, SEARCHES, TOP_KS
 from quillspark.functions.text import quantised, terms
-from quillspark.operators.index import KEY, Index
+from quillspark.operators.index import KEY, Index, damped
 
 #: Vectors of one block of the exact nearest-neighbour search.
 BLOCK_ROWS = 4096
@@ -23,6 +23,10 @@ BLOCK_ROWS = 4096
 BROADCAST_ROWS = 1_000_000
 #: Questions that are scored against a block of chunks at once, at most, and scores of a block; more questions are joined.
 DENSE_QUESTIONS, BLOCK_SCORES = 4096, 1 << 21
+#: Chunks that a question's rarest terms lead to before its least score is taken, as a multiple of the depth; and what rounding may take from a bound.
+SEED_CHUNKS, BOUND_SLACK = 4, 1e-9
+#: A posting that is added up by itself costs as much as so many scores of a block.
+PAIR_COST = 4
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -50,9 +54,8 @@ def score_pairs(index: Index, questions: DataFrame, vectors: bool = True) -> Dat
     by_question = asked.join(stats, "term").withColumn("qw", F.col("qtf") * F.col("weight"))
     norms = by_question.groupBy("strategy", "question_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     sizes = asked.groupBy("question_id").agg(F.count("*").alias("qsize"))
-    known = index.postings.join(_small(asked.select("term").distinct(), n_asked), "term", "left_semi").join(index.lengths, KEY).join(F.broadcast(index.corpus_stats.select("strategy", "avgdl")), "strategy")
-    damped = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    known = known.select(*KEY, "term", "tf", damped.alias("damped")).repartition(*KEY)
+    known = index.postings.join(_small(asked.select("term").distinct(), n_asked), "term", "left_semi").join(F.broadcast(index.corpus_stats.select("strategy", "avgdl")), "strategy")
+    known = known.select(*KEY, "term", "tf", damped(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("damped")).repartition(*KEY)
     asks = by_question.select("strategy", "term", "question_id", (F.col("qtf") * F.col("idf")).alias("b"), (F.col("qw") * F.col("weight")).alias("c"))
     met = known.join(_small(asks, n_asked * strategies), ["strategy", "term"])
     sums = met.groupBy(*KEY, "question_id").agg(F.sum(F.col("b") * F.col("damped")).alias("bm25"), F.sum(F.col("c") * F.col("tf")).alias("dot"), F.count("*").alias("shared"))
@@ -81,24 +84,82 @@ class _Best:
         self.kept[question] = sorted(self.kept.get(question, []) + new)[: self.depth]
 
 
-def best_pairs(index: Index, questions: DataFrame, depth: int, vectors: bool = True) -> DataFrame:
+def best_pairs(index: Index, questions: DataFrame, depth: int, vectors: bool = True, bounds: bool | None = None) -> DataFrame:
     """The rows of score_pairs that are among a question's `depth` best by bm25 or by cosine, and a few more: what ranked_pairs needs.
 
-    Postings are reduced to the questions' terms and gathered by chunk. A task
-    scores blocks of its chunks against all questions and passes on only its own
-    best of each question, so pairs are neither shuffled nor written. With more
-    questions than can be sent around, pairs are made by a join.
+    A task scores blocks of chunks, of which the index has all terms, against all
+    questions and passes on only its own best of each question, so pairs are
+    neither shuffled nor written. For keywords alone bounds can show which chunks
+    may be among the best (see candidates), and others are not scored: so it is
+    done with `bounds`, or where that is not said if the postings to be added up
+    are few against all pairs of chunks and questions. The result is the same.
+    With more questions than can be sent around, pairs are made by a join.
     """
     asked = query_terms(questions)
     size = asked.agg(F.count("*").alias("rows"), F.count_distinct("question_id").alias("questions")).first()
     if size["rows"] * index.corpus_stats.count() > BROADCAST_ROWS or size["questions"] > DENSE_QUESTIONS:
         return score_pairs(index, questions, vectors)
+    sides = asked_sides(index, asked)
+    if vectors:
+        return _scored(index.forward.join(index.norms, KEY), index, sides, depth, True)
+    chosen = candidates(index, sides, depth, bounds) if bounds is not False else None
+    held = index.forward if chosen is None else index.forward.join(chosen, KEY, "left_semi")
+    return _scored(held.withColumn("norm", F.lit(None).cast("double")), index, sides, depth, False)
+
+
+def asked_sides(index: Index, asked: DataFrame) -> dict[str, _Asked]:
+    """The questions' terms of each strategy with their statistics; their number has been checked."""
     stats = index.term_stats.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    terms_of = asked.join(stats, "term").withColumn("qw", F.col("qtf") * F.col("weight"))
-    sides = {s: _Asked(part, sizes) for sizes in [asked.groupBy("question_id").count().toPandas().set_index("question_id")["count"]] for s, part in terms_of.toPandas().groupby("strategy")}
-    held = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
-    held = held.join(index.lengths, KEY).join(F.broadcast(index.corpus_stats.select("strategy", "avgdl")), "strategy")
-    held = held.join(index.norms, KEY) if vectors else held.withColumn("norm", F.lit(None).cast("double"))
+    sizes = asked.groupBy("question_id").count().toPandas().set_index("question_id")["count"]
+    known = asked.join(stats, "term").withColumn("qw", F.col("qtf") * F.col("weight")).toPandas()
+    return {s: _Asked(part.reset_index(drop=True), sizes) for s, part in known.groupby("strategy")}
+
+
+def candidates(index: Index, sides: dict[str, _Asked], depth: int, bounds: bool | None = True) -> DataFrame | None:
+    """KEY of chunks that may be among a question's `depth` best by bm25; None where that cannot be told, or unless `bounds` asks for it would take more than scoring all.
+
+    A question's rarest terms lead to a few chunks, whose whole scores give the
+    least score that counts. Its terms are then ordered by the most that each
+    can add: those that together stay below the least score need not be looked up,
+    as a chunk with no other term cannot reach it. Of the others the postings
+    are added up, and a chunk goes on if its sum and all that the left-out terms
+    could add reach the least score.
+    """
+    spark, rows = index.corpus_stats.sparkSession, pd.concat([s.rows.assign(strategy=n) for n, s in sides.items()]) if sides else pd.DataFrame()
+    if not len(rows) or (rows["idf"] < 0).any():
+        return None
+    group = ["strategy", "question_id"]
+    pairs = sum(r["n_chunks"] * len(sides[r["strategy"]].questions) for r in index.corpus_stats.collect() if r["strategy"] in sides)
+    if bounds is None and rows["df"].sum() * PAIR_COST > pairs:
+        return None
+    rows = rows.assign(w=rows["qtf"] * rows["idf"], bound=rows["qtf"] * rows["idf"] * rows["most"])
+    rare = rows.sort_values([*group, "df", "term"])
+    rare = rare[rare.groupby(group)["df"].cumsum() - rare["df"] < SEED_CHUNKS * depth]
+    first = Window.partitionBy(*group).orderBy(F.desc("sum"), *KEY[1:])
+    seeds = _term_sums(spark, index, rare).withColumn("place", F.row_number().over(first)).where(F.col("place") <= depth).select(*KEY).distinct()
+    scored = _scored(index.forward.join(seeds, KEY, "left_semi").withColumn("norm", F.lit(None).cast("double")), index, sides, depth, False)
+    by_score = Window.partitionBy(*group).orderBy(F.desc("bm25"), *KEY[1:])
+    least = scored.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == depth).select(*group, F.col("bm25").alias("least")).toPandas()  # a row for each question at most
+    rows = rows.merge(least, on=group, how="left").fillna({"least": -1.0}).sort_values([*group, "bound", "term"])
+    rows["below"] = rows.groupby(group)["bound"].cumsum()
+    out = rows["below"] < rows["least"] * (1 - BOUND_SLACK)
+    rest = rows[out].groupby(group)["bound"].sum().rename("rest")
+    needed = rows[["strategy", "question_id", "least"]].drop_duplicates().merge(rest, on=group, how="left").fillna({"rest": 0.0})
+    needed["needed"] = (needed["least"] - needed["rest"]) * (1 - BOUND_SLACK) - BOUND_SLACK
+    limits = F.broadcast(spark.createDataFrame(needed[[*group, "needed"]], "strategy string, question_id string, needed double"))
+    return _term_sums(spark, index, rows[~out]).join(limits, group).where(F.col("sum") >= F.col("needed")).select(*KEY).distinct()
+
+
+def _term_sums(spark: SparkSession, index: Index, rows: pd.DataFrame) -> DataFrame:
+    """strategy, question_id, source_file, chunk_index, sum of the weighted postings of the given terms of each question."""
+    sent = spark.createDataFrame(rows[["strategy", "term", "question_id", "w"]], "strategy string, term string, question_id string, w double")
+    met = index.postings.join(F.broadcast(index.corpus_stats.select("strategy", "avgdl")), "strategy").join(F.broadcast(sent), ["strategy", "term"])
+    return met.groupBy(*KEY, "question_id").agg(F.sum(F.col("w") * damped(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("sum"))
+
+
+def _scored(held: DataFrame, index: Index, sides: dict[str, _Asked], depth: int, vectors: bool) -> DataFrame:
+    """Of held (KEY, dl, terms, norm) each task's best rows of each question."""
+    held = held.join(F.broadcast(index.corpus_stats.select("strategy", "avgdl")), "strategy")
 
     def score(batches):
         best = {"w": _Best(depth), "v": _Best(depth)}
@@ -131,6 +192,7 @@ class _Asked:
     """The questions' terms of one strategy, as arrays: for each term the questions that have it and its factors."""
 
     def __init__(self, rows: pd.DataFrame, sizes: pd.Series):
+        self.rows = rows
         self.terms = pa.array(sorted(rows["term"].unique()), pa.string())
         self.questions = sorted(rows["question_id"].unique())
         term = rows["term"].map({t: k for k, t in enumerate(self.terms.to_pylist())}).to_numpy()
@@ -153,14 +215,14 @@ class _Asked:
         ok = ~np.isnan(term.astype(float))
         row, term, tf = row[ok], term[ok].astype(np.int64), tf[ok]
         of = lambda c: chunks.column(c).to_numpy(zero_copy_only=False).astype(float)
-        damped = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * of("dl")[row] / of("avgdl")[row]))
+        part = damped(tf, of("dl")[row], of("avgdl")[row])
         n = self.first[term + 1] - self.first[term]
         posting = np.repeat(np.arange(len(term)), n)
         at = np.arange(int(n.sum())) + np.repeat(self.first[term] - np.append(0, np.cumsum(n)[:-1])[: len(n)], n)
         cell, shape = self.question[at] * len(lists) + row[posting], (len(self.questions), len(lists))
         total = lambda w: np.bincount(cell, weights=w, minlength=shape[0] * shape[1]).reshape(shape)
         shared = total(None).astype(float)
-        return total(self.idf[at] * damped[posting]), total(self.weight[at] * tf[posting]) / (self.norm[:, None] * of("norm")[None, :] + 1e-10), shared / self.size[:, None], shared
+        return total(self.idf[at] * part[posting]), total(self.weight[at] * tf[posting]) / (self.norm[:, None] * of("norm")[None, :] + 1e-10), shared / self.size[:, None], shared
 
 
 def ranked_pairs(scored: DataFrame, depth: int = max(TOP_KS) * max(DEPTH.values())) -> DataFrame:

@@ -36,6 +36,7 @@ def cosine(a: str, b: str) -> str:
 
 DOCS = "docs AS (SELECT doc_id::varchar AS source_file, text FROM documents)"
 QUESTIONS = "questions AS (SELECT item_id::varchar AS question_id, text AS question FROM benchmark)"
+KEYWORD_QUESTIONS = f"""questions AS (SELECT item_id::varchar AS question_id, array_to_string(list_transform(list_slice(list_sort(list_transform(list_distinct({terms("text")}), lambda w: {{'n': -length(w), 'w': w}})), 1, 4), lambda x: x.w), ' ') AS question FROM benchmark)"""
 GOLD = "gold AS (SELECT DISTINCT question_id, source_file FROM docs JOIN questions ON contains(text, question))"
 
 
@@ -169,6 +170,7 @@ ORACLES: dict[str, str] = {
     "postings_df": f"WITH {DOCS}, {WHOLE_CHUNKS}, {INDEX} SELECT term, df, cf::bigint AS cf FROM freq",
     "term_statistics_bm25": f"WITH {DOCS}, {WHOLE_CHUNKS}, {INDEX} SELECT term, df, {q('idf')} AS idf, {q('weight')} AS weight FROM stats",
     "bm25_topk": _hits_sql("bm25", 10),
+    "bm25_topk_bounds": _hits_sql("bm25", 10).replace(QUESTIONS, KEYWORD_QUESTIONS),
     "vector_topk_tfidf": _hits_sql("vector", 5),
     **{f"rrf_hybrid_k{k}": _hits_sql("hybrid", k) for k in TOP_KS},
     **{f"rerank_k{k}": _hits_sql("hybrid_rerank", k) for k in TOP_KS},

@@ -90,7 +90,7 @@ def evaluation(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     name = corpus_fingerprint(docs, "-".join(corpus_fingerprint(x, "") for x in (asked, bad)) + repr((CHUNKINGS, LINE, THRESHOLD)))
     # distractors are all low-quality documents, whatever the question
-    build = lambda: evaluate(docs, question_set(spark, d), CHUNKINGS, delimiter=LINE, threshold=THRESHOLD, index_folder=f"{_own_folder(spark)}/indexes", gold=gold(spark, d), distractors=low_quality(spark, d))
+    build = lambda: evaluate(docs, question_set(spark, d), CHUNKINGS, delimiter=LINE, threshold=THRESHOLD, index_folder=f"{_own_folder(spark)}/indexes/{name}", gold=gold(spark, d), distractors=low_quality(spark, d))
     return kept(spark, f"{_own_folder(spark)}/evaluations/{name}", build)
 
 
@@ -162,6 +162,20 @@ for _name, _search, _k in (("bm25_topk", "bm25", 10), ("vector_topk_tfidf", "vec
     _named(_name, lambda spark, d, s=_search, k=_k: _hits(spark, d, s, k))
 
 
+def keyword_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The four longest words of each question, of equally long ones the first by code point: as few keywords as are typed into a search."""
+    longest = F.array_sort(F.transform(F.array_distinct(terms(F.col("question"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return questions(spark, d).select("question_id", F.array_join(F.slice(longest, 1, 4)["w"], " ").alias("question"))
+
+
+@_query
+def bm25_topk_bounds(spark, d):
+    """Keyword search with bounds: of the postings only those of terms that can decide are added up, and only chunks that can be among the best are scored."""
+    folder = f"{_own_folder(spark)}/indexes/whole-{corpus_fingerprint(documents(spark, d), 'whole')}"
+    hits = find_hits(whole_chunks(spark, d), keyword_questions(spark, d), ("bm25",), (10,), index=stored_index(whole_chunks(spark, d), folder), bounds=True)
+    return hits.select("question_id", F.col("rank").cast("long").alias("rank"), "source_file", _q("score"))
+
+
 @_query
 def bm25_positive_only(spark, d):
     scored = score_pairs(build_index(whole_chunks(spark, d)), questions(spark, d), vectors=False)

@@ -80,11 +80,6 @@ def kept(spark: SparkSession, path: str, build: Callable[[], DataFrame], *partit
     return spark.read.parquet(path)
 
 
-def stored(spark: SparkSession, folder: str, docs: DataFrame, settings: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What build() gives, kept in the folder by the corpus's fingerprint, a part for each strategy; a changed corpus is built anew."""
-    return kept(spark, f"{folder.rstrip('/')}/{corpus_fingerprint(docs, settings)}", build, "strategy")
-
-
 def preview(hits: DataFrame, chunks: DataFrame, length: int = 300) -> DataFrame:
     """rank, source, score and the beginning of each hit's text, for the console."""
     joined = hits.join(chunks.select("strategy", "source_file", "chunk_index", "text"), ["strategy", "source_file", "chunk_index"])
@@ -92,7 +87,7 @@ def preview(hits: DataFrame, chunks: DataFrame, length: int = 300) -> DataFrame:
     return joined.select("config_name", "question_id", "rank", "source_file", "chunk_index", F.format_string("%.4f", "score").alias("score"), shown.alias("preview"))
 
 
-def clean(folder: str, names=("results", "indexes")) -> list[str]:
+def clean(folder: str, names=("results", "indexes", "parts", "models")) -> list[str]:
     """Remove the engine's own output below a local folder; returns what was removed."""
     import shutil
 

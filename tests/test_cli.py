@@ -27,6 +27,8 @@ def test_commands(spark, tmp_path, capsys):
     assert "thirty days" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["single", *common, "--configs", "semantic__bm25__k3", "--ids", "none"])
+    cli.main(["single", *common, "--configs", "fixed_256__vector__k3", "--ids", "a2", "--embedder", "tests.fakes:Letters", "--reranker", "tests.fakes:Longest", "--tokenizer", "tests.fakes:Characters"])
+    assert "thirty days" in capsys.readouterr().out and any((tmp_path / "out/models/vectors").iterdir())
     cli.main(["quick", *common, "--n", "3"])
     assert spark.read.json(str(tmp_path / "out/results")).count() == 3
     cli.main(["clean", "--out", str(tmp_path / "out")])

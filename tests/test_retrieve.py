@@ -114,6 +114,35 @@ def server():
     http.shutdown()
 
 
+def test_bounds_leave_out_postings_and_no_hit(spark, monkeypatch):
+    """Keyword search with bounds gives the ranks that full scoring gives, from under half of the postings and a few of the chunks."""
+    from quillspark.operators import retrieve as R
+
+    rng = np.random.default_rng(11)
+    words = np.array([f"w{k}" for k in range(3000)])
+    often = 1 / np.arange(1, 3001)
+    rows = [("whole", f"d{i:04}", 0, " ".join(rng.choice(words, rng.integers(1, 80), p=often / often.sum())), 1) for i in range(1500)] + [("whole", f"t{i}", 0, "w5 w700 w700", 1) for i in range(40)] + [("whole", "none", 0, "", 1)]
+    chunks = spark.createDataFrame(rows, "strategy string, source_file string, chunk_index int, text string, n_tokens int")
+    asked = [(f"q{k}", " ".join([*rng.choice(words[:20], 2), *rng.choice(words[20:], 3)])) for k in range(20)] + [("ties", "w700 w5"), ("few", "w2999 w1"), ("unknown", "zzz yyy"), ("common", "w0 w1 w2"), ("empty", "")]
+    asked, index = spark.createDataFrame(asked, "question_id string, question string"), build_index(chunks)
+    read, sums = [], R._term_sums
+    monkeypatch.setattr(R, "_term_sums", lambda s, i, r: read.append(r.drop_duplicates(["strategy", "term"])["df"].sum()) or sums(s, i, r))
+    ranks = lambda **how: sorted((r.question_id, r.source_file, r.bm25_rank, round(r.bm25, 9)) for r in ranked_pairs(R.best_pairs(index, asked, 5, False, **how), 5).collect())
+    want = ranks(bounds=False)
+    assert not read and ranks(bounds=True) == want and ranks() == want
+    assert {q for q, *_ in want} >= {"ties", "few", "common"}
+    assert sum(read[:2]) < index.postings.count() / 2
+    chosen = R.candidates(index, R.asked_sides(index, R.query_terms(asked.where("question_id = 'ties'"))), 5)
+    assert chosen.count() < 100
+
+
+def test_parts_are_made_on_demand(spark, chunks, questions, tmp_path):
+    from quillspark.operators.index import stored_index
+
+    find_hits(chunks, questions, ("bm25",), (3,), index=stored_index(chunks, f"{tmp_path}/ix"), bounds=False).collect()
+    assert {p.name for p in (tmp_path / "ix").iterdir() if not p.name.endswith(".whole")} == {"forward", "corpus", "terms"}
+
+
 def test_models_take_the_place_of_stand_ins(spark, server, tmp_path):
     from quillspark.operators.chunk import chunk_semantic
     from quillspark.providers import Models
@@ -187,6 +216,9 @@ def test_nearest(spark):
     unit = v / np.linalg.norm(v, axis=1)[:, None]
     sim = unit @ unit.T
     np.fill_diagonal(sim, -2)
+    # a vector with an infinite component is no match, and takes no other's place
+    few = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(10)] + [(10, [1.0, float("inf")])], "id long, vec array<double>")
+    assert [r.id for r in nearest(few, few.where("id = 0"), 3).orderBy("rank").collect()] == [1, 2, 3]
     for rows in (4096, 8):
         got = {}
         for r in nearest(frame, frame.where("id % 5 = 0"), 4, rows).collect():
