@@ -37,11 +37,15 @@ class Index:
     def lengths(self) -> DataFrame:
         return self.forward.select(*KEY, "dl")
 
+    @property
+    def entries(self) -> DataFrame:
+        """The postings in the order of the chunks."""
+        return self.forward.select(*KEY, "dl", F.explode("terms").alias("t")).select(*KEY, "t.term", "t.tf", "dl")
+
     @cached_property
     def postings(self) -> DataFrame:
         """Sorted by term, so a search for few terms reads few row groups, and the postings of a very frequent term may be in many files."""
-        every = self.forward.select(*KEY, "dl", F.explode("terms").alias("t")).select(*KEY, "t.term", "t.tf", "dl")
-        return self._part("postings", lambda: every.repartitionByRange("strategy", "term", "source_file", "chunk_index").sortWithinPartitions("strategy", "term"))
+        return self._part("postings", lambda: self.entries.repartitionByRange("strategy", "term", "source_file", "chunk_index").sortWithinPartitions("strategy", "term"))
 
     @cached_property
     def corpus_stats(self) -> DataFrame:
@@ -57,7 +61,7 @@ class Index:
 
     @cached_property
     def norms(self) -> DataFrame:
-        return self._part("norms", lambda: norms_of(self.postings, self.term_stats))
+        return self._part("norms", lambda: norms_of(self.entries, self.term_stats))
 
 
 def damped(tf, dl, avgdl):

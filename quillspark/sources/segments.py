@@ -9,6 +9,7 @@ rewrites small segments as one, without dead documents and without reading texts
 
     folder/segments/<name>/{chunks,forward,postings,terms,docs}
     folder/versions/<n>/{segments,dead} and <n>.whole once the version is complete
+    folder/statistics/<n>/{corpus,terms,norms} as far as searches have asked for them
 
 A version counts once its marker is written, so an update that breaks off
 changes nothing, and readers of a version keep it. One writer at a time.
@@ -32,14 +33,18 @@ _SEGMENTS, _DEAD = "segment string, docs long", "segment string, source_file str
 
 
 class SegmentedIndex(Index):
-    """The live part of a version, as an index; nothing of it is computed from texts."""
+    """The live part of a version, as an index; nothing of it is computed from texts. Statistics and norms are kept with the version."""
 
-    def __init__(self, store: SegmentStore, segments: list[str], dead: DataFrame):
+    def __init__(self, store: SegmentStore, segments: list[str], dead: DataFrame, version: int | None = None):
         super().__init__(lambda: self._live("forward"))
-        self._store, self._segments, self._dead = store, segments, dead
+        self._store, self._segments, self._dead, self._version = store, segments, dead, version
+
+    def _with_version(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return build() if self._version is None else kept(self._store.spark, f"{self._store.folder}/statistics/{self._version}/{name}", build)
 
     def _every(self, table: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self._store.table(s, table).withColumn("segment", F.lit(s)) for s in self._segments))
+        table_of = self._store.postings if table == "postings" else lambda s: self._store.table(s, table)
+        return reduce(DataFrame.unionByName, (table_of(s).withColumn("segment", F.lit(s)) for s in self._segments))
 
     def _live(self, table: str) -> DataFrame:
         return self._every(table).join(self._dead, ["segment", "source_file"], "left_anti").drop("segment")
@@ -54,7 +59,7 @@ class SegmentedIndex(Index):
 
     @cached_property
     def corpus_stats(self) -> DataFrame:
-        return self.lengths.groupBy("strategy").agg(F.count("*").alias("n_chunks"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+        return self._with_version("corpus", lambda: self.lengths.groupBy("strategy").agg(F.count("*").alias("n_chunks"), (F.sum("dl") / F.count("*")).alias("avgdl")))
 
     @cached_property
     def term_stats(self) -> DataFrame:
@@ -63,11 +68,11 @@ class SegmentedIndex(Index):
         parts = self._every("terms").select("strategy", "term", "df", "tf", "dl").unionByName(gone, allowMissingColumns=True)
         sums = parts.groupBy("strategy", "term").agg(F.sum("df").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl")).where("df > 0")
         bound = sums.join(F.broadcast(self.corpus_stats.select("strategy", "avgdl")), "strategy").select("strategy", "term", "df", damped(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("most"))
-        return term_statistics(bound, self.corpus_stats)
+        return self._with_version("terms", lambda: term_statistics(bound, self.corpus_stats))
 
     @cached_property
     def norms(self) -> DataFrame:
-        return norms_of(self.postings, self.term_stats)
+        return self._with_version("norms", lambda: norms_of(self.entries, self.term_stats))
 
 
 class SegmentStore:
@@ -79,6 +84,11 @@ class SegmentStore:
     def table(self, segment: str, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/segments/{segment}/{name}")
 
+    def postings(self, segment: str) -> DataFrame:
+        """A segment's postings, written when a search first asks for them."""
+        part = lambda name, build: kept(self.spark, f"{self.folder}/segments/{segment}/{name}", build)
+        return Index(lambda: self.table(segment, "forward"), part).postings
+
     def version(self) -> int:
         """The last complete version, 0 if there is none."""
         try:
@@ -108,8 +118,8 @@ class SegmentStore:
         at = lambda t: f"{self.folder}/segments/{name}/{t}"
         chunks.write.parquet(at("chunks"))
         made = Index(lambda: forward if forward is not None else forward_of(self.table(name, "chunks")), lambda t, build: kept(self.spark, at(t), build))
-        made.postings
-        counted = made.postings.groupBy("strategy", "term").agg(F.count("*").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+        each = made.forward.select("strategy", "dl", F.explode("terms").alias("t")).select("strategy", "t.term", "t.tf", "dl")
+        counted = each.groupBy("strategy", "term").agg(F.count("*").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
         counted.repartitionByRange("strategy", "term").sortWithinPartitions("strategy", "term").write.parquet(at("terms"))
         docs.write.parquet(at("docs"))
         return name, self.table(name, "docs").count()
@@ -149,5 +159,6 @@ class SegmentStore:
 
     def index(self, version: int | None = None) -> SegmentedIndex:
         """A version's index, by default the last one's; update() comes first."""
-        segments, dead = self._state(version or self.version())
-        return SegmentedIndex(self, list(segments), dead)
+        version = version or self.version()
+        segments, dead = self._state(version)
+        return SegmentedIndex(self, list(segments), dead, version)
