@@ -61,7 +61,7 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> None:
         configs = sample_configs(a.n, a.seed)
         ids = sorted(r.question_id for r in questions.select("question_id").collect())  # the question set is a file
         questions = questions.where(F.col("question_id") == random.Random(a.seed).choice(ids))
-    files.write_results(evaluate_configs(files.read_corpus(spark, a.corpus), questions, configs, _models(a), f"{a.out}/indexes", f"{a.out}/parts"), f"{a.out}/results")
+    files.write_results(evaluate_configs(files.read_corpus(spark, a.corpus), questions, configs, _models(a), f"{a.out}/indexes", f"{a.out}/parts" if a.command == "run" else None), f"{a.out}/results")
     overall(files.read_results(spark, f"{a.out}/results")).show()
 
 
