@@ -58,8 +58,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def fit_centroids(vectors: DataFrame, n_lists: int | None = None) -> tuple[dict[int, np.ndarray], int]:
-    """Centroids by vector length, and how many lengths there are. By default as many lists as the root of the rows, and at most MAX_LISTS."""
+def sampled(vectors: DataFrame) -> tuple[dict[int, tuple[int, np.ndarray]], int]:
+    """By vector length, the most frequent first: how many rows there are, and those of a bounded hash sample as unit vectors. And how many lengths there are."""
     counted = {r["dims"]: r["count"] for r in vectors.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1000).collect()}
     lengths = vectors.select(F.size("vec").alias("dims")).distinct().count() if len(counted) == 1000 else len(counted)
     if not counted:
@@ -68,13 +68,15 @@ def fit_centroids(vectors: DataFrame, n_lists: int | None = None) -> tuple[dict[
     share = 0.95 * rows / sum(counted.values())
     sample = vectors if share >= 1 else vectors.where(F.pmod(F.xxhash64("id", "vec", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
     got = sample.select("id", "vec").limit(rows).toPandas().sort_values("id", kind="stable")
-    sizes, out = got["vec"].map(len).to_numpy(), {}
-    for dims in counted:
-        x = got["vec"][sizes == dims]
-        k = min(n_lists or round(counted[dims] ** 0.5), MAX_LISTS, len(x) // ROWS_A_LIST)
-        if k > 1:
-            out[int(dims)] = spherical_kmeans(_unit(np.array(x.tolist())), k)
-    return out, lengths
+    sizes = got["vec"].map(len).to_numpy()
+    return {int(d): (n, _unit(np.array(got["vec"][sizes == d].tolist()).reshape(-1, d))) for d, n in counted.items()}, lengths
+
+
+def fit_centroids(vectors: DataFrame, n_lists: int | None = None) -> tuple[dict[int, np.ndarray], int]:
+    """Centroids by vector length, and how many lengths there are. By default as many lists as the root of the rows, and at most MAX_LISTS."""
+    by_length, lengths = sampled(vectors)
+    sizes = {d: min(n_lists or round(n**0.5), MAX_LISTS, len(x) // ROWS_A_LIST) for d, (n, x) in by_length.items()}
+    return {d: spherical_kmeans(by_length[d][1], k) for d, k in sizes.items() if k > 1}, lengths
 
 
 def _place(vectors: DataFrame, choose: Callable[[int, np.ndarray, pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:

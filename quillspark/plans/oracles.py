@@ -177,6 +177,7 @@ ORACLES: dict[str, str] = {
     "bm25_positive_only": f"WITH {WHOLE} SELECT question_id, count(*) AS n_positive, {q('max(bm25)')} AS best FROM scored WHERE bm25 > 0 GROUP BY question_id",
     "vector_topk_dense": _dense(5, f"SELECT query_id, rank::bigint AS rank, id, {q('score')} AS score FROM best WHERE rank <= {{k}}"),
     "vector_topk_ivf": _dense(5, f"SELECT query_id, rank::bigint AS rank, id, {q('score')} AS score FROM best WHERE rank <= {{k}}"),
+    "vector_topk_pq": _dense(5, f"SELECT query_id, rank::bigint AS rank, id, {q('score')} AS score FROM best WHERE rank <= {{k}}"),
     "vector_label_precision": _dense(10, "SELECT query_id, count(*) FILTER (WHERE ql = label) AS same_label, count(*) AS n FROM best WHERE rank <= {k} GROUP BY query_id"),
     "experiment_plan_rows": f"WITH {QUESTIONS} SELECT c.v || '__' || s.v || '__k' || k.v AS config_name, c.v AS chunking, s.v AS search, k.v::bigint AS top_k, question_id FROM unnest({list(CHUNKINGS)}) c(v), unnest({list(SEARCHES)}) s(v), unnest({list(TOP_KS)}) k(v), questions",
     "config_parse": f"WITH {QUESTIONS} SELECT c.v || '__' || s.v || '__k' || k.v AS config_name, c.v AS chunking, s.v AS search, k.v::bigint AS top_k, count(*) AS n FROM unnest({list(CHUNKINGS)}) c(v), unnest({list(SEARCHES)}) s(v), unnest({list(TOP_KS)}) k(v), questions GROUP BY ALL",

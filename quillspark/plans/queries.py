@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillspark.config import sample_configs
 from quillspark.functions.text import fact_found, lexical_cosine, quantised, sentences, terms, words
 from quillspark.operators import analyze as A
-from quillspark.operators import inverted
+from quillspark.operators import compressed, inverted
 from quillspark.operators.chunk import chunk, chunk_all
 from quillspark.operators.evaluate import config_matrix, contexts, evaluate, experiment_plan, find_hits
 from quillspark.operators.index import build_index, corpus_statistics, document_frequencies, postings_of, stored_index, term_statistics
@@ -189,13 +189,25 @@ def vector_topk_dense(spark, d):
     return nearest(v, v.where("id % 20 = 0"), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", _q("score"))
 
 
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The vectors, and where their indexes are kept."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    name = corpus_fingerprint(v.select(F.col("id").cast("string").alias("source_file"), F.xxhash64("vec").cast("string").alias("text")), "lists")
+    return v, f"{_own_folder(spark)}/vectors/{name}"
+
+
 @_query
 def vector_topk_ivf(spark, d):
     """The same by the inverted file, from the lists alone that may hold one of a query's nearest."""
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    name = corpus_fingerprint(v.select(F.col("id").cast("string").alias("source_file"), F.xxhash64("vec").cast("string").alias("text")), "lists")
-    index = inverted.stored(spark, f"{_own_folder(spark)}/vectors/{name}", v)
-    return inverted.nearest_by_bounds(index, v.where("id % 20 = 0"), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", _q("score"))
+    v, folder = _vectors(spark, d)
+    return inverted.nearest_by_bounds(inverted.stored(spark, folder, v), v.where("id % 20 = 0"), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", _q("score"))
+
+
+@_query
+def vector_topk_pq(spark, d):
+    """The same by product codes: their bounds leave few vectors to be scored in full."""
+    v, folder = _vectors(spark, d)
+    return compressed.nearest_by_codes(compressed.stored(spark, f"{folder}-codes", v), v.where("id % 20 = 0"), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", _q("score"))
 
 
 @_query
