@@ -56,7 +56,13 @@ def _parts(x: np.ndarray) -> np.ndarray:
 
 
 def _nearest_words(x: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.argmin((words * words).sum(axis=1) - 2 * (x[s : s + 4096] @ words.T), axis=1) for s in range(0, len(x), 4096)])
+    # the nearest word has the greatest x.w - w.w / 2; a strip's products stay in the processor's cache
+    half, near = (words * words).sum(axis=1) / 2, np.empty(len(x), np.intp)
+    for s in range(0, len(x), 512):
+        product = x[s : s + 512] @ words.T
+        product -= half
+        near[s : s + 512] = product.argmax(axis=1)
+    return near
 
 
 def code_words(x: np.ndarray, n: int = WORDS, rounds: int = ROUNDS) -> np.ndarray:
