@@ -1,8 +1,8 @@
-"""Nearest neighbours by product codes: a byte for every two components stands for a vector, and only few vectors are scored in full.
+"""Nearest neighbours by product codes: two bytes for every two components stand for a vector, and only few vectors are scored in full.
 
 A unit vector is cut into parts; each part goes by the nearest of 256 code words,
-which are fitted on a bounded sample. How far the words are from the vector is
-kept beside the code, so a code gives a lower and an upper bound of every score.
+and what the word leaves of it by the nearest of 256 more. Words are fitted on a
+bounded sample. How far they are from the vector is kept beside the code, so a code gives a lower and an upper bound of every score.
 The exact search scores those vectors alone whose upper bound reaches the k-th
 best lower bound of the query. The search by a shortlist scores as many as it is
 told to; inverted.recall measures it.
@@ -30,9 +30,9 @@ from quillspark.operators.retrieve import BLOCK_ROWS, nearest, usable
 from quillspark.session import shared_folder
 from quillspark.sources.files import kept
 
-#: Components a code word stands for, words a place, rounds of the fit, and sampled vectors that it sees at most.
-PART, WORDS, ROUNDS, BOOK_ROWS = 2, 256, 8, 16_384
-#: Components of all lengths that get code words, at most (32 MB of words); vectors of the rarer lengths are searched without codes.
+#: Components a code word stands for, words that are added up, words a place, rounds of the fit, and sampled vectors that it sees at most.
+PART, LEVELS, WORDS, ROUNDS, BOOK_ROWS = 2, 2, 256, 8, 16_384
+#: Components of all lengths that get code words, at most (64 MB of words); vectors of the rarer lengths are searched without codes.
 BOOK_DIMS = 16_384
 #: Candidates of a query in a block, and in all, above which the query goes to the search by blocks.
 MOST_IN_BLOCK, MOST = 512, 4096
@@ -43,7 +43,7 @@ _STRIP = 256
 
 @dataclass(frozen=True)
 class CodedVectors:
-    """codes: id, dims, code, error, norm of every usable vector; the vectors (id, vec) that they stand for; books: code words (places, words, PART) by vector length."""
+    """codes: id, dims, code, error, norm of every usable vector; the vectors (id, vec) that they stand for; books: code words (LEVELS, places, words, PART) by vector length."""
 
     codes: DataFrame
     vectors: DataFrame
@@ -83,18 +83,34 @@ def fit_books(vectors: DataFrame) -> dict[int, np.ndarray]:
         room -= dims
         if len(x) and room >= 0:
             parts = _parts(x[:BOOK_ROWS])
-            books[dims] = np.stack([code_words(parts[:, p], min(WORDS, len(parts))) for p in range(parts.shape[1])])
+            books[dims] = book_of(parts)
     return books
 
 
+def book_of(parts: np.ndarray, n: int = WORDS) -> np.ndarray:
+    """Code words of all places; those of a level are fitted on what the levels before leave."""
+    book = np.empty((LEVELS, parts.shape[1], min(n, len(parts)), PART))
+    for p in range(parts.shape[1]):
+        left = parts[:, p]
+        for level in book:
+            level[p] = code_words(left, level.shape[1])
+            left = left - level[p][_nearest_words(left, level[p])]
+    return book
+
+
 def encode(x: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """The codes (rows, places) of unit vectors."""
-    parts = _parts(x)
-    return np.stack([_nearest_words(parts[:, p], book[p]) for p in range(len(book))], axis=1).astype(np.uint8)
+    """The codes (rows, LEVELS * places) of unit vectors."""
+    left, codes = _parts(x), np.empty((len(book), book.shape[1], len(x)), np.uint8)
+    for level, at in zip(book, codes, strict=True):
+        for p, words in enumerate(level):
+            at[p] = _nearest_words(left[:, p], words)
+            left[:, p] -= words[at[p]]
+    return np.ascontiguousarray(codes.reshape(-1, len(x)).T)
 
 
 def decode(codes: np.ndarray, book: np.ndarray, dims: int) -> np.ndarray:
-    return book[np.arange(len(book)), codes].reshape(len(codes), -1)[:, :dims]
+    places = np.arange(book.shape[1])
+    return sum(level[places, at].reshape(len(codes), -1)[:, :dims] for level, at in zip(book, np.split(codes, len(book), axis=1), strict=True))
 
 
 def coded(vectors: DataFrame, books: dict[int, np.ndarray]) -> DataFrame:
@@ -132,13 +148,13 @@ def stored(spark: SparkSession, path: str, vectors: DataFrame) -> CodedVectors:
     known = vectors.select("id", "vec").where(usable())
 
     def book_rows() -> DataFrame:
-        rows = [(d, p, [float(v) for v in words.ravel()]) for d, book in fit_books(known).items() for p, words in enumerate(book)]
+        rows = [(d, p, [float(v) for v in words.ravel()]) for d, book in fit_books(known).items() for p, words in enumerate(book.reshape(-1, *book.shape[2:]))]
         return spark.createDataFrame(rows, "dims int, place int, words array<double>")
 
     by_length: dict[int, list[np.ndarray]] = {}
-    for r in kept(spark, f"{path}/books", book_rows).orderBy("dims", "place").collect():  # BOOK_DIMS / PART rows at most
+    for r in kept(spark, f"{path}/books", book_rows).orderBy("dims", "place").collect():  # LEVELS * BOOK_DIMS / PART rows at most
         by_length.setdefault(r["dims"], []).append(np.array(r["words"]).reshape(-1, PART))
-    books = {d: np.stack(b) for d, b in by_length.items()}
+    books = {d: np.stack(b).reshape(LEVELS, -1, *b[0].shape) for d, b in by_length.items()}
     return CodedVectors(kept(spark, f"{path}/codes", lambda: coded(known, books)), known, books)
 
 
