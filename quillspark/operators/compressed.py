@@ -217,9 +217,13 @@ def _block_reached(asks: pd.DataFrame, held: pd.DataFrame, books: dict[int, np.n
     return _pairs(asks, held, parts)
 
 
-def _scan(index: CodedVectors, asked: DataFrame, block_rows: int, best) -> DataFrame:
-    """query_id, id, value: best(queries, codes) of each pair of blocks."""
-    n, m = (max(1, -(-x.count() // block_rows)) for x in (asked, index.codes))
+def _blocks(index: CodedVectors, asked: DataFrame, block_rows: int) -> tuple[int, int]:
+    """How many blocks queries and codes are dealt into."""
+    return max(1, -(-asked.count() // block_rows)), max(1, -(-index.codes.count() // block_rows))
+
+
+def _scan(index: CodedVectors, asked: DataFrame, n: int, m: int, best) -> DataFrame:
+    """query_id, id, value: best(queries, codes) of each of n blocks of queries with each of m blocks of codes."""
     block = lambda of: F.pmod(F.xxhash64("id"), F.lit(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
     left = asked.withColumn("i", block(n)).withColumn("j", every(m))
@@ -250,7 +254,7 @@ def _rated(pairs: DataFrame, index: CodedVectors, asked: DataFrame, k: int) -> D
 def nearest_shortlisted(index: CodedVectors, queries: DataFrame, k: int, shortlist: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, id, score: the k nearest of the `shortlist` vectors whose codes are nearest to each query."""
     asked, books = queries.select("id", "vec").where(usable()), index.books
-    first = _scan(index, asked, block_rows, lambda a, b: _block_best(a, b, books, shortlist, True))
+    first = _scan(index, asked, *_blocks(index, asked, block_rows), lambda a, b: _block_best(a, b, books, shortlist, True))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), "id"))
     return _rated(first.withColumn("rank", rank).where(F.col("rank") <= shortlist).select("query_id", "id"), index, asked, k)
 
@@ -258,10 +262,11 @@ def nearest_shortlisted(index: CodedVectors, queries: DataFrame, k: int, shortli
 def candidates(index: CodedVectors, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, most: int = MOST_IN_BLOCK) -> DataFrame:
     """query_id, id: the vectors that may be among a query's k nearest; null ids for blocks where these are more than `most`."""
     asked, books = queries.select("id", "vec").where(usable()), index.books
-    low = _scan(index, asked, block_rows, lambda a, b: _block_best(a, b, books, k, False))
+    n, m = _blocks(index, asked, block_rows)
+    low = _scan(index, asked, n, m, lambda a, b: _block_best(a, b, books, k, False))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value")))
     least = low.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("value").alias("least"))
-    return _scan(index, asked.join(least, "id", "left"), block_rows, lambda a, b: _block_reached(a, b, books, most)).select("query_id", "id")
+    return _scan(index, asked.join(least, "id", "left"), n, m, lambda a, b: _block_reached(a, b, books, most)).select("query_id", "id")
 
 
 def nearest_by_codes(index: CodedVectors, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, most: int = MOST_IN_BLOCK, most_in_all: int = MOST) -> DataFrame:
