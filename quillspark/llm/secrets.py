@@ -12,10 +12,12 @@ class, and an allow-list suppresses well-known harmless strings.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import let
 from quillspark.llm.common import table
 
 #: Fixed patterns of the base kinds. Letters of an assignment's name match in either case, ASCII only.
@@ -31,6 +33,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 WINDOW = 20
+#: Items of a block of a running sum, and characters of a block that parts of a text are cut from, as powers of two.
+RUN_BITS, CUT_BITS = 7, 10
 #: Bits a character that a window must reach, by character class: hexadecimal, letters and digits, base64.
 HEX_BITS, ALNUM_BITS, BASE64_BITS = 3.0, 3.8, 4.0
 #: A word of one case or capitalised, or a number: a part of joined words. A key's groups mix them.
@@ -42,20 +46,40 @@ _SAMPLE += "|(?<![A-Za-z])x{6,}(?![a-z])|(?<![A-Za-z])X{6,}(?![A-Z])"
 ALLOW = rf"^[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$|{_SAMPLE}|^{_PART}(?:[/_=+-]+{_PART})+$|^(?i:(.{{1,2}})\1+)$"
 
 
+def running(items: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What join makes, from 0 on, of all items before each place: an array one longer than items.
+
+    An array that grows in `aggregate` is copied at each step, so sums are taken
+    by blocks: of whole blocks, of the blocks before each, and within a block.
+    """
+    zero, inside = F.lit(0), (1 << RUN_BITS) - 1
+
+    def placed(xs: Column, starts: Column) -> Column:
+        within = lambda i: F.slice(xs, i - i.bitwiseAND(inside) + 1, i.bitwiseAND(inside))
+        return F.transform(F.sequence(F.lit(0), F.size(xs)), lambda i: F.aggregate(within(i), F.get(starts, F.shiftright(i, RUN_BITS)), join))
+
+    def walked(xs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.shiftright(F.size(xs), RUN_BITS))
+        sums = F.transform(blocks, lambda b: F.aggregate(F.slice(xs, F.shiftleft(b, RUN_BITS) + 1, F.lit(inside + 1)), zero, join))
+        starts = lambda done: F.transform(done, lambda _, b: F.aggregate(F.slice(done, 1, b), zero, join))
+        return let(let(sums, starts), lambda at: placed(xs, at))
+
+    return let(items, walked)
+
+
+def _larger(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """array of (start, end, found) of the leftmost non-overlapping matches, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), F.length)
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["found"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found")))).alias("spans"))
+    def placed(found: Column) -> Column:
+        ends = running(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: gap + F.length(m)), lambda x, y: x + y)
+        return let(ends, lambda at: F.transform(found, lambda m, k: F.struct((F.get(at, k + 1) - F.length(m)).alias("start"), F.get(at, k + 1).alias("end"), m.alias("found"))))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(empty)
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
 
 
 def _term(c: Column) -> Column:
@@ -96,19 +120,28 @@ def _suspicious(s: Column) -> Column:
     return F.when(F.regexp_like(s, F.lit(ALLOW)), False).when(sum(has[1:], has[0]) < 2, False).otherwise(window_entropy(s) >= limit)
 
 
-def _outside(x: Column, base: Column) -> Column:
-    """Parts of the candidate x, of LEAST characters or more, that the base spans, ordered by start, leave."""
-    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
+def _outside(candidates: Column, base: Column) -> Column:
+    """Parts of the candidates, of LEAST characters or more, that the base spans, ordered by start, leave.
 
-    def grown(acc: Column, end: Column) -> Column:
-        part = F.struct(acc["at"].alias("start"), end.alias("end"), F.substring(x["found"], acc["at"] - x["start"] + 1, end - acc["at"]).alias("found"))
-        return F.when(end - acc["at"] >= LEAST, F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"])
+    Candidates and base spans are sorted together by start: a candidate's place
+    among all less its place among candidates is the number of base spans
+    before it, and those that begin in it follow up to the next candidate.
+    """
+
+    def left(x: Column, before: Column, after: Column, spans: Column, ends: Column) -> Column:
+        starts = F.transform(F.filter(F.slice(spans, before + 1, after - before), lambda b: b["start"] < x["end"]), lambda b: b["start"])
+        part = lambda at, k: F.struct(F.greatest(x["start"], F.get(ends, before + k)).alias("start"), at.alias("end"))
+        parts = F.filter(F.transform(F.concat(starts, F.array(x["end"])), part), lambda p: p["end"] - p["start"] >= LEAST)
+        return F.transform(parts, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.substring(x["found"], p["start"] - x["start"] + 1, p["end"] - p["start"]).alias("found")))
 
-    def step(acc: Column, b: Column) -> Column:
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), grown(acc, b["start"]).alias("parts"))
+    def cut(xs: Column, spans: Column, ends: Column) -> Column:
+        events = F.array_sort(F.concat(F.transform(xs, lambda x, k: F.struct(x["start"].alias("at"), k.alias("which"))), F.transform(spans, lambda b: F.struct(b["start"].alias("at"), F.lit(1 << 30).alias("which")))))
+        order = F.filter(F.transform(events, lambda e, i: F.struct((i - e["which"]).alias("before"), e["which"].alias("which"))), lambda e: e["which"] < (1 << 30))
+        numbers = F.transform(order, lambda e: e["before"])
+        return let(numbers, lambda n: F.flatten(F.transform(xs, lambda x, k: left(x, F.get(n, k), F.coalesce(F.get(n, k + 1), F.size(spans)), spans, ends))))
 
-    return F.aggregate(touching, F.struct(x["start"].alias("at"), empty.alias("parts")), step, lambda acc: grown(acc, x["end"]))
+    with_base = lambda xs: let(base, lambda spans: let(running(F.transform(spans, lambda b: b["end"]), _larger), lambda ends: cut(xs, spans, ends)))
+    return let(candidates, lambda xs: F.when((F.size(xs) > 0) & (F.size(base) > 0), with_base(xs)).otherwise(xs))
 
 
 def _as_kind(spans: str, kind: int) -> Column:
@@ -131,7 +164,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = docs.select(F.struct("*").alias("row")).withColumn("_assign", F.filter(spans_of(t, ASSIGN), lambda x: F.length(F.regexp_replace(x["found"], ASSIGN_LEAD, "")) >= ASSIGN_LEAST))
     parts = parts.withColumn("_access", F.when(access_like, spans_of(t, ACCESS)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))).withColumn("_hex", spans_of(t, HEX))
     parts = parts.withColumn("_base", F.array_sort(F.concat(*[_as_kind(f"_{k}", n) for n, k in enumerate(KINDS[:3])])))
-    fresh = F.filter(F.flatten(F.transform(spans_of(t, CANDIDATE), lambda x: _outside(x, F.col("_base")))), lambda x: _suspicious(x["found"]))
+    fresh = F.filter(_outside(spans_of(t, CANDIDATE), F.col("_base")), lambda x: _suspicious(x["found"]))
     parts = parts.withColumn("_entropy", fresh)
     every = F.array_sort(F.concat("_base", _as_kind("_entropy", 3)))
     named = F.transform(every, lambda x: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
@@ -142,17 +175,25 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """text with the spans, ordered by start, replaced; parts are cut from short blocks of the text, as substring counts from the start."""
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.shiftright(start, CUT_BITS)
+        return F.substring(F.array_join(F.slice(blocks, first + 1, F.shiftright(end, CUT_BITS) - first + 1), ""), start.bitwiseAND((1 << CUT_BITS) - 1) + 1, end - start)
+
+    def joined(blocks: Column, xs: Column, ends: Column) -> Column:
+        kept = F.transform(xs, lambda x, k: F.when(x["start"] >= F.get(ends, k), F.concat(piece(blocks, F.get(ends, k), x["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(kept, ""), piece(blocks, F.get(ends, F.size(xs)), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << CUT_BITS}}}"), F.lit(0))
+    return let(spans, lambda xs: let(running(F.transform(xs, lambda x: x["end"]), _larger), lambda ends: let(blocks, lambda bs: joined(bs, xs, ends))))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of text replaced by `mark`; overlapping spans count as one. n_chars follows the text."""
     found = scan(docs.select(F.struct("*").alias("row"), "text"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    walked = F.aggregate("found", start, step)
-    clean = found.withColumn("_walked", F.when(F.size("found") > 0, walked)).withColumn("_clean", F.when(F.col("_walked").isNull(), F.col("text")).otherwise(F.concat(F.col("_walked.out"), F.substring(F.col("text"), F.col("_walked.at") + 1, F.length("text")))))
+    clean = found.withColumn("_clean", F.when(F.size("found") > 0, _without(F.col("text"), F.col("found"), mark)).otherwise(F.col("text")))
     of = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
         of["n_chars"] = F.when(F.size("found") > 0, F.length("_clean").cast(dict(docs.dtypes)["n_chars"])).otherwise(of["n_chars"])

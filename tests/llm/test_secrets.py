@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -102,3 +103,50 @@ def test_columns_of_the_same_name_in_another_case(spark):
     from quillspark.llm import simhash, substring
 
     assert simhash.one_of_each(rows).collect() == rows.collect() and substring.without_repeats(rows).collect() == rows.collect()
+
+
+def slow_parts(x, y, base):
+    """Parts of a candidate from x to y that base spans leave."""
+    free = [k for k in range(x, y) if not any(a <= k < b for a, b in base)]
+    cuts = [k for k, p in enumerate(free) if k == 0 or free[k - 1] != p - 1] + [len(free)]
+    return [(free[a], free[b - 1] + 1) for a, b in zip(cuts, cuts[1:], strict=False) if b - a >= secrets.LEAST]
+
+
+def test_parts_of_candidates_and_running_sums(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (0, 1, 127, 128, 129, 300):
+        base = sorted((a, 0, a + rng.randrange(1, 90)) for a in (rng.randrange(9000) for _ in range(n)))
+        at, xs = 0, []
+        for _ in range(rng.randrange(1, 60)):
+            at += rng.randrange(1, 60)
+            xs.append((at, at + rng.randrange(20, 300)))
+            at = xs[-1][1]
+        rows.append((n, [(a, b, "q" * (b - a)) for a, b in xs], base))
+    frame = spark.createDataFrame(rows, "n int, xs array<struct<start:int,end:int,found:string>>, base array<struct<start:int,kind:int,end:int>>")
+    sums = secrets.running(F.transform("base", lambda b: b["end"]), lambda x, y: x + y)
+    for r in frame.select("n", "xs", "base", secrets._outside(F.col("xs"), F.col("base")).alias("parts"), sums.alias("sums")).collect():
+        want = [p for x in r.xs for p in slow_parts(x.start, x.end, [(b.start, b.end) for b in r.base])]
+        assert [(p.start, p.end) for p in r.parts] == want and all(len(p.found) == p.end - p.start for p in r.parts)
+        assert r.sums == [sum(b.end for b in r.base[:k]) for k in range(len(r.base) + 1)]
+
+
+def test_redact_across_blocks(docs):
+    text = "".join(f"日本語𝒳 {'é' * (k % 700)} password=hunter{k:04d} AKIA{k:016d} " for k in range(300))
+    out = secrets.redact(docs([(1, text)])).first().text
+    assert out == re.sub(r"password=hunter\d{4}|AKIA\d{16}", "[SECRET]", text)
+
+
+def test_time_follows_the_number_of_matches(docs):
+    """The walks over one text's matches take time by their number, not by its square."""
+
+    def seconds(n):
+        frame = docs([(1, "".join(f"line {k} password=hunter{k:06d} end {k:024x}\n" for k in range(n)))]).coalesce(1)
+        begin = time.time()
+        out = secrets.redact(frame).first().text
+        assert out.count("[SECRET]") == 2 * n
+        return time.time() - begin
+
+    seconds(500)
+    small, large = (min(seconds(n) for _ in range(2)) for n in (8_000, 16_000))
+    assert large < 2.5 * small + 1
