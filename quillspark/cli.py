@@ -14,6 +14,7 @@ import argparse
 import importlib
 import os
 import random
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,12 @@ from quillspark.sources import files
 from quillspark.sources.report import write_charts, write_report
 
 
-def evaluate_configs(docs: DataFrame, questions: DataFrame, configs: list[RetrievalConfig], models: Models = Models(), index_folder: str | None = None, parts: str | None = None) -> DataFrame:
+def evaluate_configs(docs: DataFrame, questions: DataFrame, configs: list[RetrievalConfig], models: Models = Models(), index_folder: str | None = None, parts: str | None = None, progress=None) -> DataFrame:
     """Results of just these configurations in the list's order; one named twice has its rows twice, though it is evaluated once. With `parts` results are kept there (see run)."""
     chunkings = [c for c in CHUNKINGS if c in {x.chunking for x in configs}]
     searches = [s for s in SEARCHES if s in {x.search for x in configs}]
     if parts:
-        results = run(docs, questions, configs, f"{parts}/{run_name(docs, models)}", models, index_folder)
+        results = run(docs, questions, configs, f"{parts}/{run_name(docs, models)}", models, index_folder, progress)
     else:
         results = evaluate(docs, questions, chunkings, searches, sorted({x.top_k for x in configs}), models=models, index_folder=index_folder)
     listed = docs.sparkSession.createDataFrame([(k, c.name) for k, c in enumerate(configs)], "place int, config_name string")
@@ -52,6 +53,10 @@ def _models(a: argparse.Namespace) -> Models:
     return Models(_made(a.embedder), _made(a.reranker), llm, tokenizer=_made(a.tokenizer), store=f"{a.out}/models")
 
 
+def _say(p: dict) -> None:
+    print(f"{p['part']} of {p['parts']}: {p['chunking']} {p['search']}, {p['rows']} rows in {p['seconds']:.1f} s", file=sys.stderr, flush=True)
+
+
 def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     questions = files.read_questions(spark, a.questions)
     if a.ids:
@@ -61,7 +66,7 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> None:
         configs = sample_configs(a.n, a.seed)
         ids = sorted(r.question_id for r in questions.select("question_id").collect())  # the question set is a file
         questions = questions.where(F.col("question_id") == random.Random(a.seed).choice(ids))
-    files.write_results(evaluate_configs(files.read_corpus(spark, a.corpus), questions, configs, _models(a), f"{a.out}/indexes", f"{a.out}/parts" if a.command == "run" else None), f"{a.out}/results")
+    files.write_results(evaluate_configs(files.read_corpus(spark, a.corpus), questions, configs, _models(a), f"{a.out}/indexes", f"{a.out}/parts" if a.command == "run" else None, _say), f"{a.out}/results")
     overall(files.read_results(spark, f"{a.out}/results")).show()
 
 

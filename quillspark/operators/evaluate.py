@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,6 +19,7 @@ from quillspark.operators.retrieve import best_pairs, nearest, ranked_pairs, ret
 from quillspark.operators.score import fact_scores, retrieval_counts, vector_similarity
 from quillspark.providers import Models, chat_answers, embed, extractive_answer, model_name, rescore
 from quillspark.schemas import RESULTS
+from quillspark.session import shared_folder
 from quillspark.sources.files import corpus_fingerprint
 from quillspark.sources.segments import SegmentStore
 
@@ -75,8 +79,32 @@ def find_hits(chunks: DataFrame, questions: DataFrame, searches=SEARCHES, top_ks
     return retrieve(ranked, searches, top_ks)
 
 
+def measured_hits(chunks: DataFrame, questions: DataFrame, searches=SEARCHES, top_ks=TOP_KS, models: Models = Models(), index=None) -> tuple[DataFrame, dict[str, float]]:
+    """The hits of every configuration, and for each search the milliseconds that it took a question.
+
+    Questions are answered together, so a question's time is its share of its
+    search's: the wall-clock time until the hits of the search, of all depths, are
+    a table in the shared folder. Chunks are cut before; what an index that is
+    not stored yet has to make for a search counts.
+    """
+    spark = chunks.sparkSession
+    folder = f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
+    if index is None:
+        chunks.write.parquet(f"{folder}/chunks")
+        chunks = spark.read.schema(chunks.schema).parquet(f"{folder}/chunks")
+    asked, taken, out = questions.count(), {}, None
+    for search in searches:
+        begin = time.monotonic()
+        found = find_hits(chunks, questions, (search,), top_ks, models, index)
+        found.write.parquet(f"{folder}/{search}")
+        taken[search] = 1000.0 * (time.monotonic() - begin) / max(asked, 1)
+        found = spark.read.schema(found.schema).parquet(f"{folder}/{search}")
+        out = found if out is None else out.unionByName(found)
+    return out, taken
+
+
 def evaluate(
-    docs: DataFrame, questions: DataFrame, chunkings=CHUNKINGS, searches=SEARCHES, top_ks=TOP_KS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, models: Models = Models(), index_folder: str | None = None, gold: DataFrame | None = None, distractors: DataFrame | None = None, only: DataFrame | None = None
+    docs: DataFrame, questions: DataFrame, chunkings=CHUNKINGS, searches=SEARCHES, top_ks=TOP_KS, delimiter: str = "\n\n", threshold: float = SEMANTIC_THRESHOLD, models: Models = Models(), index_folder: str | None = None, gold: DataFrame | None = None, distractors: DataFrame | None = None, only: DataFrame | None = None, measured: bool | None = None
 ) -> DataFrame:
     """A row for each configuration and question, also where nothing is retrieved.
 
@@ -88,6 +116,8 @@ def evaluate(
     index_folder chunks and index are kept there and brought up to date: of a
     corpus that was changed since, only new and changed documents are cut and tokenised.
     `only` (config_name, question_id) leaves out all other rows before anything is answered.
+    With `measured`, or where it is None and any of the three models is given,
+    retrieval latency is measured instead (see measured_hits), and each search runs by itself.
     """
     cut = lambda d: chunk_all(d, chunkings, delimiter, threshold, models.embedder, models.tokenizer)
     if index_folder:
@@ -97,7 +127,8 @@ def evaluate(
         chunks = index.chunks
     else:
         chunks, index = cut(docs), None
-    hits = find_hits(chunks, questions, searches, top_ks, models, index)
+    measured = any((models.embedder, models.reranker, models.llm)) if measured is None else measured
+    hits, taken = measured_hits(chunks, questions, searches, top_ks, models, index) if measured else (find_hits(chunks, questions, searches, top_ks, models, index), {})
     plan = experiment_plan(config_matrix(docs.sparkSession, chunkings, searches, top_ks), questions)
     plan = plan if only is None else plan.join(only.select("config_name", "question_id"), ["config_name", "question_id"], "left_semi")
     gold = questions.select("question_id", F.explode("gold_source_ids").alias("source_file")) if gold is None else gold
@@ -109,6 +140,8 @@ def evaluate(
     else:
         rows = rows.withColumn("generated_answer", F.when(F.col("chunks_retrieved") > 0, extractive_answer(F.col("question"), F.col("best_text"))).otherwise("")).withColumn("generation_latency_ms", (0.5 * tokens).cast("double"))
     reach = F.col("top_k") * F.when(F.col("search") == "hybrid", 2 * DEPTH["hybrid"]).when(F.col("search") == "hybrid_rerank", 22 * DEPTH["hybrid_rerank"]).otherwise(1)
+    if taken:
+        reach = F.element_at(F.create_map(*[F.lit(x) for pair in taken.items() for x in pair]), F.col("search"))
     if models.embedder:
         both = embed(embed(rows, models.embedder, "generated_answer", "answer_vec", models.store), models.embedder, "gold_answer", "gold_vec", models.store)
         rows, similarity = both, vector_similarity(F.col("answer_vec"), F.col("gold_vec"))
@@ -122,29 +155,35 @@ def evaluate(
     )
 
 
-def run(docs: DataFrame, questions: DataFrame, configs: list[RetrievalConfig], path: str, models: Models = Models(), index_folder: str | None = None, **settings) -> DataFrame:
+def run(docs: DataFrame, questions: DataFrame, configs: list[RetrievalConfig], path: str, models: Models = Models(), index_folder: str | None = None, progress: Callable[[dict], None] | None = None, **settings) -> DataFrame:
     """Results of the configurations for the questions, kept at path part by part, a part being a chunking and a search.
 
     What is there already is not evaluated again: a run that was broken off goes on, a configuration
     or question that is added, or a question that is changed, is evaluated alone.
     path has to be named for what results depend on besides (corpus, models,
     settings): see run_name. Rows are told apart by configuration, question and
-    the question's fingerprint, so each is there once.
+    the question's fingerprint, so each is there once. progress is told of each
+    part when it is there: part (from 1), parts, chunking, search, rows (evaluated now) and seconds.
     """
     spark = docs.sparkSession
     plan = spark.createDataFrame([(c.name, c.chunking, c.search) for c in dict.fromkeys(configs)], "config_name string, chunking string, search string")
     key = ["config_name", "question_id", "print"]
     marked = questions.withColumn("print", F.xxhash64(*[c for c in ("question", "gold_answer", "key_facts", "gold_source_ids", "distractors", "category", "difficulty") if c in questions.columns]))
     wanted = marked.select("question_id", "print").distinct().crossJoin(F.broadcast(plan))  # configurations are few
-    for chunking, search in dict.fromkeys((c.chunking, c.search) for c in configs):
+    parts = list(dict.fromkeys((c.chunking, c.search) for c in configs))
+    for k, (chunking, search) in enumerate(parts):
+        begin, counted = time.monotonic(), Observation()
+        tell = lambda rows: progress and progress({"part": k + 1, "parts": len(parts), "chunking": chunking, "search": search, "rows": rows, "seconds": time.monotonic() - begin})  # noqa: B023, E731
         lacking = wanted.where((F.col("chunking") == chunking) & (F.col("search") == search)).join(_results(spark, path).select(*key), key, "left_anti")
         names = [r["config_name"] for r in lacking.select("config_name").distinct().collect()]
         if not names:
+            tell(0)
             continue
         top_ks = sorted({c.top_k for c in configs if c.name in names})
         asked = questions.join(lacking.select("question_id").distinct(), "question_id", "left_semi")
         made = evaluate(docs, asked, (chunking,), (search,), top_ks, models=models, index_folder=index_folder, only=lacking, **settings)
-        made.join(marked.select("question_id", "print"), "question_id").write.mode("append").partitionBy("config_name").parquet(path)
+        made.join(marked.select("question_id", "print"), "question_id").observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy("config_name").parquet(path)
+        tell(counted.get["rows"])
     return _results(spark, path).join(wanted.select(*key), key, "left_semi").select(*StructType.fromDDL(RESULTS).names)
 
 

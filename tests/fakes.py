@@ -30,6 +30,12 @@ class Longest:
         return texts.map(lambda t: float(len(t)))
 
 
+class Slow(Longest):
+    def predict(self, questions, texts):
+        time.sleep(0.6)
+        return super().predict(questions, texts)
+
+
 class Characters:
     """Each character is a token."""
 

@@ -10,7 +10,7 @@ from quillspark.operators import chunk as C
 from quillspark.operators.evaluate import evaluate, run, run_name
 from quillspark.providers import FileTokenizer, Models, RankTokenizer, chat_answers, embed
 from quillspark.schemas import QUESTIONS
-from tests.fakes import Characters, Letters, busy_server
+from tests.fakes import Characters, Letters, Slow, busy_server
 
 TOKENIZERS = "/opt/tokenizers"
 TEXTS = ["", "plain words in a row, and then some more of them.", "Grüße an 日本 und \U0001f600\U0001f469‍\U0001f4bb, naïve café", "a\n\n\nb  c\td", "x" * 700, "wort " * 900]
@@ -131,3 +131,22 @@ def test_a_run_goes_on(spark, tmp_path):
     changed = asked.withColumn("gold_answer", F.when(F.col("question_id") == "q1", "43").otherwise(F.col("gold_answer")))
     assert {r.gold_answer for r in run(docs, changed, configs, path, models).collect()} == {"43", "thirty"}
     server.shutdown()
+
+
+def test_measured_times_and_progress(spark, tmp_path):
+    docs = spark.createDataFrame([("a.md", "Revenue was 42 million in the third quarter."), ("b.md", "Staff get thirty days of leave.")], "source_file string, text string")
+    asked = spark.createDataFrame([("q1", "revenue", "42 million", ["a.md"], ["b.md"], ["42"], "a", "easy"), ("q2", "leave", "thirty", ["b.md"], None, ["thirty"], "b", "easy")], QUESTIONS)
+    configs = [RetrievalConfig("fixed_256", s, k) for s, k in (("bm25", 3), ("hybrid_rerank", 3), ("hybrid_rerank", 5))]
+    models, said = Models(reranker=Slow()), []
+    got = run(docs, asked, configs, str(tmp_path / "r"), models, progress=said.append)
+    times = {c.name: {r.retrieval_latency_ms for r in got.where(F.col("config_name") == c.name).collect()} for c in configs}
+    assert all(len(t) == 1 and min(t) > 0 for t in times.values())  # a question's share of its search's time
+    assert times[configs[1].name] == times[configs[2].name] and min(times[configs[1].name]) >= 300  # 0.6 s for two questions
+    assert all(r.total_latency_ms == r.retrieval_latency_ms + r.generation_latency_ms for r in got.collect())
+    assert [(p["part"], p["parts"], p["search"], p["rows"]) for p in said] == [(1, 2, "bm25", 2), (2, 2, "hybrid_rerank", 4)] and said[1]["seconds"] > 0.6
+    run(docs, asked, configs, str(tmp_path / "r"), models, progress=said.append)
+    assert [p["rows"] for p in said[2:]] == [0, 0]
+    quiet = [c for c in got.columns if "latency" not in c]
+    rows = lambda df: sorted(map(str, df.select(quiet).collect()))
+    modelled = evaluate(docs, asked, ("fixed_256",), ("bm25", "hybrid_rerank"), (3, 5), models=models, measured=False).where("config_name not like '%bm25__k5'")
+    assert rows(got) == rows(modelled) and {r.retrieval_latency_ms for r in modelled.where("config_name like '%bm25%'").collect()} == {3.0}
