@@ -14,7 +14,9 @@ Within a class of rarer words one that training saw c times has a part in
 proportion to c - DISCOUNT, and the words of the class that training never saw
 have, as one token, the share that its words seen once suggest (Good-Turing).
 Counts of all words cover all training texts: the most frequent words by a
-broadcast list of bounded length, the others by a shuffle.
+broadcast list of bounded length, the others by a shuffle. Texts are cut into
+words twice, to find these words and to write the ids of all tokens; training
+and scoring read the ids.
 """
 
 from __future__ import annotations
@@ -57,6 +59,15 @@ def name_of(word: bytes, longest: int) -> bytes:
     return word if len(word) <= longest else b"\n" + blake2b(word, digest_size=16).hexdigest().encode()
 
 
+def most_frequent(counts: Counter[bytes], most: int) -> list[tuple[bytes, int]]:
+    """(word, count) of the `most` most frequent words in any order, of equals the smaller ones: only those equal to the last are sorted."""
+    if len(counts) <= most:
+        return list(counts.items())
+    least = int(-np.partition(-np.fromiter(counts.values(), np.int64, len(counts)), most - 1)[most - 1])
+    above = [x for x in counts.items() if x[1] > least]
+    return above + [(w, least) for w in sorted(w for w, c in counts.items() if c == least)[: most - len(above)]]
+
+
 def nominated_words(train: DataFrame, most: int) -> tuple[list[tuple[str, int]], int, int, np.ndarray]:
     """(word, count), at most `most`, of the most frequent words of the training texts; the texts; the tokens; the tokens by spelling.
 
@@ -69,6 +80,7 @@ def nominated_words(train: DataFrame, most: int) -> tuple[list[tuple[str, int]],
 
     def make():
         counts: Counter[bytes] = Counter()
+        ends = _Spelled(spellings)
         texts = tokens = 0
 
         def step(batch):
@@ -85,11 +97,9 @@ def nominated_words(train: DataFrame, most: int) -> tuple[list[tuple[str, int]],
 
         def shed():
             nonlocal texts, tokens
-            spelled = Counter()
-            for w, c in counts.items():
-                spelled[spelling(w, spellings)] += c
-            top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
-            rows = [(name_of(w, longest).decode(), c) for w, c in top] + [(_TEXTS, texts), (_TOKENS, tokens)] + [(f"{_SPELLED}{k}", c) for k, c in spelled.items()]
+            kinds = [-1 - ends[w[-3:]] for w in counts]
+            spelled = np.bincount(kinds, weights=np.fromiter(counts.values(), float, len(counts)), minlength=spellings).astype(np.int64)
+            rows = [(name_of(w, longest).decode(), c) for w, c in most_frequent(counts, most)] + [(_TEXTS, texts), (_TOKENS, tokens)] + [(f"{_SPELLED}{k}", c) for k, c in enumerate(spelled.tolist()) if c]
             counts.clear()
             texts = tokens = 0
             return {"word": pa.array([w for w, _ in rows], pa.string()), "n": pa.array([c for _, c in rows], pa.int64())}
@@ -144,16 +154,16 @@ class Lexicon:
             return self.id.get(word) or self.spelled[word[-3:]]
         return self.spelled[word[-3:]]
 
-    def ids(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, each followed by its end; first place of each text)."""
-        get, rare, spelled, longest, sizes = self.id.get, self.rare, self.spelled, self.longest, []
-        out: list[int] = []
-        for raw in raws:
-            words = raw.translate(ASCII_LOWER).split()
-            out += [get(w) or (spelled[w[-3:]] if len(w) <= longest else rare(w)) for w in words]
-            out.append(0)
-            sizes.append(len(words) + 1)
-        return np.array(out, np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    def ids(self, raw: bytes) -> tuple[list[int], Counter[bytes]]:
+        """The ids of a text, its end's last, and how often it has each word that the list lacks, by name."""
+        get, rare, spelled, longest = self.id.get, self.rare, self.spelled, self.longest
+        words = raw.translate(ASCII_LOWER).split()
+        out = [get(w) or (spelled[w[-3:]] if len(w) <= longest else rare(w)) for w in words]
+        others = Counter([w for w, k in zip(words, out, strict=True) if k < 0])
+        if others and len(max(others, key=len)) > longest:
+            others = Counter({name_of(w, longest): n for w, n in others.items()})
+        out.append(0)
+        return out, others
 
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         """0 the end, 1 to `alone` frequent words, then the spellings."""
@@ -237,16 +247,51 @@ def _ready(raw: bytes, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return LogBilinear(np.frombuffer(raw).copy(), classes).tables()
 
 
+def encoded(rows: DataFrame, lexicon) -> DataFrame:
+    """The rows with `ids`, the lexicon's ids of a text's tokens as 32-bit integers, and `rare`, its words that the lexicon lacks, in place of `text`; kind is a word's spelling."""
+    carried = [f for f in rows.schema if f.name != "text"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + ["ids binary", "rare array<struct<word:string,times:int,kind:int>>"])
+
+    def make():
+        def step(batch):
+            words, spelled = lexicon.value, lexicon.value.spelled
+            for row, raws in text_slices(batch):
+                ids, names, times, ends = [], [], [], [0]
+                for raw in raws:
+                    own, others = words.ids(raw)
+                    ids.append(np.array(own, np.int32).tobytes())
+                    names += others
+                    times += others.values()
+                    ends.append(len(names))
+                kinds = [-1 - spelled[w[-3:]] for w in names]
+                flat = pa.StructArray.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(times, pa.int32()), pa.array(kinds, pa.int32())], ["word", "times", "kind"])
+                yield {f.name: batch.column(f.name).slice(row, len(raws)) for f in carried} | {"ids": pa.array(ids, pa.binary()), "rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)}
+
+        return step
+
+    return map_batches(rows, schema, make)
+
+
+def _joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after the other; first place of each text)."""
+    sizes = np.array([len(raw) // 4 for raw in raws])
+    return np.frombuffer(b"".join(raws), np.int32), np.cumsum(sizes) - sizes
+
+
 def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parameters after training on every position of the training texts in each round, and the exact count of each id of the lexicon.
 
+    The texts come as `encoded` has them, or as they are.
+
     Each round goes over all texts in shards of about SHARD_TOKENS, each
     started from the same parameters, and the results are averaged by number of
     positions: a task starts anew after each shard. The average is a grouped sum, so the driver receives
     one set of parameters. Counts of ids are added up along the first round.
     """
     classes, params, log_noise = len(unigram), LogBilinear.start(unigram), np.log(unigram).astype(np.float32)
-    counts, batch_size, samples, shard = np.zeros(lexicon.value.size, np.int64), BATCH, NOISE, SHARD_TOKENS
+    if "ids" not in train.columns:
+        train = encoded(train.select("text"), lexicon)
+    counts, batch_size, samples, shard, bits = np.zeros(lexicon.value.size, np.int64), BATCH, NOISE, SHARD_TOKENS, classes.bit_length()
     for turn, rate in enumerate(RATES):
         now = train.sparkSession.sparkContext.broadcast(params)
 
@@ -256,18 +301,19 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
 
             def step(batch):
                 nonlocal seen, model
-                for _, raws in text_slices(batch):
+                for _, raws in text_slices(batch, "ids"):
                     if seen >= shard:
                         yield finish()
                         model, seen = LogBilinear(now.value.astype(np.float32), classes), 0
                         own[:] = 0
-                    ids, first = lexicon.value.ids(raws)
+                    ids, first = _joined(raws)
                     if turn == 0:
                         own[:] += np.bincount(ids[ids >= 0], minlength=len(own))
                     w = lexicon.value.classes_of(ids)
                     a, b = contexts(w, first)
-                    order = rng.permutation(len(w))
-                    a, b, w = a[order], b[order], w[order]
+                    # a position's three classes are shuffled as one number
+                    mixed = rng.permutation(a << 2 * bits | b << bits | w)
+                    a, b, w = mixed >> 2 * bits, mixed >> bits & (1 << bits) - 1, mixed & (1 << bits) - 1
                     noise = np.minimum(np.searchsorted(drawn, rng.random((-(-len(w) // batch_size), samples))), classes - 1)
                     for k, s in enumerate(range(0, len(w), batch_size)):
                         at = slice(s, s + batch_size)
@@ -282,7 +328,7 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
             step.finish = finish
             return step
 
-        done = map_batches(train.select("text"), "k int, v double, n long", make).groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("k")
+        done = map_batches(train.select("ids"), "k int, v double, n long", make).groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().sort_values("k")
         own, found = done[done["k"] < 0], done[done["k"] >= 0]
         counts[-1 - own["k"].to_numpy(int)] += own["v"].to_numpy().astype(np.int64)
         if len(found):
@@ -290,46 +336,25 @@ def train_model(train: DataFrame, lexicon, unigram: np.ndarray) -> tuple[np.ndar
     return params, counts
 
 
-def _rare_words(rows: DataFrame, lexicon) -> DataFrame:
-    """doc, text_key, held_out, word, kind, times: the words of each text that the lexicon lacks; kind is the spelling's."""
+def _rare_rows(rows: DataFrame) -> DataFrame:
+    """doc, text_key, times, kind, c, first: a row for each text and word of it that the lexicon lacks.
 
-    def make():
-        def step(batch):
-            known, rare, spelled, longest = lexicon.value.id, lexicon.value.rare, lexicon.value.spelled, lexicon.value.longest
-            for row, raws in text_slices(batch):
-                at, names, kinds, times = [], [], [], []
-                for k, raw in enumerate(raws):
-                    own = Counter([w for w in raw.translate(ASCII_LOWER).split() if w not in known])
-                    if own and len(max(own, key=len)) > longest:
-                        own = Counter({name_of(w, longest): n for w, n in own.items() if rare(w) < 0})
-                    at += [row + k] * len(own)
-                    names += own
-                    kinds += [spelled[w[-3:]] for w in own]
-                    times += own.values()
-                take = pa.array(at, pa.int32())
-                yield {"word": pa.array(names, pa.binary()).cast(pa.string()), "kind": pa.array(-1 - np.array(kinds, np.int16)), "times": pa.array(times, pa.int32())} | {c: batch.column(c).take(take) for c in ("doc", "text_key", "held_out")}
-
-        return step
-
-    return map_batches(rows, "doc long, text_key long, held_out boolean, word string, kind short, times int", make)
-
-
-def _rare_sums(rows: DataFrame, lexicon) -> DataFrame:
-    """doc, text_key and sums over the rare words of each text; unknown and firsts hold numbers with a kind: numbers * SPELLINGS + kind.
-
-    unknown has the times of words that training never saw, firsts the training
-    counts of words whose first text this is. The most frequent words are in the
-    lexicon, so no word of the shuffle is hot.
+    c is how often training texts have the word, first marks one row of each
+    word. The most frequent words are in the lexicon, so no word of the shuffle is hot.
     """
+    words = rows.select("doc", "text_key", "held_out", F.explode("rare").alias("r")).select("doc", "text_key", "held_out", "r.*")
     by_word = Window.partitionBy("word")
-    c = F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("times"))).over(by_word)
-    seen = _rare_words(rows, lexicon).withColumn("c", c).withColumn("first", F.row_number().over(by_word.orderBy("doc", "text_key")) == 1)
-    t, known = F.col("times"), F.col("c") > 0
-    with_kind = lambda on, n: F.collect_list(F.when(on, n * F.lit(SPELLINGS).cast("long") + F.col("kind")))
-    return seen.groupBy("doc", "text_key").agg(
-        F.sum(t * F.log10(F.col("c") + 0.5)).alias("rare_base"), F.sum(F.when(known, t * F.log10(F.greatest(F.col("c"), F.lit(1)) - DISCOUNT)).otherwise(0.0)).alias("rare_parts"), F.sum(F.when(known, t).otherwise(0)).alias("rare_known"),
-        with_kind(~known, t).alias("unknown"), with_kind(F.col("first") & known, F.col("c")).alias("firsts"),
-    )
+    # the numbering comes first: its order serves the sum too
+    numbered = words.withColumn("first", F.row_number().over(by_word.orderBy("doc", "text_key")) == 1)
+    return numbered.withColumn("c", F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("times"))).over(by_word)).drop("word", "held_out")
+
+
+def _rare_sums(seen: DataFrame, unseen: np.ndarray) -> DataFrame:
+    """doc, text_key and sums over the rare words of each text; unseen has what a word that training never saw adds, by kind."""
+    t, c, known = F.col("times"), F.col("c"), F.col("c") > 0
+    new = F.element_at(F.array(*[F.lit(float(x)) for x in unseen]), F.col("kind") + 1)
+    part = F.when(known, F.log10(F.greatest(c, F.lit(1)) - DISCOUNT)).otherwise(new)
+    return seen.groupBy("doc", "text_key").agg(F.sum(F.when(known, t).otherwise(0)).alias("rare_known"), F.sum(t * F.log10(c + 0.5)).alias("rare_base"), F.sum(t * part).alias("rare_parts"))
 
 
 def _class_sums(rows: DataFrame, lexicon, model, counts) -> DataFrame:
@@ -343,8 +368,8 @@ def _class_sums(rows: DataFrame, lexicon, model, counts) -> DataFrame:
         part = np.where(np.arange(len(n)) > lexicon.value.alone, np.log10(np.maximum(n - DISCOUNT, 1e-9)), 0.0)
 
         def step(batch):
-            for row, raws in text_slices(batch):
-                ids, first = lexicon.value.ids(raws)
+            for row, raws in text_slices(batch, "ids"):
+                ids, first = _joined(raws)
                 w = lexicon.value.classes_of(ids)
                 a, b = contexts(w, first)
                 listed = ids >= 0
@@ -357,7 +382,7 @@ def _class_sums(rows: DataFrame, lexicon, model, counts) -> DataFrame:
 
         return step
 
-    return map_batches(rows, "doc long, text_key long, doc_id long, held_out boolean, n_tokens long, known long, base double, lm double", make)
+    return map_batches(rows.drop("rare"), "doc long, text_key long, doc_id long, held_out boolean, n_tokens long, known long, base double, lm double", make)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -371,20 +396,20 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(TEXT_KEY)).alias("text_key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     train = rows.where(~F.col("held_out"))
     nominees, texts, about, spelled = nominated_words(train, FREQUENT)
-    # small partitions are read together by one task, which shuffles nothing
     alone = min(CLASSES - 1 - SPELLINGS, len(nominees))
     words = Lexicon([w for w, _ in nominees], alone)
     lexicon = sc.broadcast(words)
     for w, c in nominees[:alone]:
         spelled[spelling(w.encode(), SPELLINGS)] -= c
     unigram = np.array([texts, *(c for _, c in nominees[:alone]), *np.maximum(spelled, 0)]) + 0.5
-    params, exact = train_model(train.coalesce(max(1, round(about / SHARD_TOKENS))), lexicon, unigram / unigram.sum())
-    rare = settle_table(_rare_sums(rows, lexicon))
+    rows = settle_table(encoded(rows, lexicon))
+    # small partitions are read together by one task, which shuffles nothing
+    params, exact = train_model(rows.where(~F.col("held_out")).coalesce(max(1, round(about / SHARD_TOKENS))), lexicon, unigram / unigram.sum())
+    rare = settle_table(_rare_rows(rows))
     copies = rows.groupBy("doc", "text_key").agg(F.count("*").alias("copies")).where("copies > 1")
 
     # times, distinct words, and words seen once of each spelling: those of the list and the others
-    n, kind = F.floor(F.col("x") / SPELLINGS), (F.col("x") % SPELLINGS).alias("kind")
-    others = rare.select(F.explode("firsts").alias("x")).groupBy(kind).agg(F.sum(n).alias("times"), F.count("*").alias("words"), F.count_if(n == 1).alias("once")).collect()
+    others = rare.where(F.col("first") & (F.col("c") > 0)).groupBy("kind").agg(F.sum("c").alias("times"), F.count("*").alias("words"), F.count_if(F.col("c") == 1).alias("once")).collect()
     own, at = exact[alone + 1 :], words.class_of_id[alone + 1 :] - 1 - alone
     times, distinct, once = (np.bincount(at, weights=x, minlength=SPELLINGS) for x in (own, own > 0, own == 1))
     for r in others:
@@ -396,13 +421,11 @@ def score(docs: DataFrame) -> DataFrame:
     seen = np.log10((1 - new) / np.maximum(times - DISCOUNT * distinct, 1e-9))
     share = np.concatenate([np.zeros(alone + 1), seen])
 
-    found = _class_sums(rows, lexicon, sc.broadcast((params.tobytes(), share)), sc.broadcast(exact)).join(rare.drop("firsts"), ["doc", "text_key"], "left").join(copies, ["doc", "text_key"], "left")
+    found = _class_sums(rows, lexicon, sc.broadcast((params.tobytes(), share)), sc.broadcast(exact)).join(_rare_sums(rare, np.log10(new) - seen), ["doc", "text_key"], "left").join(copies, ["doc", "text_key"], "left")
     per_copy = lambda c: F.coalesce(c / F.coalesce("copies", F.lit(1)), F.lit(0.0))
     known = F.col("known") + per_copy(F.col("rare_known"))
     base = F.col("base") + per_copy(F.col("rare_base")) - F.col("n_tokens") * float(np.log10(tokens + 0.5 * (kinds + 1)))
-    unseen = F.array(*[F.lit(float(x)) for x in np.log10(new) - seen])
-    change = F.aggregate("unknown", F.lit(0.0), lambda acc, x: acc + F.floor(x / SPELLINGS) * F.element_at(unseen, (x % SPELLINGS + 1).cast("int")))
-    scored = F.col("lm") + per_copy(F.col("rare_parts")) + per_copy(change)
+    scored = F.col("lm") + per_copy(F.col("rare_parts"))
     return found.select("doc_id", "held_out", "n_tokens", F.round(known).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), scored.alias("score"))
 
 

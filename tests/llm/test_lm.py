@@ -159,3 +159,22 @@ def test_each_round_trains_on_all_texts(docs, monkeypatch):
         params, counts = lm.train_model(train, lexicon, unigram)
         assert not np.allclose(params, lm.LogBilinear.start(unigram)) and counts.tolist() == [1, 2, 2, 1]
     assert lm.NOISE >= 32
+
+
+def test_texts_are_cut_into_words_twice(spark, docs):
+    """Once for the frequent words of training texts, once for the ids of all texts; both rounds, the rare words and the scores read the ids."""
+    rows, read = corpus(60), spark.sparkContext.accumulator(0)
+
+    def passed(t):
+        read.add(1)
+        return t
+
+    texts = docs(rows).withColumn("text", F.udf(passed, "string").asNondeterministic()("text"))
+    assert found(lm.score(texts)) == base(rows)
+    assert 0 < read.value <= 2 * len(rows)
+
+
+def test_most_frequent_words_and_ties():
+    counts = Counter({b"b": 2, b"c": 3, b"a": 2, b"d": 2, b"e": 1})
+    for most in range(1, 7):
+        assert sorted(lm.most_frequent(counts, most)) == sorted(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most])
