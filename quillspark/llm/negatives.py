@@ -15,7 +15,7 @@ second one the negatives that are allowed by the positives' scores.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ POSITIVES, NEGATIVES = 5, 10
 LEAST, MOST = 30, 90
 #: Bytes of an anchor block's tables, and anchors of a block, at most on average; scores that a task holds at once.
 TABLE_BYTES, BLOCK_ANCHORS, SLICE_SCORES = 32 << 20, 2048, 1 << 20
+#: What stands for a score that 64 bits don't hold; and the rows of a slice for which a sort key has to fit, or a stable sort is taken.
+LIMIT, KEYED_ROWS = 2**63 - 2, 256
 #: All 256 subsets of eight dimensions; the first is the lowest bit.
 SUBSETS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
@@ -95,9 +97,13 @@ class Best:
         return self.held[0]
 
 
-def best_places(score: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best allowed scores of each row; of equals the first columns."""
+def best_places(score: np.ndarray, allowed: np.ndarray, k: int, keyed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best allowed scores of each row; of equals the first columns. Without `keyed` a score and a place need not fit 64 bits together."""
     n = score.shape[1]
+    if not keyed:
+        order = np.argsort(np.where(allowed, -score, np.iinfo(np.int64).max), axis=1, kind="stable")[:, :k]
+        kept = np.take_along_axis(allowed, order, axis=1)
+        return np.nonzero(kept)[0], order[kept]
     key = np.where(allowed, score * n + np.arange(n - 1, -1, -1), np.iinfo(np.int64).min)
     least = np.partition(key, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(key), 1), np.iinfo(np.int64).min)
     return np.nonzero(allowed & (key >= least))
@@ -142,17 +148,36 @@ class AnchorBlock:
         self.x = from_planes(packed, dims)
         bound = dims * max(most, 1) ** 2
         self.kind = np.int32 if 2 * bound < 2**31 else np.int64
-        # places within a slice are the lower part of a sort key, and hundredfold scores are compared
-        self.slice = min(max(256, SLICE_SCORES // len(rows)), 2**62 // max(1, 100 * bound))
-        if not self.slice:
-            raise OverflowError("inner products do not fit 64 bits")
+        # places within a slice are the lower part of a sort key, if that fits
+        self.slice, keyed_rows = max(256, SLICE_SCORES // len(rows)), 2**62 // max(1, bound)
+        self.fits, self.keyed = keyed_rows > 0, keyed_rows >= min(self.slice, KEYED_ROWS)
+        if self.keyed:
+            self.slice = min(self.slice, keyed_rows)
+
+    def parts(self, packed: np.ndarray, tables: Callable[[type], np.ndarray]) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
+        """Rows of a slice with tables in which their scores are exact: Python's integers for those that might not fit 64 bits."""
+        if self.fits:
+            yield slice(None), tables(self.kind)
+            return
+        most = np.abs(self.x).astype(float) @ np.abs(from_planes(packed, self.dims)).astype(float).T
+        small = most.max(axis=0) < 2.0**62
+        if small.any():
+            yield np.flatnonzero(small), tables(np.int64)
+        large = np.flatnonzero(~small)
+        for at in range(0, len(large), KEYED_ROWS):
+            yield large[at : at + KEYED_ROWS], tables(object)
 
     def scan(self, index: DataFrame, groups: int, k: int, choose: Callable) -> DataFrame:
         """group, score, id: each task's k best of each group; choose(block, tables, packed, labels, ids) yields (group, score, id) arrays of a slice."""
         own = self
 
         def make():
-            best, tables = Best(groups, k), subset_sums(own.x, own.kind)
+            best, made = Best(groups, k), {}
+
+            def tables(kind):
+                if kind not in made:
+                    made[kind] = subset_sums(own.x, kind)
+                return made[kind]
 
             def step(batch: pa.RecordBatch):
                 ids = batch.column("vec_id").to_numpy()
@@ -162,8 +187,9 @@ class AnchorBlock:
                 ids = ids[order]
                 for at in range(0, len(ids), own.slice):
                     cut = slice(at, at + own.slice)
-                    for found in choose(own, tables, packed[cut], labels[cut], ids[cut]):
-                        best.add(*found)
+                    for rows, sums in own.parts(packed[cut], tables):
+                        for found in choose(own, sums, packed[cut][rows], labels[cut][rows], ids[cut][rows]):
+                            best.add(*found)
                 return iter(())
 
             step.finish = lambda: dict(zip(("group", "score", "id"), (pa.array(x, pa.int64()) for x in best.settle()), strict=True))
@@ -172,12 +198,18 @@ class AnchorBlock:
         return map_batches(index.where(F.col("dims") == own.dims), "group long, score long, id long", make)
 
 
+def _scores(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """anchors x rows in 64 bits; what doesn't fit is LIMIT or -LIMIT."""
+    score = shift_add(tables, packed).T
+    return np.ascontiguousarray(np.clip(score, -LIMIT, LIMIT) if score.dtype == object else score, np.int64)
+
+
 def _same_label(k: int) -> Callable:
     def choose(block, tables, packed, labels, ids):
         for label in np.intersect1d(labels, block.labels):
             a, c = np.flatnonzero(block.labels == label), np.flatnonzero(labels == label)
-            score = shift_add(np.ascontiguousarray(tables[:, :, a[0] : a[-1] + 1]), packed[c]).T.astype(np.int64)
-            i, j = best_places(score, block.ids[a][:, None] != ids[c][None, :], k)
+            score = _scores(np.ascontiguousarray(tables[:, :, a[0] : a[-1] + 1]), packed[c])
+            i, j = best_places(score, block.ids[a][:, None] != ids[c][None, :], k, block.keyed)
             yield a[i], score[i, j], ids[c[j]]
 
     return choose
@@ -185,14 +217,18 @@ def _same_label(k: int) -> Callable:
 
 def _other_label(positive: np.ndarray, known: np.ndarray, k: int, least: int, most: int) -> Callable:
     """Groups are anchor * positives + place of the positive; positive and known are anchors x positives."""
+    # the least and the most score that count, as whole numbers
+    goal = positive.astype(object)
+    low, high = -(-least * goal // 100), most * goal // 100
+    if np.abs([low, high]).max() >= LIMIT:
+        raise OverflowError("a negative's score may not fit 64 bits")
+    low, high = low.astype(np.int64), high.astype(np.int64)
 
     def choose(block, tables, packed, labels, ids):
-        score = np.ascontiguousarray(shift_add(tables, packed).T, np.int64)
+        score = _scores(tables, packed)
         other = (block.labels[:, None] != labels[None, :]) & (block.ids[:, None] != ids[None, :])
-        hundredfold = 100 * score
         for p in range(positive.shape[1]):
-            goal = positive[:, p, None]
-            i, j = best_places(score, other & known[:, p, None] & (least * goal <= hundredfold) & (hundredfold <= most * goal), k)
+            i, j = best_places(score, other & known[:, p, None] & (low[:, p, None] <= score) & (score <= high[:, p, None]), k, block.keyed)
             yield i * positive.shape[1] + p, score[i, j], ids[j]
 
     return choose
@@ -215,7 +251,8 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = POSITIVE
     non-finite entries take no part. Only vectors of equal length are scored.
     Rows that repeat in full are one; rows that repeat an id with another vector
     or label take part each, and none pairs with its own id. An empty table, or
-    one without anchors, gives an empty result. Other columns are not carried.
+    one without anchors, gives an empty result. Scores beyond 64 bits are told
+    apart, and raise only where one is among an anchor's positives. Other columns are not carried.
     """
     spark = vectors.sparkSession
     index, planes, largest = plane_index(vectors, scale)
@@ -232,6 +269,8 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = POSITIVE
             near = _best(block.scan(index, len(part), positives, _same_label(positives)), positives).toPandas()  # positives of one block
             if not len(near):
                 continue
+            if near["score"].abs().max() >= LIMIT:
+                raise OverflowError("inner products do not fit 64 bits")
             goal, known = np.zeros((len(part), positives), np.int64), np.zeros((len(part), positives), bool)
             at = near["group"].to_numpy(), near["rank"].to_numpy() - 1
             goal[at], known[at] = near["score"].to_numpy(), True

@@ -83,3 +83,24 @@ def test_shift_add_is_exact():
         packed = N.bit_planes(y, planes)
         assert (N.from_planes(packed, dims) == y).all()
         assert (N.shift_add(N.subset_sums(x), packed) == y @ x.T).all()
+
+
+def test_scores_near_and_beyond_64_bits(spark):
+    """Entries for which the largest products of the table fit 64 bits not at all, hundredfold, or with a place; what is returned fits."""
+    rng = np.random.default_rng(5)
+    for size in (1e3, 4e5, 2e6):
+        rows = [(i, (rng.normal(size=6) * size).tolist(), i % 2) for i in range(60)]
+        assert found(frame(spark, rows), 20) == slow(rows, 20) != []
+    # the anchor's own scores are small, other rows' are not; one negative is too large to count
+    rows = [(100, [1.0, 0, 2**-8], 1), (1, [1e6, 0, 0], 1), (2, [5e5, 1e12, 0], 2), (3, [-1e6, -1e12, 1], 2), (4, [1e13, 1e12, 1], 2), (200, [1e5, 0, 0], 3), (5, [2e7, 1, 1], 3), (6, [1e7, 1, 2], 2), (7, [1e12] * 3, 2)]
+    assert found(frame(spark, rows)) == slow(rows) != []
+
+
+def test_clamped_scores_are_the_last(monkeypatch):
+    rows, planes = N.pd.DataFrame({"vec_id": [1], "label": [1], "packed": [N.bit_planes(np.array([[2**40]]), 42)[0].tobytes()]}), 42
+    block, packed = N.AnchorBlock(rows, planes, 1, 2**40), N.bit_planes(np.array([[-(2**40)], [2**40], [3], [2**40]]), planes)
+    assert not block.fits
+    parts = [(list(at), N._scores(t, packed[at])) for at, t in block.parts(packed, lambda kind: N.subset_sums(block.x, kind))]
+    assert [(at, x.tolist()) for at, x in parts] == [([2], [[3 * 2**40]]), ([0, 1, 3], [[-N.LIMIT, N.LIMIT, N.LIMIT]])]
+    i, j = N.best_places(parts[1][1], np.array([[True, True, False]]), 5, block.keyed)
+    assert j.tolist() == [1, 0]
