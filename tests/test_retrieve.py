@@ -179,6 +179,21 @@ def test_stored_index(spark, chunks, questions, tmp_path):
     assert (tmp_path / "index/postings").stat().st_mtime_ns == written
 
 
+def test_parts_that_are_there_are_read(spark, chunks, questions, tmp_path):
+    """Postings are written when a search by bounds first asks for them; what is there is written once, and hits are the same."""
+    from quillspark.operators.index import stored_index
+
+    folder = tmp_path / "index"
+    rows = lambda index, **how: sorted((*r[:8], round(r[8], 9)) for r in find_hits(chunks, questions, index=index, **how).collect())
+    assert rows(stored_index(chunks, str(folder))) == rows(None) and not (folder / "postings").exists()
+    keywords = {"searches": ("bm25",), "bounds": True}
+    assert rows(stored_index(chunks, str(folder)), **keywords) == rows(None, **keywords)
+    written = {p.name: p.stat().st_mtime_ns for p in folder.iterdir()}
+    assert {"forward", "corpus", "terms", "norms", "postings"} <= set(written)
+    assert rows(stored_index(chunks, str(folder))) == rows(None) and rows(stored_index(chunks, str(folder)), **keywords) == rows(None, **keywords)
+    assert {p.name: p.stat().st_mtime_ns for p in folder.iterdir()} == written
+
+
 def test_retrieval_counts(spark):
     from quillspark.operators.score import retrieval_counts
 
