@@ -15,6 +15,7 @@ from quillspark.config import CHUNKINGS, DEPTH, SEARCHES, SEMANTIC_THRESHOLD, TO
 from quillspark.functions.text import lexical_cosine, terms
 from quillspark.operators.chunk import chunk_all
 from quillspark.operators.index import KEY, build_index
+from quillspark.operators.ranges import range_hits
 from quillspark.operators.retrieve import best_pairs, nearest, ranked_pairs, retrieve
 from quillspark.operators.score import fact_scores, retrieval_counts, vector_similarity
 from quillspark.providers import Models, chat_answers, embed, extractive_answer, model_name, rescore
@@ -128,7 +129,11 @@ def evaluate(
     else:
         chunks, index = cut(docs), None
     measured = any((models.embedder, models.reranker, models.llm)) if measured is None else measured
-    hits, taken = measured_hits(chunks, questions, searches, top_ks, models, index) if measured else (find_hits(chunks, questions, searches, top_ks, models, index), {})
+    plain = not (index_folder or measured or any((models.embedder, models.reranker, models.tokenizer)))
+    if plain and (found := range_hits(docs, questions, chunkings, searches, top_ks, delimiter, threshold)):
+        (hits, chunks), taken = found, {}
+    else:
+        hits, taken = measured_hits(chunks, questions, searches, top_ks, models, index) if measured else (find_hits(chunks, questions, searches, top_ks, models, index), {})
     plan = experiment_plan(config_matrix(docs.sparkSession, chunkings, searches, top_ks), questions)
     plan = plan if only is None else plan.join(only.select("config_name", "question_id"), ["config_name", "question_id"], "left_semi")
     gold = questions.select("question_id", F.explode("gold_source_ids").alias("source_file")) if gold is None else gold

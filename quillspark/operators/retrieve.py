@@ -215,14 +215,17 @@ class _Asked:
         ok = ~np.isnan(term.astype(float))
         row, term, tf = row[ok], term[ok].astype(np.int64), tf[ok]
         of = lambda c: chunks.column(c).to_numpy(zero_copy_only=False).astype(float)
-        part = damped(tf, of("dl")[row], of("avgdl")[row])
+        bm25, dot, shared = self.sums(term, row, tf, damped(tf, of("dl")[row], of("avgdl")[row]), len(lists))
+        return bm25, dot / (self.norm[:, None] * of("norm")[None, :] + 1e-10), shared / self.size[:, None], shared
+
+    def sums(self, term: np.ndarray, row: np.ndarray, tf: np.ndarray, part: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
+        """bm25, dot and shared terms of postings (place of the term, row of the chunk, count, damped count)."""
         n = self.first[term + 1] - self.first[term]
         posting = np.repeat(np.arange(len(term)), n)
         at = np.arange(int(n.sum())) + np.repeat(self.first[term] - np.append(0, np.cumsum(n)[:-1])[: len(n)], n)
-        cell, shape = self.question[at] * len(lists) + row[posting], (len(self.questions), len(lists))
+        cell, shape = self.question[at] * rows + row[posting], (len(self.questions), rows)
         total = lambda w: np.bincount(cell, weights=w, minlength=shape[0] * shape[1]).reshape(shape)
-        shared = total(None).astype(float)
-        return total(self.idf[at] * part[posting]), total(self.weight[at] * tf[posting]) / (self.norm[:, None] * of("norm")[None, :] + 1e-10), shared / self.size[:, None], shared
+        return total(self.idf[at] * part[posting]), total(self.weight[at] * tf[posting]), total(None).astype(float)
 
 
 def ranked_pairs(scored: DataFrame, depth: int = max(TOP_KS) * max(DEPTH.values())) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import fact_found
 
+#: Questions that are sent to all executors, at most, when texts are searched for them.
+SENT_QUESTIONS = 10_000
+
 
 def _share(part: Column, whole: Column) -> Column:
     """part / whole, 0 where there is nothing."""
@@ -62,10 +65,11 @@ def gold_pairs(docs: DataFrame, questions: DataFrame, block: int = 1000) -> Data
     """question_id, source_file of documents that contain a question's text.
 
     A text that contains another has its inner words as they stand, so the
-    longest inner word is the join key; texts are fetched for what it brings
-    together only, and `contains` is checked. Questions of fewer than three
-    words have no inner word: they are held against all texts, `block` of them
-    at a time.
+    longest inner word is the join key, and `contains` is checked. Up to
+    SENT_QUESTIONS questions are sent to the texts, so nothing travels; for more,
+    texts are fetched for what the key brings together only. Questions of fewer
+    than three words have no inner word: they are held against all texts, `block`
+    of them at a time.
     """
     from quillspark.functions.text import words
 
@@ -73,9 +77,13 @@ def gold_pairs(docs: DataFrame, questions: DataFrame, block: int = 1000) -> Data
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     asked = questions.where("question is not null").select("question_id", "question", longest.alias("word"))
     keyed, short = asked.where("word is not null"), asked.where("word is null").drop("word")
-    held = docs.select("source_file", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(keyed.select("word").distinct(), "word", "left_semi")
-    met = held.join(keyed.select("word", "question_id"), "word").select("source_file", "question_id").distinct()
-    found = met.join(keyed.drop("word"), "question_id").join(docs, "source_file").where(F.contains("text", "question")).select("question_id", "source_file")
+    each = F.explode(F.array_distinct(words(F.col("text")))).alias("word")
+    if keyed.limit(SENT_QUESTIONS + 1).count() <= SENT_QUESTIONS:
+        found = docs.select("source_file", "text", each).join(F.broadcast(keyed), "word").where(F.contains("text", "question")).select("question_id", "source_file")
+    else:
+        held = docs.select("source_file", each).join(keyed.select("word").distinct(), "word", "left_semi")
+        met = held.join(keyed.select("word", "question_id"), "word").select("source_file", "question_id").distinct()
+        found = met.join(keyed.drop("word"), "question_id").join(docs, "source_file").where(F.contains("text", "question")).select("question_id", "source_file")
     blocks = -(-short.count() // block)
     for k in range(blocks):
         part = short.where(F.pmod(F.xxhash64("question_id", "question"), F.lit(blocks)) == k)

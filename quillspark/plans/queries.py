@@ -25,7 +25,7 @@ from quillspark.operators.index import build_index, corpus_statistics, document_
 from quillspark.operators.retrieve import nearest, score_pairs
 from quillspark.operators.score import fact_scores, gold_pairs, retrieval_counts
 from quillspark.session import shared_folder, spread
-from quillspark.sources.files import corpus_fingerprint, kept, preview, read_results, write_results, write_summary
+from quillspark.sources.files import corpus_fingerprint, files_fingerprint, kept, preview, read_results, write_results, write_summary
 
 LINE, THRESHOLD, CATEGORIES = "\n", 0.1, 5
 #: Chunkings of the registered evaluation.
@@ -84,13 +84,11 @@ def _own_folder(spark: SparkSession) -> str:
 
 
 def evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """The results of all configurations, kept by the application as a run is before its report, by a fingerprint of all that is read: changed files are evaluated anew."""
-    asked = questions(spark, d).select(F.col("question_id").alias("source_file"), F.col("question").alias("text"))
-    bad = low_quality(spark, d).select("source_file", F.lit("").alias("text"))
+    """The results of all configurations, kept by the application as a run is before its report, by the names, sizes and times of the files that are read: changed files are evaluated anew."""
     docs = documents(spark, d)
-    name = corpus_fingerprint(docs, "-".join(corpus_fingerprint(x, "") for x in (asked, bad)) + repr((CHUNKINGS, LINE, THRESHOLD)))
+    name = files_fingerprint(spark, [f"{d}/{t}.parquet" for t in ("documents", "benchmark", "labels")], repr((CHUNKINGS, LINE, THRESHOLD)))
     # distractors are all low-quality documents, whatever the question
-    build = lambda: evaluate(docs, question_set(spark, d), CHUNKINGS, delimiter=LINE, threshold=THRESHOLD, index_folder=f"{_own_folder(spark)}/indexes/{name}", gold=gold(spark, d), distractors=low_quality(spark, d))
+    build = lambda: evaluate(docs, question_set(spark, d), CHUNKINGS, delimiter=LINE, threshold=THRESHOLD, gold=gold(spark, d), distractors=low_quality(spark, d))
     return kept(spark, f"{_own_folder(spark)}/evaluations/{name}", build)
 
 

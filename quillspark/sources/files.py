@@ -67,6 +67,16 @@ def corpus_fingerprint(docs: DataFrame, settings: str) -> str:
     return hashlib.sha256(f"{x['n']}:{x['s']}:{settings}".encode()).hexdigest()[:16]
 
 
+def files_fingerprint(spark: SparkSession, paths: list[str], settings: str) -> str:
+    """Changes with any name, size or time of the Parquet files at the paths, or a setting; of the files only their footers are read."""
+    sums = []
+    for path in paths:
+        files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        x = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")).alias("s")).first()
+        sums.append((path, x["n"], str(x["s"])))
+    return hashlib.sha256(f"{sums!r}:{settings}".encode()).hexdigest()[:16]
+
+
 def kept(spark: SparkSession, path: str, build: Callable[[], DataFrame], *partition: str) -> DataFrame:
     """The table at path, written with build() where there is none. A small table beside it marks it as whole; what was left half-written is written anew."""
     try:
