@@ -87,8 +87,12 @@ def evaluation(spark: SparkSession, d: str) -> DataFrame:
     """The results of all configurations, kept by the application as a run is before its report, by the names, sizes and times of the files that are read: changed files are evaluated anew."""
     docs = documents(spark, d)
     name = files_fingerprint(spark, [f"{d}/{t}.parquet" for t in ("documents", "benchmark", "labels")], repr((CHUNKINGS, LINE, THRESHOLD)))
-    # distractors are all low-quality documents, whatever the question
-    build = lambda: evaluate(docs, question_set(spark, d), CHUNKINGS, delimiter=LINE, threshold=THRESHOLD, gold=gold(spark, d), distractors=low_quality(spark, d))
+
+    def build() -> DataFrame:
+        pairs = kept(spark, f"{_own_folder(spark)}/gold/{name}", lambda: gold(spark, d))  # read twice, found once
+        # distractors are all low-quality documents, whatever the question
+        return evaluate(docs, question_set(spark, d), CHUNKINGS, delimiter=LINE, threshold=THRESHOLD, gold=pairs, distractors=low_quality(spark, d))
+
     return kept(spark, f"{_own_folder(spark)}/evaluations/{name}", build)
 
 
