@@ -65,7 +65,7 @@ def test_names_twice_are_left_to_the_other_way(spark):
 
 
 #: Queries that read the results of one evaluation.
-READERS = ("best_worst", "grid_search_by_category", "grid_top_k_by_category", "plateau_tokens", "quick_sample", "rerank_gain", "grids_in_one_pass", "pareto_frontier", "results_json_roundtrip", "summary_csv_roundtrip", "top10_bottom5")
+READERS = ("best_worst", "grid_search_by_category", "grid_top_k_by_category", "plateau_tokens", "quick_sample", "rerank_gain", "grids_in_one_pass", "pareto_frontier", "results_json_roundtrip", "summary_csv_roundtrip", "top10_bottom5", "trend_fit")
 
 
 def test_an_evaluation_writes_less_than_it_reads(spark, tmp_path, monkeypatch):
