@@ -31,7 +31,7 @@ from quillspark.operators.retrieve import BLOCK_SCORES, BROADCAST_ROWS, DENSE_QU
 from quillspark.session import shared_folder
 
 #: Bytes of text that are cut at once, unless one document has more.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Terms whose weights are sent to all executors, at most, beside those of the questions.
 FREQUENT = 1 << 16
 #: What rounding and the nine digits of the order may take from a bound; rows that a task holds before it drops what others have beaten.

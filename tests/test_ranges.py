@@ -44,7 +44,7 @@ def test_ranges_are_the_chunks(spark, delimiter):
         assert [list(x.of).count(k) for k in range(len(x.size))] == list(x.size)
 
 
-@pytest.mark.parametrize(("frequent", "held", "size"), [(1 << 16, 50_000, 2 << 20), (0, 30, 2000)])
+@pytest.mark.parametrize(("frequent", "held", "size"), [(1 << 16, 50_000, 1 << 19), (0, 30, 2000)])
 def test_hits_are_those_of_all_chunks(spark, monkeypatch, frequent, held, size):
     for name, value in (("FREQUENT", frequent), ("HELD_ROWS", held), ("SLICE_BYTES", size)):
         monkeypatch.setattr(R, name, value)
